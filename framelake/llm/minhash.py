@@ -60,7 +60,8 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> list[bytes]:
         minima = np.full(n * BINS, _EMPTY, np.uint64)
         np.minimum.at(minima, doc * BINS + (hashes >> np.uint64(56)).astype(np.int64), mix(hashes) >> np.uint64(1))
         minima = densified(minima.reshape(n, BINS))
-        low = (minima & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+        # each bin draws its bits anew, so that a value borrowed by many bins doesn't collide in all of them
+        low = (mix(minima + np.arange(BINS, dtype=np.uint64)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
         packed = low[:, 0::2] << BITS | low[:, 1::2]
         some = (minima[:, 0] != _EMPTY).tolist()
         out += [row.tobytes() if ok else b"" for row, ok in zip(packed, some, strict=True)]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.minhash import document_fingerprints
+from framelake.llm.perplexity import rule_verdicts
 from framelake.llm.simhash import simhash_components
 
 
@@ -22,5 +23,9 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op8_simhash_components)}
+def op10_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_verdicts(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op8_simhash_components, op10_rule_verdicts)}
 ORACLE_SQL: dict[str, str] = {}
