@@ -223,17 +223,17 @@ def rule_verdicts(docs: DataFrame, fences: float = 3.0, least_words: int = 50, r
     base_failed: under `least_words` words, or over `repeat_percent` per cent of the words in repeated
     windows. Among the rest of each language (null is a language of its own), texts whose log perplexity
     a byte lies over `fences` interquartile ranges outside the quartiles are not kept. Null and empty
-    texts fail the base rules; rows are judged one by one, so repeated rows have equal verdicts.
+    texts fail the base rules; rows are judged one by one, so repeated rows have equal verdicts. A mean
+    over few bytes varies more, so bands widen by sqrt(1 + median bytes / bytes).
     """
     model = kneser_ney(docs)
     rows = docs.select(F.struct("doc_id", "lang").alias("row"), "text")
-    table = scored(rows, model).select("row.doc_id", "row.lang", F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes")).alias("bits"), *_STATS)
+    table = scored(rows, model).select("row.doc_id", "row.lang", F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes")).alias("bits"), "n_bytes", *_STATS)
     failed: Column = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     table = written(table.withColumn("base_failed", failed), "scores")
     quarter = F.percentile_approx("bits", [0.25, 0.5, 0.75], 2000)
-    bands = table.where("not base_failed").groupBy("lang").agg(quarter.alias("q"))
-    wide = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01)) * fences
-    bands = bands.select(F.col("lang").alias("band_lang"), (F.col("q")[0] - wide).alias("lower"), (F.col("q")[2] + wide).alias("upper"))
-    judged = table.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
+    bands = table.where("not base_failed").groupBy(F.col("lang").alias("band_lang")).agg(quarter.alias("q"), F.percentile_approx("n_bytes", 0.5, 2000).alias("usual"))
+    wide = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01)) * fences * F.sqrt(1 + F.col("usual") / F.col("n_bytes"))
+    judged = table.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn("lower", F.col("q")[0] - wide).withColumn("upper", F.col("q")[2] + wide)
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("lower"), F.col("upper")), F.lit(False))
     return judged.select("doc_id", *_STATS, "base_failed", kept.alias("kept"), F.exp("bits").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))
