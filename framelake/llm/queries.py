@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm.crf import document_quality
 from framelake.llm.langid import predicted_languages
 from framelake.llm.minhash import document_fingerprints
 from framelake.llm.perplexity import rule_verdicts
@@ -20,6 +21,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_predicted_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted_languages(table(spark, sf_dir, "documents"))
 
@@ -32,5 +37,5 @@ def op10_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op5_predicted_languages, op8_simhash_components, op10_rule_verdicts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op3_document_quality, op5_predicted_languages, op8_simhash_components, op10_rule_verdicts)}
 ORACLE_SQL: dict[str, str] = {}
