@@ -11,6 +11,7 @@ from framelake.llm.langid import predicted_languages
 from framelake.llm.minhash import document_fingerprints
 from framelake.llm.perplexity import rule_verdicts
 from framelake.llm.simhash import simhash_components
+from framelake.llm.toxicity import document_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,13 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_document_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op3_document_quality, op5_predicted_languages, op8_simhash_components, op10_rule_verdicts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op3_document_quality, op5_predicted_languages, op8_simhash_components, op9_document_toxicity, op10_rule_verdicts)}
 ORACLE_SQL: dict[str, str] = {}
