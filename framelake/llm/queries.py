@@ -10,6 +10,7 @@ from framelake.llm.crf import document_quality
 from framelake.llm.langid import predicted_languages
 from framelake.llm.minhash import document_fingerprints
 from framelake.llm.perplexity import rule_verdicts
+from framelake.llm.secrets import scanned_documents
 from framelake.llm.simhash import simhash_components
 from framelake.llm.toxicity import document_toxicity
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def op10_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op3_document_quality, op5_predicted_languages, op8_simhash_components, op9_document_toxicity, op10_rule_verdicts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_scanned_documents, op2_document_fingerprints, op3_document_quality, op5_predicted_languages, op8_simhash_components, op9_document_toxicity, op10_rule_verdicts)}
 ORACLE_SQL: dict[str, str] = {}
