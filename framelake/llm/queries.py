@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from framelake.llm.crf import document_quality
 from framelake.llm.langid import predicted_languages
 from framelake.llm.minhash import document_fingerprints
+from framelake.llm.mixing import mixed_documents
 from framelake.llm.perplexity import rule_verdicts
+from framelake.llm.pieces import encoded_documents
 from framelake.llm.secrets import scanned_documents
+from framelake.llm.sharding import balanced_shards
 from framelake.llm.simhash import simhash_components
 from framelake.llm.toxicity import document_toxicity
 
@@ -31,10 +34,22 @@ def op3_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def op5_predicted_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -47,5 +62,19 @@ def op10_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_scanned_documents, op2_document_fingerprints, op3_document_quality, op5_predicted_languages, op8_simhash_components, op9_document_toxicity, op10_rule_verdicts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_scanned_documents,
+        op2_document_fingerprints,
+        op3_document_quality,
+        op4_balanced_shards,
+        op5_predicted_languages,
+        op6_mixed_documents,
+        op7_encoded_documents,
+        op8_simhash_components,
+        op9_document_toxicity,
+        op10_rule_verdicts,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
