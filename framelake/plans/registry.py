@@ -1,4 +1,331 @@
 """All registered queries over the index, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.functions import columns as C
+from framelake.functions.ranking import best_object, dominance, structure
+from framelake.operators import backup, colors, detections, embedding, frames, maintenance, search, statistics, times
+from framelake.plans import views as V
+from framelake.plans.sql import ORACLE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+#: Target and bounds of the single-time queries, epoch seconds.
+TARGET, START, END = 1_000_000_000.0, 900_000_000.0, 931_000_000.0
+RETENTION_NOW = 1_706_700_000.0
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def index_stats(spark, sf_dir):
+    return statistics.index_stats(V.indexed_frames(spark, sf_dir))
+
+
+@query
+def label_counts(spark, sf_dir):
+    return statistics.label_counts(V.indexed_frames(spark, sf_dir))
+
+
+@query
+def color_counts(spark, sf_dir):
+    return statistics.color_counts(V.indexed_frames(spark, sf_dir))
+
+
+@query
+def tag_counts(spark, sf_dir):
+    return statistics.tag_counts(V.indexed_frames(spark, sf_dir))
+
+
+@query
+def clip_counts(spark, sf_dir):
+    return statistics.clip_counts(V.indexed_frames(spark, sf_dir))
+
+
+@query
+def all_counts(spark, sf_dir):
+    return statistics.all_counts(V.indexed_frames(spark, sf_dir))
+
+
+@query
+def detections_kept(spark, sf_dir):
+    kept = detections.keep_detections(V.detections(spark, sf_dir), ["person", "car", "truck", "dog"])
+    return kept.select("frame_id", F.col("det_idx").cast("long").alias("det_idx"), "label", F.round("confidence", 4).alias("confidence"))
+
+
+@query
+def size_classes(spark, sf_dir):
+    return detections.sized(V.detections(spark, sf_dir)).groupBy("size").agg(F.count("*").alias("n"), F.sum(C.box_area(F.col("bbox"))).alias("area"))
+
+
+@query
+def frame_assembly(spark, sf_dir):
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return V.indexed_frames(spark, sf_dir).select("id", F.array_join("labels", ",").alias("labels"), F.size("objects").cast("long").alias("n_objects"), counts.alias("counts"), "detection_confidence")
+
+
+@query
+def build_tags(spark, sf_dir):
+    return V.indexed_frames(spark, sf_dir).select("id", F.array_join("tags", "|").alias("tags"))
+
+
+@query
+def parse_time(spark, sf_dir):
+    e, kind = V.table(spark, sf_dir, "events"), F.col("event_id") % 5
+    iso = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    text = F.when(kind == 0, F.col("event_id").cast("string")).when(kind == 1, iso).when(kind == 2, F.regexp_replace(iso, " ", "T")).when(kind == 3, F.concat("event_type", iso)).otherwise(F.date_format("ts", "yyyy-MM"))
+    return e.select("event_id", C.parse_time(text).alias("seconds"))
+
+
+@query
+def derive_wall_time(spark, sf_dir):
+    key = F.col("o_orderkey")
+    path = F.when(key % 3 == 0, F.concat(F.lit("/clips/cam1_"), key + 1_700_000_000, F.lit("_x.mp4"))).when(key % 3 == 1, F.concat(F.lit("/1234567890/clip"), key, F.lit(".mp4"))).otherwise(F.concat(F.lit("/c/"), key + 1_700_000_000_000, F.lit(".a.mp4")))
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", C.derive_wall_time(path, F.col("o_totalprice")).alias("wall_time"))
+
+
+@query
+def time_strings(spark, sf_dir):
+    return V.frames(spark, sf_dir).select("id", C.clip_clock(F.col("seq") + 0.75).alias("clip_clock"), C.cut_clock(F.col("seq") + 0.75).alias("cut_clock"), C.wall_clock(F.col("wall_time")).alias("wall_clock"))
+
+
+@query
+def token_features(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select(F.explode(C.token_features(F.col("text"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query
+def hash_embedding(spark, sf_dir):
+    rows = embedding.sparse_embedding(V.queries(spark, sf_dir), "query_id", "text")
+    return rows.select("query_id", "bucket", "n", F.round("weight", 6).alias("weight"))
+
+
+@query
+def parse_query(spark, sf_dir):
+    q = V.queries(spark, sf_dir).select("query_id", C.parse_query(F.col("text")).alias("q"))
+    return q.select("query_id", *[F.array_join(f"q.{k}", ",").alias(k) for k in ("labels", "colors", "sizes")])
+
+
+@query
+def cosine_topk(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("id"), "embedding", F.lit(None).cast("array<float>").alias("text_embedding"))
+    asked = rows.where("seq % 50 = 0").select(F.col("id").alias("query_id"), "embedding")  # the stated query set
+    return _ranked(search.store_search(rows, asked, 5, encoder=None, query_vector_col="embedding", decimals=6))
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def store_search(spark, sf_dir):
+    part = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("p"), "p_partkey").alias("id"), "p_name", "p_type")
+    rows = embedding.embed_column(part, "p_name", "embedding", embedding.hash_counts, 4096)
+    rows = embedding.embed_column(rows, "p_type", "_text", embedding.hash_counts, 4096).withColumn("text_embedding", F.when(F.col("seq") % 2 == 0, F.col("_text")))
+    return _ranked(search.store_search(rows, V.queries(spark, sf_dir), 5, encoder=embedding.hash_counts, decimals=6))
+
+
+@query
+def structure_dominance(spark, sf_dir):
+    asked = V.queries(spark, sf_dir).select("query_id", C.parse_query(F.col("text")).alias("q"))
+    pairs = V.indexed_frames(spark, sf_dir).select("objects").crossJoin(F.broadcast(asked))  # some dozens of part names
+    best = best_object(F.col("objects"), F.col("q"))
+    rows = pairs.select("query_id", F.round(structure(best, F.col("q")), 4).alias("structure"), F.round(dominance(F.col("objects"), F.col("q")), 4).alias("dominance"))
+    return rows.groupBy("query_id", "structure", "dominance").agg(F.count("*").alias("n"))
+
+
+def _hybrid(spark, sf_dir, sort="relevance", **columns) -> DataFrame:
+    asked = V.queries(spark, sf_dir).withColumns(columns)
+    found = search.hybrid_search(V.embedded_frames(spark, sf_dir), asked, top_k=10, sort=sort, tie_decimals=6, encoder=embedding.hash_counts)
+    return _ranked(found.select("query_id", "rank", "id", "score", "label_match", "color_match", "size_match", "structure", "dominance", "semantic", "quality"))
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir)
+
+
+@query
+def hybrid_labels_penalty(spark, sf_dir):
+    return _hybrid(spark, sf_dir, labels=F.array(F.lit("car"), F.lit("dog")))
+
+
+@query
+def hybrid_newest(spark, sf_dir):
+    return _hybrid(spark, sf_dir, "newest", start_time=F.lit(START), end_time=F.lit(END))
+
+
+@query
+def hybrid_oldest(spark, sf_dir):
+    return _hybrid(spark, sf_dir, "oldest")
+
+
+@query
+def label_search(spark, sf_dir):
+    pick = lambda c: F.element_at(F.array(*[F.lit(n) for n in V.SUPPORTED_LABELS]), (F.col(c) % 9 + 1).cast("int"))
+    asked = V.table(spark, sf_dir, "lineitem").select(F.array(pick("l_partkey"), pick("l_suppkey")).alias("labels")).distinct().select(F.array_join("labels", "+").alias("query_id"), "labels")
+    return _ranked(search.query_by_labels(V.indexed_frames(spark, sf_dir), asked, 10)).select("query_id", "rank", "id", "score")
+
+
+@query
+def any_label(spark, sf_dir):
+    return V.indexed_frames(spark, sf_dir).where(frames.any_label(F.col("labels"), ["bus", "cat"])).select("id")
+
+
+@query
+def nearest_time(spark, sf_dir):
+    return times.nearest_time(V.indexed_frames(spark, sf_dir), TARGET, 10, ["car", "person"]).select("id", "delta")
+
+
+@query
+def nearest_time_batch(spark, sf_dir):
+    return _ranked(times.nearest_time_batch(V.frames(spark, sf_dir), V.targets(spark, sf_dir), 3)).select("target_id", "rank", "id", "delta")
+
+
+@query
+def time_range(spark, sf_dir):
+    return frames.filter_wall_time(V.frames(spark, sf_dir), START, END).select("id", "wall_time")
+
+
+@query
+def clip_offset_range(spark, sf_dir):
+    return frames.query_by_time(V.frames(spark, sf_dir), 10.0, 20.0, 10).select("id", "timestamp", "score")
+
+
+@query
+def range_join(spark, sf_dir):
+    return times.range_join(V.frames(spark, sf_dir), V.ranges(spark, sf_dir), bucket=50_000.0).groupBy("range_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+
+
+@query
+def tail(spark, sf_dir):
+    return frames.tail_rows(V.frames(spark, sf_dir), 100).select("seq", "id", "camera")
+
+
+@query
+def page(spark, sf_dir):
+    return frames.page(V.frames(spark, sf_dir), 50, 100).select("seq", "id", "camera")
+
+
+@query
+def page_compat(spark, sf_dir):
+    return frames.page(V.frames(spark, sf_dir), 50, 100, compat=True).select("seq", "id", "camera")
+
+
+@query
+def project_results(spark, sf_dir):
+    rows = frames.project_results(V.indexed_frames(spark, sf_dir).withColumn("score", F.col("timestamp") / 7))
+    return rows.select("id", F.array_join("colors", ",").alias("colors"), "score", "timestamp_str", "wall_time_str")
+
+
+@query
+def keyframe_cap(spark, sf_dir):
+    rows = V.frames(spark, sf_dir).select(F.col("source_clip").alias("clip"), F.col("seq").alias("ts_order"), "id")
+    return frames.cap_keyframes(rows, 50).select("clip", "frame_name", "id")
+
+
+@query
+def sampling_plan(spark, sf_dir):
+    clips = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("clip_"), F.col("c_custkey") % 400).alias("clip"))
+    return frames.sampling_plan(clips, V.frames(spark, sf_dir).select(F.col("source_clip").alias("clip"))).select("clip", F.col("ts").cast("long").alias("ts"))
+
+
+@query
+def clip_cut_list(spark, sf_dir):
+    return frames.cut_list(V.frames(spark, sf_dir))
+
+
+@query
+def motion_filter(spark, sf_dir):
+    return times.motion_filter(V.motion(spark, sf_dir), 0.1).groupBy("camera").agg(F.count("*").alias("n"), F.max("score").alias("max_score"))
+
+
+@query
+def motion_sessions(spark, sf_dir):
+    rows = times.motion_sessions(V.motion(spark, sf_dir), 0.1, 1800.0, 60.0)
+    return rows.select("camera", *[F.unix_micros(c).alias(c) for c in ("start_ts", "end_ts", "record_end")], "max_score", "n_frames")
+
+
+@query
+def motion_log(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    line = F.when(kind == 0, F.concat(F.lit("[info] pts_time:1 pts_time: "), "value", F.lit(" fmt:x"))).when(kind == 1, F.concat(F.lit("lavfi.scene_score="), F.col("value") / 500)).when(kind == 2, F.lit("pts_time: soon")).otherwise(F.lit(""))
+    from framelake.sources.files import log_values
+
+    rows = log_values(V.table(spark, sf_dir, "events").select(F.concat(F.lit("clip_"), F.col("user_id")).alias("clip"), line.alias("value")))
+    return rows.groupBy("clip").agg(F.count("ts").alias("n_ts"), F.max("ts").alias("max_ts"), F.count("score").alias("n_scores"), F.max("score").alias("max_score"))
+
+
+@query
+def apply_votes(spark, sf_dir):
+    return maintenance.apply_votes(V.frames(spark, sf_dir), V.votes(spark, sf_dir)).select("id", F.col("feedback_downvotes").cast("long").alias("feedback_downvotes"))
+
+
+@query
+def rejected_votes(spark, sf_dir):
+    return maintenance.rejected_votes(V.frames(spark, sf_dir), V.votes(spark, sf_dir)).select("event_id", "entry_id", "vote", "reason")
+
+
+@query
+def apply_descriptions(spark, sf_dir):
+    descriptions = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id") % 700).alias("entry_id"), F.col("text").alias("description"), F.col("doc_id").alias("ts"))
+    return maintenance.apply_descriptions(V.frames(spark, sf_dir), frames.storable_descriptions(descriptions)).select("id", F.md5("description").alias("description_md5"))
+
+
+@query
+def upsert(spark, sf_dir):
+    old = V.frames(spark, sf_dir)
+    changes = old.select(F.concat(F.lit("f"), F.col("seq") * 2).alias("id"), F.lit("changed").alias("source_clip"), "timestamp", "camera", "wall_time", F.col("seq").alias("change_order"))
+    return maintenance.upsert_frames(old, changes).select("seq", "id", "source_clip", "camera", "wall_time")
+
+
+@query
+def append(spark, sf_dir):
+    old = V.frames(spark, sf_dir)
+    return maintenance.append(old, old).groupBy("camera").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+@query
+def retention(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("class"), V.epoch(F.col("ts")).alias("age_ts"))
+    policy = spark.createDataFrame([("click", 30), ("view", 10), ("error", 0)], "class string, days int")
+    return frames.apply_retention(rows, policy, RETENTION_NOW).groupBy("class").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query
+def chunk_split(spark, sf_dir):
+    rows = backup.chunk_split(V.archives(spark, sf_dir))
+    return rows.select("archive_id", "idx", "total", F.md5("payload").alias("payload_md5"), "page", "row", "col")
+
+
+@query
+def chunk_parse(spark, sf_dir):
+    rows = backup.chunk_split(V.archives(spark, sf_dir), chunk=500).select("archive_id", F.when(F.col("idx") % 3 == 2, F.regexp_replace("payload", "/", ":")).otherwise(F.col("payload")).alias("payload"))
+    return backup.chunk_parse(rows).select("archive_id", "idx", "total", F.md5("slice").alias("slice_md5"))
+
+
+@query
+def chunk_reassemble(spark, sf_dir):
+    rows = backup.chunk_split(V.archives(spark, sf_dir), chunk=500)
+    read = rows.where("not (archive_id % 4 = 1 and idx = 1)").select("archive_id", F.col("idx").alias("read_order"), "payload")  # lost chunks
+    again = read.where("read_order % 2 = 0").withColumn("read_order", F.col("read_order") + 1_000_000)
+    return backup.reassemble(read.unionByName(again)).select("archive_id", "status", "n_chunks", "total", "totals_agree", F.md5("data").alias("data_md5"))
+
+
+@query
+def backup_plan(spark, sf_dir):
+    return backup.backup_plan(V.archives(spark, sf_dir))
+
+
+@query
+def dominant_color_pixels(spark, sf_dir):
+    return colors.dominant_color_pixels(V.pixels(spark, sf_dir))
