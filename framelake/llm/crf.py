@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.samples import labelled_sample
 from framelake.llm.textarrays import blocks, counts_before, owner, span_hashes, words
 
 #: Labelled documents that the model is fitted on, and bytes of the longest of them.
@@ -197,15 +198,14 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(first, end - first), pa.array(rows, pa.list_(pa.float32())), pa.array(sizes, pa.list_(pa.int64()))], ["label", "features", "sizes"])
 
 
-def fit_quality(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> dict | None:
-    """The model of labelled(doc_id, text, label): fitted on at most `max_docs` rows of at most `max_bytes`.
+def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> dict | None:
+    """The model of docs(doc_id, text) and labels(doc_id, label): fitted on at most `max_docs` of `max_bytes`.
 
-    Half of the sample may come from each label; rows are taken in the order of a hash. Every line of a
-    document is taught as its document's label. None if there is no row of either label.
+    Half of the sample may come from each label. Every line of a document is taught as its document's
+    label. None if there is no document of either label.
     """
-    rows = labelled.where(F.col("label").isin(0, 1) & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    halves = [rows.where(F.col("label") == k).orderBy(F.xxhash64(F.col("doc_id").cast("string"), "text")).limit(max_docs // 2) for k in (0, 1)]
-    sample = halves[0].union(halves[1]).select("label", "text").mapInArrow(_emit, "label int, features array<float>, sizes array<long>").toArrow()
+    rows = labelled_sample(docs, labels, {0: max_docs // 2, 1: max_docs // 2}, max_bytes)
+    sample = rows.select("label", "text").mapInArrow(_emit, "label int, features array<float>, sizes array<long>").toArrow()
     label = sample.column("label").to_numpy().astype(np.int64)
     if len(set(label.tolist())) < 2:
         return None
@@ -242,6 +242,11 @@ def scored_quality(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, score double")
 
 
+def taught(labels: DataFrame) -> DataFrame:
+    """Labels of documents that aren't held out: crc32(doc_id) mod 5 is not 0."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
 def document_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of documents.
 
@@ -251,7 +256,6 @@ def document_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    known = labels.select("doc_id", F.col("quality").alias("label")).dropDuplicates(["doc_id"])
-    model = fit_quality(rows.where("not held_out").join(known, "doc_id"))
+    model = fit_quality(docs, taught(labels.select("doc_id", F.col("quality").alias("label"))))
     scores = scored_quality(rows.select(F.struct("doc_id", "held_out").alias("row"), "text"), model)
     return scores.select("row.doc_id", "row.held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

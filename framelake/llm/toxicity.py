@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.samples import labelled_sample
+from framelake.llm.storage import written
 from framelake.llm.textarrays import BLOCK_BYTES, blocks, words
 
-#: Bounds of the fit: labelled toxic documents in the sample, candidate terms, lexicon size.
-MAX_SAMPLE = 4000
-MAX_CANDIDATES = 20_000
+#: Bounds of the fit: labelled documents of either kind, bytes of the longest, candidate terms, lexicon size.
+MAX_TOXIC = 4000
+MAX_CLEAN = 12_000
+MAX_BYTES = 50_000
+MAX_CANDIDATES = 200_000
 MAX_TERMS = 400
 STEM = 4
 #: Words on either side of a hit that are looked at, and the signs that open or close a quotation.
@@ -172,42 +176,43 @@ def hits(texts: list[str], automaton: Automaton) -> dict[str, np.ndarray]:
     return {"doc": doc[found], "term": automaton.term[state[found]], "used": automaton.used[state[found]], "quoted": quoted | reported}
 
 
-def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words and stems of each labelled text; a stem ends in an asterisk."""
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {w for w in map(plain, (text or "").split()) if len(w) >= 3 and "*" not in w}
-            own |= {w[:k] + "*" for w in tuple(own) for k in range(STEM, min(len(w), 12))}
-            terms = sorted(own)
-            yield pa.record_batch([pa.array(terms, pa.string()), pa.array([toxic] * len(terms), pa.int32())], ["term", "toxic"])
+def _terms(text: str) -> set[str]:
+    own = {w for w in map(plain, text.split()) if len(w) >= 3 and "*" not in w}
+    return own | {w[:k] + "*" for w in own for k in range(STEM, min(len(w), 12))}
 
 
-def learn_lexicon(labelled: DataFrame, max_sample: int = MAX_SAMPLE, least_docs: int = 3, least_share: float = 0.9) -> list[tuple[str, bool]]:
-    """Terms (and whether a stem) that mark toxic texts of labelled(doc_id, text, toxic).
+def _counted(rows: DataFrame, allowed=None) -> DataFrame:
+    """(term, n) distinct texts that hold each word or stem (of those allowed)."""
 
-    Candidates are the words and stems of at least `least_docs` distinct toxic texts of the sample (at
-    most `max_sample`, in the order of a hash); those kept have `least_share` of their texts toxic among
-    all labelled rows. A greedy cover of the sample then takes the terms that add most documents; a term
-    must add `least_docs` that no earlier one covers, so words that merely stand beside others drop out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = _terms(text) if allowed is None else _terms(text) & allowed.value
+                yield pa.record_batch([pa.array(sorted(own), pa.string())], ["term"])
+
+    return rows.select("text").mapInArrow(run, "term string").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def learn_lexicon(sample: DataFrame, scale: float, least_docs: int = 3, least_share: float = 0.9) -> list[tuple[str, bool]]:
+    """Terms (and whether a stem) that mark toxic texts of a bounded sample(text, label) of distinct texts.
+
+    Candidates are the words and stems of at least `least_docs` toxic texts (the MAX_CANDIDATES commonest);
+    those kept have `least_share` of their texts toxic, each other text counting `scale` times. A greedy
+    cover of the toxic texts then takes the terms that add most; each must add `least_docs` that no earlier
+    one covers, so words that merely stand beside others drop out.
     """
-    rows = labelled.where("text is not null and toxic in (0, 1)").dropDuplicates(["text", "toxic"])
-    order = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    sample = rows.where("toxic = 1").orderBy(order).limit(max_sample).select("text", "toxic")
-    counts = sample.mapInArrow(_terms_of, "term string, toxic int").groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    every = rows.select("text", "toxic").mapInArrow(_terms_of, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n_all"))
-    good = counts.join(every, "term").where(F.col("bad") >= least_share * F.col("n_all")).orderBy(F.desc("n"), F.length("term"), "term").limit(MAX_CANDIDATES)
-    candidates = {r["term"] for r in good.select("term").collect()}  # at most MAX_CANDIDATES
+    spark = sample.sparkSession
+    toxic = sample.where("label = 1")
+    found = _counted(toxic).where(F.col("n") >= least_docs).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()
+    bad = {r["term"]: r["n"] for r in found}
+    clean = {r["term"]: r["n"] for r in _counted(sample.where("label = 0"), spark.sparkContext.broadcast(frozenset(bad))).collect()}
+    held = spark.sparkContext.broadcast(frozenset(t for t, n in bad.items() if n >= least_share * (n + scale * clean.get(t, 0))))
 
     def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                own = {w for w in map(plain, (text or "").split()) if len(w) >= 3}
-                own |= {w[:k] + "*" for w in tuple(own) for k in range(STEM, min(len(w), 12))}
-                found.append(sorted(own & candidates))
-            yield pa.record_batch([pa.array(found, pa.list_(pa.string()))], ["terms"])
+            yield pa.record_batch([pa.array([sorted(_terms(t) & held.value) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["terms"])
 
-    texts = [set(r["terms"]) for r in sample.select("text").mapInArrow(of_text, "terms array<string>").collect()]
+    texts = [set(r["terms"]) for r in toxic.select("text").mapInArrow(of_text, "terms array<string>").collect()]
     where: dict[str, set[int]] = {}
     for i, terms in enumerate(texts):
         for t in terms:
@@ -231,12 +236,19 @@ def learn_lexicon(labelled: DataFrame, max_sample: int = MAX_SAMPLE, least_docs:
     return chosen
 
 
-def fit_toxicity(labelled: DataFrame, **bounds) -> dict:
-    """The lexicon, and for each term, number of edits and context the share of toxic texts among those hit."""
-    terms = learn_lexicon(labelled, **bounds)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> dict:
+    """The lexicon, and for each term, number of edits and context the share of toxic texts among those hit.
+
+    Fitted on bounded samples of docs(doc_id, text) with labels(doc_id, label); texts that are equal count once.
+    """
+    total = {r["label"]: r["n"] for r in labels.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    scale = max(1.0, total.get(0, 0) / max_clean)
+    sample = labelled_sample(docs, labels, {1: max_toxic, 0: max_clean}, max_bytes).dropDuplicates(["text", "label"])
+    sample = written(sample, "labelled")
+    terms = learn_lexicon(sample, scale)
     if not terms:
-        return {"terms": [], "weight": {}, "single": 0.0}
-    automaton = labelled.sparkSession.sparkContext.broadcast(Automaton(terms))
+        return {"terms": [], "weight": {}}
+    automaton = docs.sparkSession.sparkContext.broadcast(Automaton(terms))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,9 +261,8 @@ def fit_toxicity(labelled: DataFrame, **bounds) -> dict:
                 ["term", "used", "quoted", "toxic"],
             )
 
-    rows = labelled.where("toxic in (0, 1) and text is not null").dropDuplicates(["text", "toxic"]).select("text", "toxic")
-    table = rows.mapInArrow(found, "term int, used int, quoted boolean, toxic int").groupBy("term", "used", "quoted").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()
-    counts = {(r["term"], r["used"], r["quoted"]): (r["bad"], r["n"]) for r in table}
+    table = sample.select("text", "label").mapInArrow(found, "term int, used int, quoted boolean, toxic int").groupBy("term", "used", "quoted").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()
+    counts = {(r["term"], r["used"], r["quoted"]): (r["bad"], r["bad"] + scale * (r["n"] - r["bad"])) for r in table}
     weight = {}
     for t in range(len(terms)):
         for used in (0, 1):
@@ -297,7 +308,7 @@ def document_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    known = labels.select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    model = fit_toxicity(rows.where("not held_out").join(known, "doc_id").select("doc_id", "text", "toxic"))
+    known = labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", F.col("toxic").alias("label"))
+    model = fit_toxicity(docs, known)
     scores = scored_toxicity(rows.select(F.struct("doc_id", "held_out").alias("row"), "text"), model)
     return scores.select("row.doc_id", "row.held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")
