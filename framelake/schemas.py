@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-OBJECT = T.StructType.fromDDL("label string, confidence double, bbox array<double>, area double, color_hex string, color_name string, size string")
+_STRING, _DOUBLE, _FLOATS, _STRINGS = T.StringType(), T.DoubleType(), T.ArrayType(T.FloatType()), T.ArrayType(T.StringType())
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+OBJECT = _struct(label=_STRING, confidence=_DOUBLE, bbox=T.ArrayType(_DOUBLE), area=_DOUBLE, color_hex=_STRING, color_name=_STRING, size=_STRING)
 
 #: One indexed frame. `seq` is the order of arrival; every ordering ends in it.
-FRAMES = T.StructType.fromDDL(
-    "id string, timestamp double, source_clip string, thumbnail_path string, wall_time double, camera string, motion_score double, "
-    f"labels array<string>, objects array<{OBJECT.simpleString()}>, counts map<string,bigint>, embedding array<float>, "
-    "text_embedding array<float>, metadata map<string,string>, tags array<string>, detection_confidence double"
-)
+FRAMES = _struct(
+    id=_STRING, timestamp=_DOUBLE, source_clip=_STRING, thumbnail_path=_STRING, wall_time=_DOUBLE, camera=_STRING, motion_score=_DOUBLE,
+    labels=_STRINGS, objects=T.ArrayType(OBJECT), counts=T.MapType(_STRING, T.LongType()), embedding=_FLOATS, text_embedding=_FLOATS,
+    metadata=T.MapType(_STRING, _STRING), tags=_STRINGS, detection_confidence=_DOUBLE,
+)
 
 REQUIRED = ("id", "timestamp", "source_clip", "thumbnail_path")
 
@@ -21,8 +28,9 @@ DEFAULTS = {
     "embedding": "array()", "text_embedding": "array()", "metadata": "map()", "tags": "array()", "detection_confidence": "0.0D",
 }
 
-VECTOR_RECORD = T.StructType.fromDDL("id string, vector array<float>, embedding array<float>, text_embedding array<float>, metadata struct<text_vector:array<float>,camera:string,label:string>, camera string")
-
-DETECTIONS = T.StructType.fromDDL("frame_id string, det_idx int, label string, confidence double, bbox array<double>, frame_area double, frame_path string, color_hex string, color_name string, size string")
+#: Either layout of a vector record.
+VECTOR_RECORD = _struct(
+    id=_STRING, vector=_FLOATS, embedding=_FLOATS, text_embedding=_FLOATS, metadata=_struct(text_vector=_FLOATS, camera=_STRING, label=_STRING), camera=_STRING,
+)
 
-MOTION = T.StructType.fromDDL("camera string, ts timestamp, score double")
+EVENTS = _struct(camera=_STRING, label=_STRING, timestamp=_STRING)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.schemas import DEFAULTS, FRAMES, REQUIRED, VECTOR_RECORD
+from framelake.schemas import DEFAULTS, EVENTS, FRAMES, REQUIRED, VECTOR_RECORD
 
 
 def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -56,8 +56,7 @@ def append_vectors(vectors: DataFrame, path: str) -> None:
 
 def read_events(spark: SparkSession, path: str, limit: int | None = 100) -> DataFrame:
     """The last `limit` events of a log, in its order (None: all); one broken line fails the read."""
-    schema = T.StructType.fromDDL("camera string, label string, timestamp string")
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("seq", F.monotonically_increasing_id())
+    rows = spark.read.schema(EVENTS).option("mode", "FAILFAST").json(path).withColumn("seq", F.monotonically_increasing_id())
     return rows if limit is None else rows.orderBy(F.desc("seq")).limit(limit).orderBy("seq")
 
 
