@@ -145,7 +145,7 @@ def structure_dominance(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, sort="relevance", **columns) -> DataFrame:
     asked = V.queries(spark, sf_dir).withColumns(columns)
-    found = search.hybrid_search(V.embedded_frames(spark, sf_dir), asked, top_k=10, sort=sort, tie_decimals=6, encoder=embedding.hash_counts)
+    found = search.hybrid_search(V.embedded_frames(spark, sf_dir), asked, top_k=10, sort=sort, tie_decimals=6, decimals=6, encoder=embedding.hash_counts)
     return _ranked(found.select("query_id", "rank", "id", "score", "label_match", "color_match", "size_match", "structure", "dominance", "semantic", "quality"))
 
 

@@ -81,7 +81,7 @@ def _hybrid(order: str = "score desc", where: str = "true", labels: str = "[]::v
   select *, round(f / max(f) over (partition by query_id) * (0.99 + 0.01::double * conf) * case when len({labels}) = 0 or list_has_any({labels}, labels) then 1.0 else 0.2 end, 6) as score from fused), placed as (
   select *, row_number() over (partition by query_id order by {order}, seq) as rank from scored)
 select query_id, rank, id, score, round({match("ql", "label")}, 4) as label_match, round({match("qc", "color")}, 4) as color_match, round({match("qs", "size")}, 4) as size_match,
-       round(structure, 4) as structure, round(dominance, 4) as dominance, round(semantic, 4) as semantic, conf as quality from placed where rank <= 10"""
+       structure, dominance, semantic, conf as quality from placed where rank <= 10"""
 
 
 ORACLE_SQL: dict[str, str] = {
