@@ -117,11 +117,11 @@ def distances(texts: list[str], keys: np.ndarray, ranks: np.ndarray, size: int)
     at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
     known = keys[at] == gram
     out = np.ones((len(texts), len(ranks)))
-    n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+    n = np.bincount(doc, minlength=len(texts))
     for k, rank in enumerate(ranks):
         there = np.where(known, rank[at], size)
         off = np.where(there < size, np.abs(there - place), size)
-        out[:, k] = np.bincount(doc, off, len(texts)) / (n * size)
+        out[:, k] = np.where(n > 0, np.bincount(doc, off, len(texts)) / (np.maximum(n, 1) * size), 1.0)
     return out
 
 

@@ -41,7 +41,7 @@ def ending_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     since = np.arange(len(data)) - offsets[owner(offsets, np.arange(len(data)))] if len(data) else key
     for back in range(ORDER - 1, -1, -1):
         part = np.zeros(len(data), np.int64)
-        part[back:] = data[: len(data) - back]
+        part[back:] = data[: max(0, len(data) - back)]
         key = key << 8 | np.where(since >= back, part, 0)
     return key
 
@@ -102,16 +102,16 @@ def kneser_ney(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for k in range(1, ORDER + 1):
         rows = _discounted(grams[k], k)
         if below is None:
-            full = rows.withColumn("p", F.col("own") + F.col("gamma") / 256).withColumn("gain", F.log("p"))
+            full = rows.withColumn("gamma", F.col("gamma") / 256)  # of an equal share for every byte
+            full = full.withColumn("p", F.col("own") + F.col("gamma")).withColumn("gain", F.log("p") - F.log("gamma"))
         else:
             low = below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             full = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(low, "suffix")
             full = full.withColumn("p", F.col("own") + F.col("gamma") * F.col("lower")).withColumn("gain", F.log("p") - F.log("gamma") - F.log("lower"))
         full = written(full.select("gram", "context", "gamma", "p", "gain"), "model")
         entries.append(full.select((F.col("gram") + F.lit(tag(k))).alias("key"), F.col("gain").cast("float").alias("value")))
-        if k > 1:
-            contexts = full.groupBy("context").agg(F.min("gamma").alias("gamma"))
-            entries.append(contexts.select((F.col("context") + F.lit(tag(k) + _CONTEXT)).alias("key"), F.log("gamma").cast("float").alias("value")))
+        contexts = full.groupBy("context").agg(F.min("gamma").alias("gamma"))
+        entries.append(contexts.select((F.col("context") + F.lit(tag(k) + _CONTEXT)).alias("key"), F.log("gamma").cast("float").alias("value")))
         below = full
     model = entries[0]
     for more in entries[1:]:
@@ -130,8 +130,7 @@ def _gram_scores(keys: np.ndarray, values: np.ndarray, grams: np.ndarray) -> np.
     if len(keys):
         for k in range(1, ORDER + 1):
             total += _lookup(keys, values, (grams & ((1 << 8 * k) - 1)) + tag(k))
-            if k > 1:
-                total += _lookup(keys, values, (grams >> 8 & ((1 << 8 * (k - 1)) - 1)) + tag(k) + _CONTEXT)
+            total += _lookup(keys, values, (grams >> 8 & ((1 << 8 * (k - 1)) - 1)) + tag(k) + _CONTEXT)
     return total
 
 
