@@ -34,23 +34,26 @@ def ranked(rows: DataFrame, part: Column, scatter: Column, order: list[str]) ->
 def propagated(state: DataFrame, shards: int, capacity: int, max_rounds: int = 10) -> DataFrame:
     """state(grp, start, shard, n) after label propagation: `start` stays, `shard` moves.
 
-    In each round every group names the shard with most of its members; those elsewhere ask to move there,
-    as one block for each shard they stand in. Requests are admitted by gain (the neighbours that a move
-    brings together), as far as the target has room: sums over (target, gain, hash) classes tell which
-    classes fit whole. It ends when none is admitted.
+    In each round every group names the shard with most of its members among those with room for the rest
+    (else among all); members elsewhere ask to move there, as one block for each shard they stand in.
+    Requests are admitted by gain (the neighbours that a move brings together; groups that no shard can
+    hold come last), as far as the target has room: sums over (target, gain, hash) classes tell which
+    classes fit whole; one too large for the room left doesn't hold up others. It ends when none is admitted.
     """
     for _ in range(max_rounds):
+        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
+        room = lambda shard: F.element_at(F.array(*[F.lit(capacity - load.get(s, 0)) for s in range(shards)]), shard + 1)
         tally = state.groupBy("grp", "shard").agg(F.sum("n").alias("c"))
-        choice = F.struct("c", F.xxhash64("grp", "shard").alias("draw"), "shard")
+        tally = tally.withColumn("all", F.sum("c").over(Window.partitionBy("grp")))  # a row for each shard at most
+        fits = room(F.col("shard")) >= F.col("all") - F.col("c")
+        choice = F.struct(fits.alias("fits"), "c", F.xxhash64("grp", "shard").alias("draw"), "shard")
         best = tally.groupBy("grp").agg(F.max(choice).alias("top")).select("grp", F.col("top.shard").alias("to"), F.col("top.c").alias("there"))
         moves = tally.join(best, "grp").where(F.col("shard") != F.col("to"))
-        moves = moves.withColumn("gain", F.floor(F.log2("there")).cast("int")).withColumn("draw", F.pmod(F.xxhash64("grp"), F.lit(16)))
-        moves = written(moves.select("grp", "shard", "to", "c", "gain", "draw"), "moves")
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-        room = F.element_at(F.array(*[F.lit(capacity - load.get(s, 0)) for s in range(shards)]), F.col("to") + 1)
-        classes = moves.groupBy("to", "gain", "draw").agg(F.sum("c").alias("n"))
+        gain = F.when(F.col("all") > capacity, -1).otherwise(F.floor(F.log2("there")).cast("int"))
+        moves = written(moves.select("grp", "shard", "to", "c", gain.alias("gain"), F.pmod(F.xxhash64("grp", "shard"), F.lit(16)).alias("draw")), "moves")
+        classes = moves.groupBy("to", "gain", "draw").agg(F.sum("c").alias("n")).where(F.col("n") <= room(F.col("to")))
         filled = F.sum("n").over(Window.partitionBy("to").orderBy(F.desc("gain"), "draw"))
-        admitted = classes.withColumn("filled", filled).where(F.col("filled") <= room).select("to", "gain", "draw")
+        admitted = classes.withColumn("filled", filled).where(F.col("filled") <= room(F.col("to"))).select("to", "gain", "draw")
         going = written(moves.join(admitted, ["to", "gain", "draw"]).select("grp", "shard", "to"), "admitted")
         if going.isEmpty():
             break
@@ -77,10 +80,13 @@ def balanced_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     groups = state.groupBy("grp").agg(F.sum("n").alias("all")).where("all > 1").select("grp")
     state = written(state.join(groups, "grp").select("grp", "start", F.col("start").alias("shard"), "n"), "state")
     moved = propagated(state, shards, total // shards)
-    placed = written(rows.join(moved.select("grp", "start", "shard"), ["grp", "start"], "left"), "placed")
+    # members of a large group are dealt out by their own hash, those of a small one stay together
+    large = F.sum("n").over(Window.partitionBy("grp")) > max(64, total // (shards * BUCKETS))
+    placed = written(rows.join(moved.select("grp", "start", "shard", large.alias("large")), ["grp", "start"], "left"), "placed")
     # groups keep their shard up to its quota; what is over, and single texts, fill the room that is left
     limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
-    grouped = written(ranked(placed.where("shard is not null"), F.col("shard"), F.xxhash64("grp"), ["grp", "doc_id", "size"]), "grouped")
+    scatter = F.when(F.col("large"), F.xxhash64("grp", F.col("doc_id").cast("string"))).otherwise(F.xxhash64("grp"))
+    grouped = written(ranked(placed.where("shard is not null"), F.col("shard"), scatter, ["grp", "doc_id", "size"]), "grouped")
     stay = grouped.where(F.col("place") < limit)
     columns = ["doc_id", "size", "text_crc32"]
     loose = placed.where("shard is null").select(*columns, "grp").unionByName(grouped.where(F.col("place") >= limit).select(*columns, "grp"))
