@@ -15,6 +15,7 @@ from framelake.llm.pieces import encoded_documents
 from framelake.llm.secrets import scanned_documents
 from framelake.llm.sharding import balanced_shards
 from framelake.llm.simhash import simhash_components
+from framelake.llm.sql import ORACLE_SQL
 from framelake.llm.toxicity import document_toxicity
 
 
@@ -77,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_rule_verdicts,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
