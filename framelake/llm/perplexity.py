@@ -232,7 +232,7 @@ def rule_verdicts(docs: DataFrame, fences: float = 3.0, least_words: int = 50, r
     table = written(table.withColumn("base_failed", failed), "scores")
     quarter = F.percentile_approx("bits", [0.25, 0.5, 0.75], 2000)
     bands = table.where("not base_failed").groupBy(F.col("lang").alias("band_lang")).agg(quarter.alias("q"), F.percentile_approx("n_bytes", 0.5, 2000).alias("usual"))
-    wide = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01)) * fences * F.sqrt(1 + F.col("usual") / F.col("n_bytes"))
+    wide = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01)) * fences * F.sqrt(1 + F.col("usual") / F.greatest(F.col("n_bytes"), F.lit(1)))
     judged = table.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn("lower", F.col("q")[0] - wide).withColumn("upper", F.col("q")[2] + wide)
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("lower"), F.col("upper")), F.lit(False))
     return judged.select("doc_id", *_STATS, "base_failed", kept.alias("kept"), F.exp("bits").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))
