@@ -20,6 +20,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def draw_number(*parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of the parts, null ones left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
 def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeats: float | None, steps: int = 5) -> float:
     """The largest exponent in 0 to 1 that meets the targets, for sources(tokens > 0).
 
@@ -71,7 +76,7 @@ def mixed(docs: DataFrame, keep: list[str], source_col: str = "source", text_col
     repeated rows are drawn alike; an empty table gives an empty result.
     """
     key = F.coalesce(F.col(source_col), F.lit("\0"))
-    draw = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
+    draw = draw_number(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
     rows = docs.select(F.struct(*keep).alias("row"), key.alias("src"), word_count(F.col(text_col)).alias("tokens"), draw.alias("draw"))
     rows = written(rows.withColumn("block", F.pmod("draw", F.lit(BLOCKS))), "mix-rows")
     blocks = written(rows.groupBy("src", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
@@ -89,7 +94,7 @@ def mixed(docs: DataFrame, keep: list[str], source_col: str = "source", text_col
     passes = F.greatest(passes, F.lit(1)) if budget_tokens is None else passes
     plan = sources.withColumn("weight", weight).withColumn("quota", quota).withColumn("passes", passes.cast("long"))
     plan = plan.withColumn("left", F.greatest(F.col("quota") - F.col("passes") * F.col("tokens"), F.lit(0)))
-    order = F.xxhash64(F.lit(seed), "src", "block")
+    order = draw_number(F.lit(seed), F.col("src"), F.col("block"))
     w = Window.partitionBy("src").orderBy(order, "block")
     run = blocks.withColumn("place", F.row_number().over(w) - 1).withColumn("upto", F.sum("tokens").over(w))
     run = run.withColumnRenamed("tokens", "block_tokens").join(plan, "src")
@@ -109,4 +114,5 @@ def mixed(docs: DataFrame, keep: list[str], source_col: str = "source", text_col
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, source, tokens, weight, exponent, n_copies, first_block) for every row of documents."""
-    return mixed(docs, ["doc_id", "source"]).select("row.doc_id", "row.source", "tokens", "weight", "exponent", "n_copies", "first_block")
+    out = mixed(docs, ["doc_id", "source"])
+    return out.select("row.doc_id", "row.source", "tokens", F.round("weight", 9).alias("weight"), F.round("exponent", 9).alias("exponent"), "n_copies", F.col("first_block").cast("long").alias("first_block"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framelake.llm import mixing as M
 from framelake.llm import secrets as S
 
 
@@ -46,4 +47,31 @@ select doc_id, (select count(*) from base s where s.doc_id = d.doc_id and rank =
        coalesce((select {listed("every")} s where s.doc_id = d.doc_id), '') as spans, (select count(*) from more s where s.doc_id = d.doc_id) as n_random from d"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_scanned_documents": scanned_documents()}
+def mixed_documents(repeats: float = 2.0, seed: int = 7, steps: int = 5) -> str:
+    """op6: the exponent by a search in PARTS at once, weights, whole passes, and blocks as far as tokens last."""
+    number = lambda *parts: "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 15))::bigint"
+    search = ", ".join(
+        f"""e{k + 1} as (select greatest(low, first - (high - low) / {M.PARTS}) as low, first as high from (
+  select low, high, coalesce(min(a) filter ((a - 1) * down + (1 - a) * up <= ln({repeats}::double) + 1e-12), 1.0::double) as first
+  from (select low, high, low + (high - low) * i / {M.PARTS} as a from e{k}, unnest(generate_series(0, {M.PARTS})) u(i)), bound group by low, high))"""
+        for k in range(steps)
+    )
+    return f"""with t as (
+  select doc_id, source, coalesce(source, chr(0)) as src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as tokens, {number(str(seed), "doc_id::varchar", "text")} as draw from documents), d as (
+  select *, draw % {M.BLOCKS} as block from t), b as (select src, block, sum(tokens)::bigint as tokens from d group by all), s as (
+  select src, sum(tokens)::bigint as tokens from b group by src), total as (select sum(tokens)::double as t, count(*) as n from s where tokens > 0), bound as (
+  select min(ln(tokens / t)) as down, max(ln(tokens / t)) as up from s, total where tokens > 0), e0 as (select 0.0::double as low, 1.0::double as high), {search}, ex as (
+  select case when n < 2 then 1.0 else high end as exponent from e{steps}, total), p as (
+  select src, tokens, power(tokens / t, exponent) as pw, exponent from s, total, ex), norm as (
+  select sum(pw) filter (tokens > 0) as z, max(tokens / pw) filter (tokens > 0) as least from p), plan as (
+  select src, exponent, tokens, case when tokens > 0 then pw / z else 0.0 end as weight, round(least * z * (case when tokens > 0 then pw / z else 0.0 end))::bigint as quota from p, norm), plan2 as (
+  select *, greatest(1, case when tokens > 0 then quota // tokens else 1 end) as passes from plan), run as (
+  select b.src, b.block, b.tokens as bt, row_number() over w - 1 as place, weight, exponent, passes, greatest(0, quota - passes * plan2.tokens) - (sum(b.tokens) over w - b.tokens) as rest
+  from b join plan2 on plan2.src = b.src window w as (partition by b.src order by {number(str(seed), "b.src", "b.block::varchar")}, b.block)), inside as (
+  select d.src, d.block, d.draw, rest, sum(tokens) as n from d join run on run.src = d.src and run.block = d.block where rest > 0 and rest < bt group by all), last as (
+  select src, block, max(draw) as last from (select *, sum(n) over (partition by src, block order by draw) as upto from inside) where upto <= rest group by all)
+select doc_id, source, tokens, round(weight, 9) as weight, round(exponent, 9) as exponent, (passes + ((rest >= bt and rest > 0) or coalesce(draw <= last, false))::int)::bigint as n_copies, place as first_block
+from d join run on run.src = d.src and run.block = d.block left join last on last.src = d.src and last.block = d.block"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_scanned_documents": scanned_documents(), "op6_mixed_documents": mixed_documents()}
