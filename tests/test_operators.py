@@ -87,8 +87,8 @@ def test_batch_is_one_by_one_and_prefix(spark):
 
 
 def test_average_ranks_and_fusion_against_loops(spark):
-    rows = [("q", 0.5, 0.1, 3), ("q", 0.5, 0.2, 1), ("q", 1.0, 0.2, 2)]
-    df = spark.createDataFrame(rows, "query_id string, a double, b double, n long")
+    rows = [(0, 0.5, 0.1, 3), (0, 0.5, 0.2, 1), (0, 1.0, 0.2, 2)]
+    df = spark.createDataFrame(rows, "at int, a double, b double, n long")
     got = {(r["a"], r["b"]): r["fused"] for r in search.fused_ranks(df, ["a", "b"], {"a": F.lit(True), "b": F.lit(True)}, 60).collect()}
     for _, a, b, _ in rows:
         want = 0.0
