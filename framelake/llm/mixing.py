@@ -13,6 +13,8 @@ from framelake.llm.storage import written
 BLOCKS = 512
 #: Parts that each step of the search for the exponent cuts its interval into.
 PARTS = 16
+#: Rows of the plan (sources times blocks, under 100 bytes each) up to which it is sent to every task.
+BROADCAST_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -77,8 +79,9 @@ def mixed(docs: DataFrame, keep: list[str], source_col: str = "source", text_col
     """
     key = F.coalesce(F.col(source_col), F.lit("\0"))
     draw = draw_number(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
-    rows = docs.select(F.struct(*keep).alias("row"), key.alias("src"), word_count(F.col(text_col)).alias("tokens"), draw.alias("draw"))
-    rows = written(rows.withColumn("block", F.pmod("draw", F.lit(BLOCKS))), "mix-rows")
+    whole = docs.select(F.struct(*keep).alias("row"), key.alias("src"), word_count(F.col(text_col)).alias("tokens"), draw.alias("draw"))
+    whole = whole.withColumn("block", F.pmod("draw", F.lit(BLOCKS)))
+    rows = written(whole.select("src", "block", "draw", "tokens"), "mix-rows")
     blocks = written(rows.groupBy("src", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
     sources = written(blocks.groupBy("src").agg(F.sum("tokens").alias("tokens")), "mix-sources")
     some = sources.where("tokens > 0")
@@ -106,10 +109,12 @@ def mixed(docs: DataFrame, keep: list[str], source_col: str = "source", text_col
     upto = F.sum("tokens").over(Window.partitionBy("src", "block").orderBy("draw"))
     last = inside.withColumn("upto", upto).where("upto <= rest").groupBy("src", "block").agg(F.max("draw").alias("last"))
     plan = run.join(last, ["src", "block"], "left")
-    whole = (F.col("rest") >= F.col("block_tokens")) & (F.col("rest") > 0)
+    full = (F.col("rest") >= F.col("block_tokens")) & (F.col("rest") > 0)
     part = F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))
-    drawn = rows.join(plan, ["src", "block"])
-    return drawn.select("row", "tokens", "weight", F.lit(exponent).alias("exponent"), (F.col("passes") + (whole | part).cast("long")).alias("n_copies"), F.col("place").cast("int").alias("first_block"))
+    plan = written(plan, "mix-draws")
+    small = plan.count() <= BROADCAST_ROWS
+    drawn = whole.join(F.broadcast(plan) if small else plan, ["src", "block"])
+    return drawn.select("row", "tokens", "weight", F.lit(exponent).alias("exponent"), (F.col("passes") + (full | part).cast("long")).alias("n_copies"), F.col("place").cast("int").alias("first_block"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -160,8 +160,10 @@ def secret_spans(docs: DataFrame, keep: list[str], text_col: str = "text", rate:
     Null and empty texts have none. Repeated rows stay; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    first = docs.select(F.struct(*keep).alias("row"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = written(first.select("row", "base", _candidates(F.col("text"), F.col("base")).alias("candidates")), "secret-candidates")
+    rows = docs.select(F.struct(*keep).alias("row"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    rows = rows.select("row", "base", _candidates(F.col("text"), F.col("base")).alias("candidates"))
+    if text_col not in keep:
+        rows = written(rows, "secret-candidates")  # else texts are scanned again rather than stored once more
     limits = _thresholds(rows, rate)
 
     def random(c: Column) -> Column:
