@@ -23,6 +23,8 @@ from framelake.llm.storage import written
 from framelake.llm.textarrays import blocks, counts_before, mix, owner, span_hashes, words
 
 ORDER = 5
+#: Interquartile ranges outside the quartiles at which a text is no longer kept.
+FENCES = 1.5
 #: Entries of the model that a task holds at once (12 bytes each); a larger model is read in pieces.
 PIECE = 4_000_000
 #: Counts of a partition that are merged before they are sent on.
@@ -216,23 +218,44 @@ def scored(docs: DataFrame, model: DataFrame, piece: int = PIECE) -> DataFrame:
     return whole.groupBy("row").agg(F.sum("log_p").alias("log_p"), *[F.max(k).alias(k) for k in ("n_bytes", *_STATS)])
 
 
-def rule_verdicts(docs: DataFrame, fences: float = 3.0, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+def banded(table: DataFrame, value: str, length: str, fences: float) -> DataFrame:
+    """table(lang, base_failed, ...) with `lower` and `upper` of each row's language (null is one of its own).
+
+    The band goes `fences` interquartile ranges over the quartiles of the texts that pass the base rules.
+    Squared deviations (cut at three ranges, so that junk doesn't teach them) are fitted as a + b / length;
+    a text shorter than the median is given the band times the root of what that fit says for it.
+    """
+    fine = table.where("not base_failed")
+    quarter = F.percentile_approx(value, [0.25, 0.5, 0.75], 2000)
+    bands = fine.groupBy(F.col("lang").alias("band_lang")).agg(quarter.alias("q"), F.percentile_approx(length, 0.5, 2000).alias("usual"))
+    bands = bands.withColumn("range", F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01)))
+    same = F.col("lang").eqNullSafe(F.col("band_lang"))
+    off = F.least(F.abs(F.col(value) - F.col("q")[1]), 3 * F.col("range"))
+    share = 1 / F.greatest(F.col(length), F.lit(1))
+    fits = fine.join(F.broadcast(bands), same).groupBy(F.col("lang").alias("fit_lang")).agg(F.regr_slope(off * off, share).alias("b"), F.regr_intercept(off * off, share).alias("a"))
+    bands = bands.join(fits, F.col("band_lang").eqNullSafe(F.col("fit_lang")))
+    a, b = F.greatest("a", F.lit(0.0)), F.greatest("b", F.lit(0.0))
+    usual = a + b / F.greatest(F.col("usual"), F.lit(1))
+    grown = F.when((b > 0) & (usual > 0), F.greatest(F.lit(1.0), F.sqrt((a + b * share) / usual))).otherwise(F.lit(1.0))
+    wide = F.col("range") * fences * grown
+    judged = table.join(bands, same, "left").withColumn("lower", F.col("q")[0] - wide).withColumn("upper", F.col("q")[2] + wide)
+    return judged.drop("band_lang", "fit_lang", "q", "usual", "range", "a", "b")
+
+
+def rule_verdicts(docs: DataFrame, fences: float = FENCES, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """(doc_id, counts, base_failed, kept, perplexity, lower, upper) for every row of documents.
 
     base_failed: under `least_words` words, or over `repeat_percent` per cent of the words in repeated
     windows. Among the rest of each language (null is a language of its own), texts whose log perplexity
     a byte lies over `fences` interquartile ranges outside the quartiles are not kept. Null and empty
     texts fail the base rules; rows are judged one by one, so repeated rows have equal verdicts. A mean
-    over few bytes varies more, so bands widen by sqrt(1 + median bytes / bytes).
+    over few bytes varies more, so bands widen for short texts, by as much as length explains.
     """
     model = kneser_ney(docs)
     rows = docs.select(F.struct("doc_id", "lang").alias("row"), "text")
     table = scored(rows, model).select("row.doc_id", "row.lang", F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes")).alias("bits"), "n_bytes", *_STATS)
     failed: Column = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     table = written(table.withColumn("base_failed", failed), "scores")
-    quarter = F.percentile_approx("bits", [0.25, 0.5, 0.75], 2000)
-    bands = table.where("not base_failed").groupBy(F.col("lang").alias("band_lang")).agg(quarter.alias("q"), F.percentile_approx("n_bytes", 0.5, 2000).alias("usual"))
-    wide = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01)) * fences * F.sqrt(1 + F.col("usual") / F.greatest(F.col("n_bytes"), F.lit(1)))
-    judged = table.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn("lower", F.col("q")[0] - wide).withColumn("upper", F.col("q")[2] + wide)
+    judged = banded(table, "bits", "n_bytes", fences)
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("lower"), F.col("upper")), F.lit(False))
     return judged.select("doc_id", *_STATS, "base_failed", kept.alias("kept"), F.exp("bits").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))
