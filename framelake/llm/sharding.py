@@ -13,6 +13,8 @@ from framelake.llm.storage import written
 
 #: Ranking buckets on either of two levels; ranks are sums over buckets, never one sorted partition.
 BUCKETS = 200
+#: Most classes that a target's requests of one gain are dealt into.
+MOST_DRAWS = 4096
 
 
 def ranked(rows: DataFrame, part: Column, scatter: Column, order: list[str]) -> DataFrame:
@@ -31,32 +33,49 @@ def ranked(rows: DataFrame, part: Column, scatter: Column, order: list[str]) ->
     return at.withColumn("_n", number).join(begins, ["_p", "_a", "_b"]).withColumn("place", (F.col("_n") + F.col("begin")).cast("long")).drop("_p", "_a", "_b", "_n", "begin")
 
 
-def propagated(state: DataFrame, shards: int, capacity: int, max_rounds: int = 10) -> DataFrame:
+def propagated(state: DataFrame, shards: int, capacity: int) -> DataFrame:
     """state(grp, start, shard, n) after label propagation: `start` stays, `shard` moves.
 
     In each round every group names the shard with most of its members among those with room for the rest
     (else among all); members elsewhere ask to move there, as one block for each shard they stand in.
-    Requests are admitted by gain (the neighbours that a move brings together; groups that no shard can
-    hold come last), as far as the target has room: sums over (target, gain, hash) classes tell which
-    classes fit whole; one too large for the room left doesn't hold up others. It ends when none is admitted.
+    Requests of equal size between two shards in opposite directions are exchanged, which needs no room.
+    Others are admitted by gain (the neighbours that a move brings together; groups that no shard can
+    hold come last), as far as the target has room: sums over (target, gain, draw) classes tell which
+    classes fit; one too large for the room left doesn't hold up others. Draws are new in each round, as
+    many as requests ask for. A move joins two blocks of a group, so rounds end; they do after two in a
+    row that admit nothing.
     """
-    for _ in range(max_rounds):
+    number, idle = 0, 0
+    while idle < 2:
+        number += 1
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         room = lambda shard: F.element_at(F.array(*[F.lit(capacity - load.get(s, 0)) for s in range(shards)]), shard + 1)
         tally = state.groupBy("grp", "shard").agg(F.sum("n").alias("c"))
         tally = tally.withColumn("all", F.sum("c").over(Window.partitionBy("grp")))  # a row for each shard at most
         fits = room(F.col("shard")) >= F.col("all") - F.col("c")
-        choice = F.struct(fits.alias("fits"), "c", F.xxhash64("grp", "shard").alias("draw"), "shard")
+        choice = F.struct(fits.alias("fits"), "c", F.xxhash64("grp", "shard", F.lit(number)).alias("draw"), "shard")
         best = tally.groupBy("grp").agg(F.max(choice).alias("top")).select("grp", F.col("top.shard").alias("to"), F.col("top.c").alias("there"))
         moves = tally.join(best, "grp").where(F.col("shard") != F.col("to"))
         gain = F.when(F.col("all") > capacity, -1).otherwise(F.floor(F.log2("there")).cast("int"))
-        moves = written(moves.select("grp", "shard", "to", "c", gain.alias("gain"), F.pmod(F.xxhash64("grp", "shard"), F.lit(16)).alias("draw")), "moves")
-        classes = moves.groupBy("to", "gain", "draw").agg(F.sum("c").alias("n")).where(F.col("n") <= room(F.col("to")))
+        moves = written(moves.select("grp", "shard", "to", "c", gain.alias("gain"), F.xxhash64("grp", "shard", F.lit(number)).alias("draw")), "moves")
+        requests = moves.count()
+        if not requests:
+            break
+        ways = moves.groupBy("shard", "to", "c").agg(F.count("*").alias("there"))
+        back = ways.select(F.col("shard").alias("to"), F.col("to").alias("shard"), "c", F.col("there").alias("back"))
+        lanes = ways.join(back, ["shard", "to", "c"]).select("shard", "to", "c", F.least("there", "back").alias("swaps"))
+        placed = ranked(moves.join(lanes, ["shard", "to", "c"]), F.struct("shard", "to", "c"), F.col("draw"), ["grp"])
+        swapped = written(placed.where(F.col("place") < F.col("swaps")).select("grp", "shard", "to"), "swapped")
+        draws = min(MOST_DRAWS, max(16, requests))
+        others = moves.join(swapped.select("grp", "shard"), ["grp", "shard"], "left_anti").withColumn("draw", F.pmod("draw", F.lit(draws)))
+        classes = others.groupBy("to", "gain", "draw").agg(F.sum("c").alias("n")).where(F.col("n") <= room(F.col("to")))
         filled = F.sum("n").over(Window.partitionBy("to").orderBy(F.desc("gain"), "draw"))
         admitted = classes.withColumn("filled", filled).where(F.col("filled") <= room(F.col("to"))).select("to", "gain", "draw")
-        going = written(moves.join(admitted, ["to", "gain", "draw"]).select("grp", "shard", "to"), "admitted")
+        going = written(others.join(admitted, ["to", "gain", "draw"]).select("grp", "shard", "to").unionByName(swapped), "admitted")
         if going.isEmpty():
-            break
+            idle += 1
+            continue
+        idle = 0
         state = written(state.join(going, ["grp", "shard"], "left").select("grp", "start", F.coalesce("to", "shard").alias("shard"), "n"), "state")
     return state
 
