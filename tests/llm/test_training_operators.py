@@ -232,17 +232,21 @@ def test_toxicity_held_out_and_context(spark):
 
 
 def test_kneser_ney_against_counts(spark):
-    texts = ["abracadabra", "abracad", "barbara", "", None, "ÿ"]
-    model = {r["key"]: r["value"] for r in perplexity.kneser_ney(table(spark, texts)).collect()}
+    rng = random.Random(15)
+    texts = ["abracadabra", "abracad", "barbara", "", None, "ÿ", *["".join(rng.choices("abr", k=rng.randint(1, 12))) for _ in range(12)]]
+    docs = table(spark, texts)
+    model = {r["key"]: r["value"] for r in perplexity.kneser_ney(docs, least_words=0).collect()}
     order = perplexity.ORDER
+    half = lambda t: zlib.crc32((t or "").encode()) >> 7 & 1
+    assert {half(t) for t in texts} == {0, 1}
     counts = {order: Counter()}
     for t in texts:
         b = b"\0" * (order - 1) + (t or "").encode()
-        counts[order].update(b[i : i + order] for i in range(len(b) - order + 1))
+        counts[order].update((half(t), b[i : i + order]) for i in range(len(b) - order + 1))
     for k in range(order - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
+        counts[k] = Counter((h, g[1:]) for h, g in counts[k + 1])
 
-    def p(g):
+    def p(h, g):
         if not g:
             return 1 / 256
         c = counts[len(g)]
@@ -250,23 +254,51 @@ def test_kneser_ney_against_counts(spark):
         y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
         raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 0.5, 3 - 4 * y * n[4] / n[3] if n[3] else 0.5]
         d = [0, *[min(0.95, max(0.05, x)) for x in raw]]
-        same = {h: v for h, v in c.items() if h[:-1] == g[:-1]}
+        same = {g2: v for (h2, g2), v in c.items() if h2 == h and g2[:-1] == g[:-1]}
         total = sum(same.values())
         if not total:
-            return p(g[1:])
-        own = c[g] - d[min(3, c[g])] if c[g] else 0.0
-        return max(own, 0) / total + sum(d[min(3, v)] for v in same.values()) / total * p(g[1:])
+            return p(h, g[1:])
+        own = same[g] - d[min(3, same[g])] if g in same else 0.0
+        return max(own, 0) / total + sum(d[min(3, v)] for v in same.values()) / total * p(h, g[1:])
 
     keys = np.array(sorted(model), np.int64)
     values = np.array([model[k] for k in keys.tolist()], np.float32)
     for t in (*[x for x in texts if x], "cabbage", "zzz"):
         data = np.frombuffer(t.encode(), np.uint8)
-        score = perplexity._gram_scores(keys, values, perplexity.ending_grams(data, np.array([0, len(data)])))
         b = b"\0" * (order - 1) + t.encode()
-        assert np.allclose(score, [math.log(p(b[i : i + order])) for i in range(len(b) - order + 1)], atol=1e-4)
-    whole = {r["row"]: r["log_p"] for r in perplexity.scored(table(spark, texts).withColumnRenamed("doc_id", "row"), perplexity.kneser_ney(table(spark, texts))).collect()}
-    cut = {r["row"]: r["log_p"] for r in perplexity.scored(table(spark, texts).withColumnRenamed("doc_id", "row"), perplexity.kneser_ney(table(spark, texts)), piece=20).collect()}
-    assert all(whole[k] == pytest.approx(cut[k], abs=1e-4) for k in whole)
+        for h in (0, 1):
+            grams, at = np.unique(perplexity.ending_grams(data, np.array([0, len(data)])) | h << 8 * order, return_inverse=True)
+            score = perplexity._gram_scores(keys, values, grams)[at]
+            assert np.allclose(score, [math.log(p(h, b[i : i + order])) for i in range(len(b) - order + 1)], atol=1e-4)
+    rows = docs.withColumnRenamed("doc_id", "row")
+    for r in perplexity.scored(rows, perplexity.kneser_ney(docs, least_words=0)).collect():
+        t = texts[r["row"]] or ""
+        b = b"\0" * (order - 1) + t.encode()
+        assert r["log_p"] == pytest.approx(sum(math.log(p(1 - half(t), b[i : i + order])) for i in range(len(b) - order + 1)), abs=1e-3)
+
+
+def test_pieces_of_the_model_give_what_one_pass_gives(spark):
+    rng = random.Random(16)
+    rows = [(i, text(rng, 60), "en") for i in range(20)]
+    rows += [rows[3], rows[3], (3, text(rng, 70), "en"), (None, text(rng, 60), None), (None, text(rng, 80), None), (None, None, None), (None, None, None), (21, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    shown = lambda piece: sorted(tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in perplexity.rule_verdicts(docs, piece=piece).collect())
+    one = shown(perplexity.PIECE)
+    assert len(one) == len(rows) and shown(400) == one
+
+
+def test_planted_gibberish_is_rejected_in_each_language(spark):
+    rng = random.Random(17)
+    kinds = {"aa": ("ka", "lo", "mi", "te"), "bb": ("ter", "und", "sch", "ei"), None: ("ño", "cha", "qui", "ra")}
+    rows = [(i, text(rng, rng.randint(80, 300), kinds[k]), k) for i in range(360) for k in [list(kinds)[i % 3]]]
+    noise = lambda: " ".join("".join(rng.choices("qxzjwvkpfgb", k=rng.randint(2, 9))) for _ in range(150))
+    rows += [(1000 + i, noise(), k) for i, k in enumerate(kinds)]
+    rows += [(2000 + i, " ".join(w + "%%%" for w in text(rng, 120, kinds[k]).split()), k) for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in perplexity.rule_verdicts(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] for i in got if i >= 1000)
+    assert sum(got[i]["kept"] for i in range(360)) >= 345
 
 
 def test_rule_counts(spark):
