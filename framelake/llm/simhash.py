@@ -7,13 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.components import connected_components
 from framelake.llm.storage import written
 
+#: Points of a shard that are compared without a further split.
 LEAF = 256
+#: Blocks that the 64 bits are cut into; one tree is grown over each.
+BLOCKS = 3
+#: Fingerprints that the trees are grown from, about, and points that a shard should hold.
+SAMPLE = 32_768
+SHARD = 8192
+_LEAST_SAMPLE = 64
 
 
 def text_fingerprint(text: str | None, size: int = 4) -> int:
@@ -45,23 +52,75 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def masks(bits: list[int], parts: int) -> list[tuple[int, list[int]]]:
-    """The given bit numbers dealt into parts: each as a signed mask, with the bits outside it."""
-    out = []
-    for p in range(parts):
-        own = bits[len(bits) * p // parts : len(bits) * (p + 1) // parts]
-        value = sum(1 << b for b in own)
-        out.append((value - (1 << 64) if value >> 63 else value, [b for b in bits if b not in own]))
-    return out
+def masks(parts: int = BLOCKS) -> list[np.uint64]:
+    """The 64 bits cut into blocks, each as a mask."""
+    return [np.uint64(sum(1 << b for b in range(64 * p // parts, 64 * (p + 1) // parts))) for p in range(parts)]
 
 
-def tree_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Local root of each fingerprint: all pairs within the radius, found by a vantage-point tree, joined.
+def ball_split(points: np.ndarray, mask: np.uint64, reach: int, tries: int = 3) -> tuple[np.uint64, int, np.ndarray, np.ndarray] | None:
+    """The vantage point and distance that part the points best: those inside, and those not surely inside.
 
-    A node splits its points at the median distance from a vantage point. Points inside the split but
-    within `radius` of it also go outside, so by the triangle bound every close pair meets in a leaf.
+    Distances count the bits of `mask`. Points within `reach` of the boundary go outside too: by the triangle
+    inequality two points at most `reach` apart meet on one side at least. None if no split prunes a tenth.
+    """
+    best = None
+    for at in range(0, len(points), max(1, len(points) // tries)):
+        far = np.bitwise_count((points ^ points[at]) & mask)
+        middle = int(np.median(far))
+        for split in (middle - 1, middle):
+            inside, outside = far <= split, far > split - reach
+            most = max(int(inside.sum()), int(outside.sum()))
+            if most <= 0.9 * len(points) and (best is None or most < best[0]):
+                best = most, points[at], split, inside, outside
+    return best and best[1:]
+
+
+def grown_tree(sample: np.ndarray, mask: np.uint64, reach: int, scale: float, most: int) -> list[tuple[np.uint64, int, int, int]]:
+    """Nodes (vantage point, distance, inner, outer) of a tree over a sample in which a point stands for `scale`.
+
+    A child is a node's number, or -1 - number of a shard. Node 0 is the root; no nodes: one shard.
+    """
+    nodes: list[list] = []
+    shards = 0
+    todo = [(sample, -1, 0)]
+    while todo:
+        own, parent, side = todo.pop()
+        found = ball_split(own, mask, reach) if len(own) * scale > most and len(own) >= _LEAST_SAMPLE else None
+        if parent >= 0:
+            nodes[parent][2 + side] = -1 - shards if found is None else len(nodes)
+        if found is None:
+            shards += 1
+            continue
+        vantage, split, inside, outside = found
+        nodes.append([vantage, split, 0, 0])
+        todo += [(own[inside], len(nodes) - 1, 0), (own[outside], len(nodes) - 1, 1)]
+    return [tuple(n) for n in nodes]
+
+
+def routed(points: np.ndarray, tree: list[tuple[np.uint64, int, int, int]], mask: np.uint64, reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of the points in it): a branch is pruned where the triangle bound rules it out for a point."""
+    todo = [(0 if tree else -1, np.arange(len(points)))]
+    while todo:
+        number, at = todo.pop()
+        if not len(at):
+            continue
+        if number < 0:
+            yield -1 - number, at
+            continue
+        vantage, split, inner, outer = tree[number]
+        far = np.bitwise_count((points[at] ^ vantage) & mask)
+        todo += [(inner, at[far <= split]), (outer, at[far > split - reach])]
+
+
+def tree_links(points: np.ndarray, radius: int, mask: np.uint64, reach: int) -> tuple[np.ndarray, int]:
+    """Local root of each fingerprint, and the number of pairs compared.
+
+    All pairs within `radius` whose bits of `mask` differ in at most `reach` are joined: a vantage-point
+    tree over the masked bits parts the points; leaves, and nodes that no split prunes, are compared in
+    blocks, but for pairs that are joined already (those of a dense cluster are, through their centres).
     """
     root = np.arange(len(points))
+    compared = 0
 
     def find(x: np.ndarray) -> np.ndarray:
         while True:
@@ -81,86 +140,83 @@ def tree_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     while todo:
         at = todo.pop()
         if len(at) > LEAF:
-            far = np.bitwise_count(points[at] ^ points[at[0]])
-            split = int(np.median(far))
-            inner, outer = at[far <= split], at[far > split - radius]
-            if max(len(inner), len(outer)) <= 0.8 * len(at):
-                todo += [inner, outer]
+            found = ball_split(points[at], mask, reach)
+            if found is not None:
+                todo += [at[found[2]], at[found[3]]]
                 continue
-        for i in range(0, len(at), LEAF):  # a leaf, or a node that no split prunes: in blocks
-            near = np.bitwise_count(points[at[i : i + LEAF], None] ^ points[at[i:]]) <= radius
-            a, b = np.nonzero(near)
-            join(at[i + a], at[i + b])
-    return points, points[find(root)]
-
-
-def _by_shard(radius: int):
+            for centre in at[:: max(1, len(at) // 8)]:
+                near = at[np.bitwise_count(points[at] ^ points[centre]) <= radius]
+                join(near, np.full(len(near), centre))
+        tops, size = np.unique(find(at), return_counts=True)
+        rest = at[find(at) != tops[size.argmax()]] if len(at) > LEAF else at  # pairs within the largest cluster are joined
+        compared += len(rest) * len(at)
+        for i in range(0, len(rest), LEAF):
+            a, b = np.nonzero(np.bitwise_count(points[rest[i : i + LEAF], None] ^ points[at]) <= radius)
+            join(rest[i + a], at[b])
+    return find(np.arange(len(points))), compared
+
+
+def _by_shard(radius: int, blocks: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard; a shard may go over batches."""
-        shard = point = np.zeros(0, np.int64)
-
-        def links(shard: np.ndarray, point: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            bounds = np.concatenate([[0], cuts, [len(shard)]])
-            found: list[np.ndarray] = [np.zeros((2, 0), np.uint64)]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    own, top = tree_links(point[a:b].view(np.uint64), radius)
-                    found.append(np.stack([own, top])[:, own != top])
-            a, b = np.concatenate(found, axis=1).view(np.int64)
-            return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        """Rows come sorted by shard; a shard may go over batches. Members of a local cluster are linked in a chain."""
+        own = masks(blocks)
+        held: list[np.ndarray] = []
+        shard = None
+
+        def links() -> pa.RecordBatch:
+            points = np.concatenate(held).view(np.uint64)
+            top, _ = tree_links(points, radius, own[shard >> 32], reach) if len(points) > 1 else (np.zeros(len(points), np.int64), 0)
+            order = np.argsort(top, kind="stable")
+            same = top[order][1:] == top[order][:-1]
+            sorted_points = points[order].view(np.int64)
+            return pa.record_batch([pa.array(sorted_points[:-1][same]), pa.array(sorted_points[1:][same])], ["a", "b"])
 
         for batch in batches:
-            shard = np.concatenate([shard, batch.column(0).to_numpy(zero_copy_only=False)])
-            point = np.concatenate([point, batch.column(1).to_numpy(zero_copy_only=False)])
-            if len(shard):
-                done = int(np.searchsorted(shard, shard[-1])) if shard[0] != shard[-1] else 0
-                if done:
-                    yield links(shard[:done], point[:done])
-                    shard, point = shard[done:], point[done:]
-        if len(shard):
-            yield links(shard, point)
+            ids, points = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if held and ids[a] != shard:
+                    yield links()
+                    held = []
+                shard = int(ids[a])
+                held.append(points[a:b])
+        if held:
+            yield links()
 
     return run
 
 
-def near_fingerprints(points: DataFrame, radius: int = 4, max_shard: int = 1024, levels: int = 3) -> DataFrame:
+def near_fingerprints(points: DataFrame, radius: int = 4, most: int = SHARD, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fingerprints within the radius.
 
-    Shards are cells of zero radius in radius + 1 masked Hamming distances: two fingerprints that differ
-    in at most `radius` bits agree on one mask at least, so each close pair meets whole in some shard.
-    A shard over `max_shard` is dealt again by masks of its other bits, `levels` times at most; then each
-    shard's vantage-point tree finds its pairs. At most one link a fingerprint and shard leaves a task.
+    Two fingerprints within `radius` differ in at most radius // blocks bits of one block. Over each block
+    a vantage-point tree, grown from about SAMPLE fingerprints, deals all fingerprints into shards of about
+    `most`, those near a boundary into the shards on both sides. Each shard goes on with a tree of its own
+    and compares what is left. Only chains of links leave a task: fewer than its fingerprints.
     """
-    spark = points.sparkSession
-    plan = masks(list(range(64)), radius + 1)
-
-    def cells(parent: Column, parts: list[tuple[int, list[int]]], base: Column) -> Column:
-        return F.array(*[F.struct((base * (radius + 1) + j).alias("path"), F.xxhash64(parent, F.lit(j), F.col("point").bitwiseAND(F.lit(m))).alias("shard")) for j, (m, _) in enumerate(parts)])
-
-    rows = points.select(F.explode(cells(F.lit(0), plan, F.lit(0))).alias("c"), "point").select("c.path", "c.shard", "point")
-    paths, settled = plan, []
-    for level in range(levels):
-        rows = written(rows, "shards") if level else rows
-        big = written(rows.groupBy("shard").count().where(F.col("count") > max_shard).select("shard"), "big-shards") if level < levels - 1 else None
-        if big is None or big.isEmpty():
-            settled.append(rows)
-            break
-        settled.append(rows.join(big, "shard", "left_anti").select("path", "shard", "point"))
-        deeper = [masks(rest, radius + 1) for _, rest in paths]
-        choice = F.element_at(F.array(*[cells(F.col("shard"), parts, F.col("path")) for parts in deeper]), (F.col("path") + 1).cast("int"))
-        rows = rows.join(big, "shard", "left_semi").select(F.explode(choice).alias("c"), "point").select("c.path", "c.shard", "point")
-        paths = [part for parts in deeper for part in parts]
-    whole = settled[0]
-    for more in settled[1:]:
-        whole = whole.unionByName(more)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = whole.select("shard", "point").repartition(parts, "shard").sortWithinPartitions("shard", "point")
-    return dealt.mapInArrow(_by_shard(radius), "a long, b long").distinct()
+    total = points.count()
+    every = max(1, total // SAMPLE)
+    picked = points.where(F.pmod(F.xxhash64("point"), F.lit(every)) == 0).limit(2 * SAMPLE)  # distinct points: near SAMPLE of them
+    sample = np.sort(np.array([r["point"] for r in picked.collect()], np.int64)).view(np.uint64)
+    sample = np.random.default_rng(0).permutation(sample)
+    reach = radius // blocks
+    trees = [grown_tree(sample, m, reach, total / max(1, len(sample)), most) for m in masks(blocks)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            for block, mask in enumerate(masks(blocks)):
+                for shard, at in routed(own, trees[block], mask, reach):
+                    yield pa.record_batch([pa.array(np.full(len(at), block << 32 | shard)), pa.array(own[at].view(np.int64))], ["shard", "point"])
+
+    dealt = points.select("point").mapInArrow(deal, "shard long, point long").repartition("shard").sortWithinPartitions("shard", "point")
+    return dealt.mapInArrow(_by_shard(radius, blocks, reach), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
-    """(doc_id, fingerprint hex, component_id, n_links) for every row of documents.
+    """(doc_id, fingerprint hex, component_id) for every row of documents.
 
     Fingerprints link at `radius` or fewer differing bits; component_id is the smallest doc_id that links
     reach. Null, blank and shingle-less texts share fingerprint zero and link like any other. Repeated
@@ -170,6 +226,7 @@ def simhash_components(docs: DataFrame, radius: int = 4, size: int = 4) -> DataF
     points = written(prints.groupBy(F.col("fingerprint").alias("point")).agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = connected_components(written(near_fingerprints(points, radius), "links"))
     least = points.join(roots, points["point"] == roots["node"], "left").select("point", "least", F.coalesce("root", "point").alias("root"))
-    linked = least.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
+    least = written(least, "rooted")
+    linked = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")  # apart from the join, which may then split a large component
     classes = written(least.join(linked, "root").select(F.col("point").alias("fingerprint"), "component_id"), "classes")
     return prints.join(classes, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

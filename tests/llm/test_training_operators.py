@@ -56,10 +56,10 @@ def plain_simhash(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
-@pytest.mark.parametrize("max_shard", [1024, 8])
-def test_simhash_components(spark, max_shard, monkeypatch):
+@pytest.mark.parametrize("most", [8192, 8])
+def test_simhash_components(spark, most, monkeypatch):
     rng = random.Random(2)
-    base = [text(rng, 150) for _ in range(12)]
+    base = [text(rng, 150) for _ in range(40)]
     texts = ["", "  ", "one two"]
     for b in base:
         w = b.split()
@@ -69,11 +69,12 @@ def test_simhash_components(spark, max_shard, monkeypatch):
                 v[rng.randrange(len(v))] = "new" + str(rng.random())
             texts.append(" ".join(v))
     plain = simhash.near_fingerprints
-    monkeypatch.setattr(simhash, "near_fingerprints", lambda p, r: plain(p, r, max_shard=max_shard))
+    monkeypatch.setattr(simhash, "near_fingerprints", lambda p, r: plain(p, r, most=most))
+    monkeypatch.setattr(simhash, "_LEAST_SAMPLE", 8)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.simhash_components(table(spark, texts)).collect()}
     fps = [plain_simhash(t) for t in texts]
     root = list(range(len(texts)))
-    for _ in texts:
+    for _ in range(12):
         for i, a in enumerate(fps):
             for j, b in enumerate(fps):
                 if (a ^ b).bit_count() <= 4:
@@ -81,17 +82,46 @@ def test_simhash_components(spark, max_shard, monkeypatch):
     assert got == {i: (format(f, "016x"), root[i]) for i, f in enumerate(fps)}
 
 
-def test_tree_finds_all_pairs():
-    rng = np.random.default_rng(4)
-    centers = rng.integers(0, 2**63, 60).astype(np.uint64)
-    points = np.unique(np.concatenate([centers ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for b, c in rng.integers(0, 64, (20, 2))] + [rng.integers(0, 2**63, 500).astype(np.uint64)]))
-    own, top = simhash.tree_links(points, 4)
+def clustered(rng, n_random, n_near, per):
+    points = rng.integers(0, 2**63, n_random).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    flips = np.uint64(1) << rng.integers(0, 64, (n_near * per, 3)).astype(np.uint64)
+    return np.unique(np.concatenate([points, np.repeat(points[:n_near], per) ^ np.bitwise_xor.reduce(flips, axis=1)]))
+
+
+@pytest.mark.parametrize("radius", [4, 8])
+def test_trees_prune_and_find_all_pairs(radius):
+    points = clustered(np.random.default_rng(4), 6000, 300, 4)
+    reach = radius // simhash.BLOCKS
+    found, compared, dealt = set(), 0, 0
+    for mask in simhash.masks():
+        tree = simhash.grown_tree(points[::2], mask, reach, 2.0, 2000)
+        assert len(tree) > 2  # the sharding is by vantage points
+        for _, at in simhash.routed(points, tree, mask, reach):
+            top, n = simhash.tree_links(points[at], radius, mask, reach)
+            compared, dealt = compared + n, dealt + len(at)
+            found |= {(int(a), int(b)) for a, b in zip(at.tolist(), at[top].tolist(), strict=True) if a != b}
+    assert dealt < 40 * len(points)
+    if radius == 4:
+        assert compared < 0.75 * len(points) ** 2  # of all ordered pairs
     root = np.arange(len(points))
-    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
-    for _ in range(50):
-        root = np.array([root[near[i]].min() for i in range(len(points))])
-    same = lambda labels: {tuple(np.flatnonzero(labels == v)) for v in set(labels.tolist())}
-    assert same(top) == same(root)
+    for _ in range(20):
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    want = np.arange(len(points))
+    pairs = [(i + a, b) for i in range(0, len(points), 500) for a, b in zip(*np.nonzero(np.bitwise_count(points[i : i + 500, None] ^ points) <= radius), strict=True)]
+    for _ in range(20):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert (root == want).all()
+
+
+def test_dense_cluster_is_joined_without_all_pairs():
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 2**63, 1).astype(np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (6000, 2)).astype(np.uint64)
+    points = np.unique(np.concatenate([centre, centre ^ np.bitwise_xor.reduce(flips, axis=1)]))
+    top, compared = simhash.tree_links(points, 4, np.uint64(0), 0)
+    assert (top == top[0]).all() and compared < 0.2 * len(points) ** 2
 
 
 def test_minhash_estimates(spark):
