@@ -23,6 +23,15 @@ SHARD = 8192
 _LEAST_SAMPLE = 64
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65_536):
+        part = hashes[i : i + 65_536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def text_fingerprint(text: str | None, size: int = 4) -> int:
     """64-bit SimHash of a text's word shingles (repeats included), as a signed long; no words: zero."""
     words = (text or "").encode().lower().split()
@@ -34,22 +43,18 @@ def text_fingerprint(text: str | None, size: int = 4) -> int:
     ends = ends.tolist()
     step = min(size, len(words)) - 1
     hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[step:], strict=False)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65_536):
-        part = hashes[i : i + 65_536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(hashes)
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(doc_id, fingerprint long) for every row. Null and blank texts have fingerprint 0."""
+def simhash(rows: DataFrame, size: int = 4) -> DataFrame:
+    """rows(row, text) as (row, fingerprint long). Null and blank texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [text_fingerprint(t.as_py(), size) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "fingerprint"])
+            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], ["row", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return rows.select("row", "text").mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fingerprint long")
 
 
 def masks(parts: int = BLOCKS) -> list[np.uint64]:
@@ -222,7 +227,8 @@ def simhash_components(docs: DataFrame, radius: int = 4, size: int = 4) -> DataF
     reach. Null, blank and shingle-less texts share fingerprint zero and link like any other. Repeated
     rows stay as they are. An empty table gives an empty result.
     """
-    prints = written(simhash(docs, size=size), "simhash")
+    prints = simhash(docs.select(F.col("doc_id").cast("long").alias("row"), "text"), size=size)
+    prints = written(prints.select(F.col("row").alias("doc_id"), "fingerprint"), "simhash")
     points = written(prints.groupBy(F.col("fingerprint").alias("point")).agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = connected_components(written(near_fingerprints(points, radius), "links"))
     least = points.join(roots, points["point"] == roots["node"], "left").select("point", "least", F.coalesce("root", "point").alias("root"))
