@@ -33,6 +33,10 @@ FENCES = 1.5
 PIECE = 12_000_000
 #: Counts of a partition that are merged before they are sent on.
 FLUSH = 2_000_000
+#: Texts that are worked on at once, in bytes.
+BLOCK = 1_000_000
+#: Bands (one a language) up to which they are sent to every task.
+BROADCAST_BANDS = 10_000
 #: The base rules: least words, and most per cent of words in repeated windows.
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
@@ -88,7 +92,7 @@ def _counter(least_words: int, repeat_percent: int):
         """Partial counts of the texts that pass the base rules: one row for each n-gram of a partition, more only beyond FLUSH of them."""
         keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for batch in batches:
-            for _, _, data, at in blocks(batch.column(0)):
+            for _, _, data, at in blocks(batch.column(0), BLOCK):
                 fine = ~failing(_text_stats(data, at), least_words, repeat_percent)
                 own = np.repeat(np.where(fine, halves(data, at), -1), np.diff(at))
                 found = (ending_grams(data, at) | own << 8 * ORDER)[own >= 0]
@@ -218,7 +222,7 @@ def _scorer(model, stats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = model.value
         for batch in batches:
-            for first, end, data, at in blocks(batch.column(1)):
+            for first, end, data, at in blocks(batch.column(1), BLOCK):
                 other = np.repeat(1 - halves(data, at), np.diff(at))
                 grams, inverse = np.unique(ending_grams(data, at) | other << 8 * ORDER, return_inverse=True)
                 run_up = np.concatenate([[0.0], np.cumsum(_gram_scores(keys, values, grams)[inverse])])
@@ -274,13 +278,15 @@ def banded(table: DataFrame, value: str, length: str, fences: float) -> DataFram
     same = F.col("lang").eqNullSafe(F.col("band_lang"))
     off = F.least(F.abs(F.col(value) - F.col("q")[1]), 3 * F.col("range"))
     share = 1 / F.greatest(F.col(length), F.lit(1))
-    fits = fine.join(F.broadcast(bands), same).groupBy(F.col("lang").alias("fit_lang")).agg(F.regr_slope(off * off, share).alias("b"), F.regr_intercept(off * off, share).alias("a"))
-    bands = bands.join(fits, F.col("band_lang").eqNullSafe(F.col("fit_lang")))
+    bands = written(bands, "bands")
+    few = bands.count() <= BROADCAST_BANDS  # a row a language
+    fits = fine.join(F.broadcast(bands) if few else bands, same).groupBy(F.col("lang").alias("fit_lang")).agg(F.regr_slope(off * off, share).alias("b"), F.regr_intercept(off * off, share).alias("a"))
+    bands = written(bands.join(fits, F.col("band_lang").eqNullSafe(F.col("fit_lang"))), "bands")
     a, b = F.greatest("a", F.lit(0.0)), F.greatest("b", F.lit(0.0))
     usual = a + b / F.greatest(F.col("usual"), F.lit(1))
     grown = F.when((b > 0) & (usual > 0), F.greatest(F.lit(1.0), F.sqrt((a + b * share) / usual))).otherwise(F.lit(1.0))
     wide = F.col("range") * fences * grown
-    judged = table.join(bands, same, "left").withColumn("lower", F.col("q")[0] - wide).withColumn("upper", F.col("q")[2] + wide)
+    judged = table.join(F.broadcast(bands) if few else bands, same, "left").withColumn("lower", F.col("q")[0] - wide).withColumn("upper", F.col("q")[2] + wide)
     return judged.drop("band_lang", "fit_lang", "q", "usual", "range", "a", "b")
 
 

@@ -21,30 +21,55 @@ TOKEN = "[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,token:string>>"
 
-#: Chance that neighbouring signs of ordinary text differ in class (lower, upper, digit, other): the null rate.
-ORDINARY_CHANGES = 0.2
+#: Ordinary long tokens, which the step-up control takes as its null: chances that neighbours differ in case (a capital
+#: before a small letter counts as small, separators as nothing) and that a letter stands beside a digit, chance that two
+#: letters are the same one, and correlation of neighbouring signs' places in the alphabet.
+ORDINARY_CASES = 0.08
+ORDINARY_DIGITS = 0.02
+ORDINARY_COINCIDENCE = 0.064
+ORDINARY_CORRELATION = 0.25
+#: Weights of the three tests (chi-squared, runs, serial correlation) in Stouffer's sum.
+WEIGHTS = (1.0, 1.4, 0.6)
+#: Least excess of chi-squared a sign that ordinary tokens are taken to have in a small alphabet.
+LEAST_EXCESS = 0.4
 #: False discoveries allowed among the tokens called random, within each class of lengths.
 DISCOVERY_RATE = 0.01
 #: Upper 0.1 % point of chi-squared with 3 degrees: beyond it the battery denies uniform randomness.
 BATTERY_LIMIT = 16.27
 LENGTHS = (32, 64, 128)
 _BIN = 10
+#: Matches that are placed together; running positions of such groups are added up first.
+_GROUP = 256
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def found_spans(text: Column, pattern: str, rank: int, token: bool = False) -> Column:
     """Spans of a pattern's leftmost non-overlapping matches; token: with the match."""
-    zipped = F.arrays_zip(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
+    kept = lambda m: m.isNotNull() & (F.lit(True) if rank else F.char_length(F.regexp_extract(m, pattern, 2)) >= 12)
+    size = lambda x: F.char_length(x["0"]) + F.coalesce(F.char_length(x["1"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         first = acc["at"] + F.char_length(x["0"])
-        end = first + F.char_length(x["1"])
-        kept = F.lit(True) if rank else F.char_length(F.regexp_extract(x["1"], pattern, 2)) >= 12
-        span = F.struct(first.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), (x["1"] if token else F.lit("")).alias("token"))
-        out = F.when(x["1"].isNotNull() & kept, F.concat(acc["out"], F.array(span).cast(SPAN))).otherwise(acc["out"])
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), out.alias("out"))
+        span = F.struct(first.alias("start"), F.lit(rank).alias("rank"), (acc["at"] + size(x)).alias("end"), (x["1"] if token else F.lit("")).alias("token"))
+        return F.struct((acc["at"] + size(x)).alias("at"), F.when(kept(x["1"]), F.concat(acc["out"], F.array(span).cast(SPAN))).otherwise(acc["out"]).alias("out"))
+
+    def placed(zipped: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / _GROUP).cast("int")), lambda i: F.slice(zipped, i * _GROUP + 1, F.lit(_GROUP)))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        sized = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda n, x: n + size(x))
+
+        def of_groups(g: Column) -> Column:
+            begins = F.aggregate(g, start, lambda acc, own: F.struct((acc["at"] + sized(own)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(g, begins, lambda own, at: F.aggregate(own, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+        return _let(groups, of_groups)
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return _let(F.arrays_zip(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -54,74 +79,72 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 # The alphabets of the encodings that are told apart.
-_HEX_LOWER, _HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_ALNUM = _BASE64[:62]
+_DIGITS, _HEX_LOWER, _HEX_UPPER = "0123456789", "0123456789abcdef", "0123456789ABCDEF"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Patterns of the narrower encodings, narrowest first, and their alphabets (base64url counts as base64, which takes the rest).
+ENCODINGS = (
+    ("[0-9]+", _DIGITS), ("[0-9a-f]+", _HEX_LOWER), ("[0-9A-F]+", _HEX_UPPER), ("[a-z]+", _LOWER), ("[A-Z]+", _UPPER), ("[A-Z2-7]+", _UPPER + "234567"), ("[a-z2-7]+", _LOWER + "234567"),
+    ("[A-Z0-9]+", _UPPER + _DIGITS), ("[a-z0-9]+", _LOWER + _DIGITS), ("[A-Za-z]+", _UPPER + _LOWER), ("[A-Za-z0-9]+", _UPPER + _LOWER + _DIGITS),
+)
+BASE64 = _UPPER + _LOWER + _DIGITS + "+/"
 
 
 def inferred_alphabet(token: Column) -> Column:
-    """Signs of the narrowest encoding that can write the token (base64url counts as base64)."""
-    return (
-        F.when(token.rlike("^[0-9a-f]+$"), _HEX_LOWER)
-        .when(token.rlike("^[0-9A-F]+$"), _HEX_UPPER)
-        .when(token.rlike("^[A-Z2-7]+$"), _BASE32)
-        .when(token.rlike("^[A-Za-z0-9]+$"), _ALNUM)
-        .otherwise(_BASE64)
-    )
+    """Signs of the narrowest encoding that can write the token."""
+    out = F.lit(BASE64)
+    for pattern, alphabet in reversed(ENCODINGS):
+        out = F.when(token.rlike(f"^{pattern}$"), alphabet).otherwise(out)
+    return out
 
 
 def battery(token: Column) -> Column:
-    """Sum of squared deviates of three tests for uniform randomness over the inferred alphabet.
+    """Struct (deviance, surprise) of a token from three tests of randomness over its inferred alphabet.
 
-    Chi-squared of the signs' counts (Wilson-Hilferty deviate, upper side), runs above and below the
-    middle of the alphabet, and serial correlation at lag one.
+    The tests: chi-squared of the signs' counts, runs, serial correlation at lag one. deviance: the sum of
+    their squared deviates where signs are random (Wilson-Hilferty for chi-squared, upper side; runs above and below the middle of the alphabet).
+    surprise: -log10 of a bound on the chance that an ordinary token looks as random as this one. Each test's
+    deviate from ordinary tokens (too even counts; too many runs of lower, upper and digits; too little
+    correlation) is taken, the three are combined by Stouffer's weighted sum. Tokens of one class have none.
     """
 
-    def of_values(v: Column, size: Column) -> Column:
+    def of_values(v: Column, size: Column, classes: Column) -> Column:
         n = F.size(v).cast("double")
         squares = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0.0), lambda acc, k: acc + F.pow(F.size(F.filter(v, lambda y: y == k)).cast("double"), F.lit(2.0)))
         degrees = (size - 1).cast("double")
-        chi = squares * size / n - n
         third = F.lit(2.0) / (F.lit(9.0) * degrees)
-        z_chi = F.greatest(F.lit(0.0), (F.pow(chi / degrees, F.lit(1 / 3)) - (1 - third)) / F.sqrt(third))
         high = F.size(F.filter(v, lambda y: y * 2 >= size)).cast("double")
-        low = n - high
         pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = 1 + F.size(F.filter(pairs, lambda p: (p["a"] * 2 >= size) != (p["b"] * 2 >= size)))
-        both = 2 * high * low
-        spread = both * (both - n) / (n * n * (n - 1))
-        z_runs = F.when(spread > 0, (runs - 1 - both / n) / F.sqrt(spread)).otherwise(F.lit(10.0))
+        turns = F.size(F.filter(pairs, lambda p: (p["a"] * 2 >= size) != (p["b"] * 2 >= size)))
         middle = (size - 1) / F.lit(2.0)
         product = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["a"] - middle) * (p["b"] - middle))
         z_serial = product / (n - 1) / ((size * size - 1) / F.lit(12.0)) * F.sqrt(n - 1)
-        return z_chi * z_chi + z_runs * z_runs + z_serial * z_serial
+        # a change between letter and digit counts twice: it is rarer in ordinary tokens
+        changes = (F.regexp_count(classes, F.lit("a(?=A)|A(?=a)")) + 2 * F.regexp_count(classes, F.lit("[aA](?=0)|0(?=[aA])"))).cast("double")
+        digits = F.contains(classes, F.lit("0")).cast("double")
+
+        def judged(x: Column) -> Column:
+            z_chi = F.greatest(F.lit(0.0), (F.pow(x["chi"] / degrees, F.lit(1 / 3)) - (1 - third)) / F.sqrt(third))
+            both = 2 * x["high"] * (n - x["high"])
+            spread = both * (both - n) / (n * n * (n - 1))
+            z_runs = F.when(spread > 0, (turns - both / n) / F.sqrt(spread)).otherwise(F.lit(10.0))
+            excess = F.greatest(size * F.lit(ORDINARY_COINCIDENCE) - 1, F.lit(LEAST_EXCESS)) * n
+            even = (degrees + excess - x["chi"]) / F.sqrt(2 * (degrees + 2 * excess))
+            m, p, q = (F.char_length(classes) - 1).cast("double"), ORDINARY_CASES, ORDINARY_DIGITS
+            many = (x["changes"] - 0.5 - m * (p + 2 * q * digits)) / F.sqrt(m * (p * (1 - p) + 4 * q * (1 - q) * digits))
+            loose = F.lit(ORDINARY_CORRELATION) * F.sqrt(n - 1) - x["serial"]
+            z = (even * WEIGHTS[0] + many * WEIGHTS[1] + loose * WEIGHTS[2]) / sum(w * w for w in WEIGHTS) ** 0.5
+            surprise = F.when((x["changes"] > 0) & (z > 0), (z * z / 2 + F.ln(F.lit(2.0))) / F.ln(F.lit(10.0))).otherwise(F.lit(0.0))
+            return F.struct((z_chi * z_chi + z_runs * z_runs + x["serial"] * x["serial"]).alias("deviance"), surprise.alias("surprise"))
+
+        return _let(F.struct((squares * size / n - n).alias("chi"), high.alias("high"), z_serial.alias("serial"), changes.alias("changes")), judged)
 
     signs = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
-    return _let(inferred_alphabet(signs), lambda a: _let(F.transform(F.split(signs, ""), lambda c: F.instr(a, c) - 1), lambda v: of_values(v, F.char_length(a))))
-
-
-def ordinary_surprise(token: Column) -> Column:
-    """-log10 of a bound on the chance that ordinary text changes its class of signs so often (Chernoff)."""
-    lower = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
-    plain = F.translate(F.rtrim(lower, F.lit("=")), "/_-", "+++")
-
-    def of_classes(c: Column) -> Column:
-        n = F.size(c) - 1
-        changes = F.size(F.filter(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: a != b), lambda x: x)).cast("double")
-        share = changes / n
-        q = F.lit(ORDINARY_CHANGES)
-        rest = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - q))).otherwise(F.lit(0.0))
-        bits = F.when(share > q, n * (share * F.ln(share / q) + rest)).otherwise(F.lit(0.0))
-        return bits / F.ln(F.lit(10.0))
-
-    return _let(F.split(plain, ""), of_classes)
+    classes = F.regexp_replace(F.regexp_replace(signs, "[+/]", ""), "[A-Z][a-z]", "aa")
+    for pattern, sign in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "0")):
+        classes = F.regexp_replace(classes, pattern, sign)
+    coded = lambda a: _let(F.transform(F.split(signs, ""), lambda c: F.instr(a, c) - 1), lambda v: of_values(v, F.char_length(a), classes))
+    return _let(inferred_alphabet(signs), coded)
 
 
 _CANDIDATE = "array<struct<start:bigint,rank:int,end:bigint,class:int,surprise:double,deviance:double>>"
@@ -134,7 +157,7 @@ def _candidates(text: Column, base: Column) -> Column:
     def judged(t: Column) -> Column:
         length = t["end"] - t["start"]
         group = sum(((length >= n).cast("int") for n in LENGTHS), F.lit(0))
-        return F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), group.alias("class"), ordinary_surprise(t["token"]).alias("surprise"), battery(t["token"]).alias("deviance"))
+        return _let(battery(t["token"]), lambda x: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), group.alias("class"), x["surprise"].alias("surprise"), x["deviance"].alias("deviance")))
 
     return F.when(text.rlike(TOKEN), F.transform(tokens, judged).cast(_CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
 
@@ -193,12 +216,12 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") ->
     """docs with every secret span of the text replaced by the mask (overlapping spans: one mask)."""
     found = secret_spans(docs, docs.columns, text_col)
     text = F.col(f"row.{text_col}")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+        gap = F.array(text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
 
-    rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.char_length(text))))
+    rest = F.aggregate("spans", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(text.substr((acc["at"] + 1).cast("int"), F.char_length(text)))), mask))
     changed = F.when(F.size("spans") > 0, rest).otherwise(text)
     return found.select(*[(changed if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -21,23 +21,29 @@ def scanned_documents() -> str:
     listed = lambda source: f"string_agg(k || ':' || a || ':' || b, ',' order by a, rank) from (select *, ['assign', 'access', 'hex', 'random'][rank + 1] as k from {source})"
     assign = S.ASSIGN.replace("'", "''")
     limits = " + ".join(f"(b - a >= {n})::int" for n in S.LENGTHS)
-    alphabet = f"""case when regexp_full_match(t, '[0-9a-f]+') then '{S._HEX_LOWER}' when regexp_full_match(t, '[0-9A-F]+') then '{S._HEX_UPPER}'
-       when regexp_full_match(t, '[A-Z2-7]+') then '{S._BASE32}' when regexp_full_match(t, '[A-Za-z0-9]+') then '{S._ALNUM}' else '{S._BASE64}' end"""
+    alphabet = "case " + " ".join(f"when regexp_full_match(t, '{pattern}') then '{signs}'" for pattern, signs in S.ENCODINGS) + f" else '{S.BASE64}' end"
+    classes = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[+/]', '', 'g'), '[A-Z][a-z]', 'aa', 'g'), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g')"
+    p, q, w = S.ORDINARY_CASES, S.ORDINARY_DIGITS, S.WEIGHTS
     return f"""with d as (select doc_id, coalesce(text, '') as text from documents), {_spans("assign", 0, S.ASSIGN, f"length(regexp_extract(m, '{assign}', 2)) >= 12")},
 {_spans("access", 1, S.ACCESS)}, {_spans("hex", 2, S.HEX)}, {_spans("token", 3, S.TOKEN)}, base as (
   select * from assign_s union all select * from access_s union all select * from hex_s), cand as (
   select *, {limits} as class, translate(rtrim(m, '='), '-_', '+/') as t, row_number() over () as id from token_s t
   where not exists (select 1 from base b where b.doc_id = t.doc_id and b.a < t.b and t.a < b.b)), coded as (
-  select *, {alphabet} as alphabet, translate(regexp_replace(regexp_replace(regexp_replace(rtrim(m, '='), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g'), '/_-', '+++') as classes from cand), sign as (
-  select id, i, length(alphabet) as size, instr(alphabet, substr(t, i::int, 1)) - 1 as v, substr(classes, i::int, 1) as c from coded, unnest(generate_series(1, length(t))) u(i)), pair as (
-  select *, lead(v) over w as nv, lead(c) over w as nc from sign window w as (partition by id order by i)), sums as (
-  select id, any_value(size) as size, count(*)::double as n, sum((v * 2 >= size)::int)::double as high, sum((nc is not null and c <> nc)::int)::double as changes,
+  select *, {alphabet} as alphabet, {classes} as classes from cand), sign as (
+  select id, i, length(alphabet) as size, instr(alphabet, substr(t, i::int, 1)) - 1 as v from coded, unnest(generate_series(1, length(t))) u(i)), pair as (
+  select *, lead(v) over (partition by id order by i) as nv from sign), sums as (
+  select id, any_value(size) as size, count(*)::double as n, sum((v * 2 >= size)::int)::double as high,
          sum((nv is not null and (v * 2 >= size) <> (nv * 2 >= size))::int)::double as turns, sum((v - (size - 1) / 2.0::double) * (nv - (size - 1) / 2.0::double)) as product from pair group by id), square as (
-  select id, sum(c * c)::double as squares from (select id, v, count(*) as c from sign group by all) group by id), stat as (
-  select id, n, changes / (n - 1) as share, squares * size / n - n as chi, (size - 1)::double as df, 2 * high * (n - high) as two, turns, product / (n - 1) / ((size * size - 1) / 12.0::double) * sqrt(n - 1) as zs from sums join square using (id)), test as (
-  select id, case when share > {S.ORDINARY_CHANGES} then (n - 1) * (share * ln(share / {S.ORDINARY_CHANGES}::double) + case when share < 1 then (1 - share) * ln((1 - share) / (1 - {S.ORDINARY_CHANGES}::double)) else 0.0 end) else 0.0 end / ln(10) as surprise,
+  select id, sum(c * c)::double as squares from (select id, v, count(*) as c from sign group by all) group by id), step as (
+  select id, substr(classes, i::int, 2) as two from coded, unnest(generate_series(1, length(classes) - 1)) u(i)), runs as (
+  select id, sum(case when two in ('aA', 'Aa') then 1 when two in ('a0', 'A0', '0a', '0A') then 2 else 0 end)::double as changes, max(contains(two, '0')::int)::double as digits, count(*)::double as m from step group by id), stat as (
+  select id, n, size, squares * size / n - n as chi, (size - 1)::double as df, 2 * high * (n - high) as two, turns, product / (n - 1) / ((size * size - 1) / 12.0::double) * sqrt(n - 1) as zs,
+         coalesce(changes, 0) as changes, coalesce(digits, 0) as digits, coalesce(m, 1) as m, greatest(size * {S.ORDINARY_COINCIDENCE}::double - 1, {S.LEAST_EXCESS}::double) * n as excess from sums join square using (id) left join runs using (id)), deviate as (
+  select *, ((df + excess - chi) / sqrt(2 * (df + 2 * excess)) * {w[0]}::double + (changes - 0.5 - m * ({p}::double + 2 * {q}::double * digits)) / sqrt(m * ({p}::double * {1 - p}::double + 4 * {q}::double * {1 - q}::double * digits)) * {w[1]}::double
+         + ({S.ORDINARY_CORRELATION}::double * sqrt(n - 1) - zs) * {w[2]}::double) / {sum(x * x for x in w) ** 0.5}::double as z from stat), test as (
+  select id, case when changes > 0 and z > 0 then (z * z / 2 + ln(2)) / ln(10) else 0.0 end as surprise,
          power(greatest(0.0, (power(chi / df, 1.0::double / 3) - (1 - 2.0 / (9.0 * df))) / sqrt(2.0 / (9.0 * df))), 2)
-         + power(case when two * (two - n) > 0 then (turns - two / n) / sqrt(two * (two - n) / (n * n * (n - 1))) else 10.0 end, 2) + zs * zs as deviance from stat), bins as (
+         + power(case when two * (two - n) > 0 then (turns - two / n) / sqrt(two * (two - n) / (n * n * (n - 1))) else 10.0 end, 2) + zs * zs as deviance from deviate), bins as (
   select class, least(floor(surprise * {S._BIN}), {40 * S._BIN})::int as bin, count(*) as n from coded join test using (id) group by all), ranked as (
   select class, bin, sum(n) over (partition by class) as every, sum(n) over (partition by class order by bin desc) as passed from bins), least_v as (
   select class, min(bin) / {S._BIN}.0::double as least from ranked where power(10.0::double, -bin / {S._BIN}.0::double) <= {S.DISCOVERY_RATE} * passed / every group by class), more as (
