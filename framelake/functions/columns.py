@@ -68,10 +68,14 @@ def parse_time(text: Column) -> Column:
     return F.coalesce(number, iso)
 
 
+def clip_stem(path: Column) -> Column:
+    """A path's file name without its extension."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
 def derive_wall_time(path: Column, modified: Column) -> Column:
     """The first ten digits in a file's stem that no digit precedes, as epoch seconds; else its modification time."""
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return F.coalesce(F.nullif(F.regexp_extract(stem, r"(?<!\d)(\d{10})", 1), F.lit("")).cast("double"), modified)
+    return F.coalesce(F.nullif(F.regexp_extract(clip_stem(path), r"(?<!\d)(\d{10})", 1), F.lit("")).cast("double"), modified)
 
 
 def token_features(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 2953
@@ -40,15 +40,19 @@ def chunk_parse(chunks: DataFrame, data_col: str = "payload") -> DataFrame:
 def reassemble(chunks: DataFrame, compat: bool = False) -> DataFrame:
     """(archive_id, status, n_chunks, total, totals_agree, data) from chunks(archive_id, read_order, payload).
 
-    Of repeated indices the last one read counts, and the last chunk's total. Under 70 % of the chunks:
-    failed; under all: partial; only complete archives are decoded (compat: partial ones too, as they are).
-    An archive's chunks meet in one row, so archives are bounded by a row's 2 GB.
+    Of repeated indices the last one read counts, and the last chunk's total. Chunks numbered beyond the total
+    don't count (compat: they do). Under 70 % of the chunks: failed; under all: partial; only complete
+    archives are decoded (compat: partial ones too, as they are). The last chunk of each index is found
+    first, by partial aggregation; then an archive's chunks meet in one row, so archives are bounded by a row's 2 GB.
     """
-    parsed = chunk_parse(chunks)
-    latest = F.row_number().over(Window.partitionBy("archive_id", "idx").orderBy(F.desc("read_order")))
-    totals = parsed.groupBy("archive_id").agg(F.max_by("total", "read_order").alias("total"), (F.count_distinct("total") == 1).alias("totals_agree"))
-    parts = parsed.withColumn("_n", latest).where(F.col("_n") == 1).groupBy("archive_id").agg(F.array_sort(F.collect_list(F.struct("idx", "slice"))).alias("_p"))
-    out = parts.join(totals, "archive_id").withColumn("n_chunks", F.size("_p").cast("long"))
+    read = F.struct("read_order", "slice", "total")
+    latest = chunk_parse(chunks).groupBy("archive_id", "idx").agg(F.max(read).alias("_last"), F.min("total").alias("_low"), F.max("total").alias("_high"))
+    parts = latest.groupBy("archive_id").agg(
+        F.max(F.struct("_last.read_order", "_last.total")).alias("_end"), (F.min("_low") == F.max("_high")).alias("totals_agree"), F.array_sort(F.collect_list(F.struct("idx", F.col("_last.slice").alias("slice")))).alias("_p")
+    ).withColumn("total", F.col("_end.total"))
+    if not compat:
+        parts = parts.withColumn("_p", F.filter("_p", lambda p: (p["idx"] >= 0) & (p["idx"] < F.col("total"))))
+    out = parts.withColumn("n_chunks", F.size("_p").cast("long"))
     status = F.when(F.col("n_chunks") >= F.col("total"), "complete").when(F.col("n_chunks") >= 0.7 * F.col("total"), "partial").otherwise("failed")
     text = F.array_join(F.transform("_p", lambda p: p["slice"]), "")
     out = out.withColumn("status", status)

@@ -106,7 +106,7 @@ def channel_label(camera: Column) -> Column:
 
 def split_labels(text: Column) -> Column:
     """A comma-separated list without blanks."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def wall_times(frames: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import columns as C
 from framelake.functions.ranking import best_object, dominance, structure
-from framelake.operators import backup, colors, detections, embedding, frames, maintenance, search, statistics, times
+from framelake.operators import backup, colors, detections, embedding, frames, indexing, maintenance, search, statistics, times
 from framelake.plans import views as V
 from framelake.plans.sql import ORACLE_SQL
 
@@ -105,14 +105,21 @@ def token_features(spark, sf_dir):
 
 @query
 def hash_embedding(spark, sf_dir):
-    rows = embedding.sparse_embedding(V.queries(spark, sf_dir), "query_id", "text")
-    return rows.select("query_id", "bucket", "n", F.round("weight", 6).alias("weight"))
+    rows = embedding.sparse_embedding(V.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "bucket", "n", F.round("weight", 6).alias("weight"))
 
 
 @query
 def parse_query(spark, sf_dir):
-    q = V.queries(spark, sf_dir).select("query_id", C.parse_query(F.col("text")).alias("q"))
-    return q.select("query_id", *[F.array_join(f"q.{k}", ",").alias(k) for k in ("labels", "colors", "sizes")])
+    q = V.table(spark, sf_dir, "part").select("p_partkey", C.parse_query(F.concat_ws(" ", "p_name", "p_type")).alias("q"))
+    return q.select("p_partkey", *[F.array_join(f"q.{k}", ",").alias(k) for k in ("labels", "colors", "sizes")])
+
+
+@query
+def cosine(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(C.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
 
 
 @query
@@ -137,7 +144,9 @@ def store_search(spark, sf_dir):
 @query
 def structure_dominance(spark, sf_dir):
     asked = V.queries(spark, sf_dir).select("query_id", C.parse_query(F.col("text")).alias("q"))
-    pairs = V.indexed_frames(spark, sf_dir).select("objects").crossJoin(F.broadcast(asked))  # some dozens of part names
+    if asked.count() > search.QUERY_BLOCK:
+        raise ValueError("more queries than one block")
+    pairs = V.indexed_frames(spark, sf_dir).select("objects").join(F.broadcast(asked))  # the stated query set, one block of it
     best = best_object(F.col("objects"), F.col("q"))
     rows = pairs.select("query_id", F.round(structure(best, F.col("q")), 4).alias("structure"), F.round(dominance(F.col("objects"), F.col("q")), 4).alias("dominance"))
     return rows.groupBy("query_id", "structure", "dominance").agg(F.count("*").alias("n"))
@@ -169,6 +178,14 @@ def hybrid_oldest(spark, sf_dir):
     return _hybrid(spark, sf_dir, "oldest")
 
 
+@query
+def hybrid_voted(spark, sf_dir):
+    """The text channel alone (images are of another size), halved by each down-vote."""
+    voted = maintenance.apply_votes(V.embedded_frames(spark, sf_dir), V.votes(spark, sf_dir)).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    found = search.hybrid_search(voted, V.queries(spark, sf_dir), top_k=10, tie_decimals=6, decimals=6, encoder=embedding.hash_counts)
+    return _ranked(found.select("query_id", "rank", "id", "score", "label_match", "color_match", "size_match", "structure", "dominance", "semantic", "quality"))
+
+
 @query
 def label_search(spark, sf_dir):
     pick = lambda c: F.element_at(F.array(*[F.lit(n) for n in V.SUPPORTED_LABELS]), (F.col(c) % 9 + 1).cast("int"))
@@ -191,6 +208,31 @@ def nearest_time_batch(spark, sf_dir):
     return _ranked(times.nearest_time_batch(V.frames(spark, sf_dir), V.targets(spark, sf_dir), 3)).select("target_id", "rank", "id", "delta")
 
 
+@query
+def nearest_time_labels(spark, sf_dir):
+    pick = F.when(F.col("target_id") % 4 == 0, F.array()).when(F.col("target_id") % 4 == 1, F.array(F.lit("car"))).otherwise(F.array(F.lit("dog"), F.lit("bus")))
+    targets = V.targets(spark, sf_dir).withColumn("labels", pick.cast("array<string>")).withColumn("top_k", (F.col("target_id") % 3 + 1).cast("int"))
+    return _ranked(times.nearest_time_batch(V.indexed_frames(spark, sf_dir), targets)).select("target_id", "rank", "id", "delta")
+
+
+@query
+def point_lookup(spark, sf_dir):
+    return frames.get_frame(V.frames(spark, sf_dir), "f500").select("seq", "id", "camera", "wall_time")
+
+
+@query
+def wall_times(spark, sf_dir):
+    rows = V.frames(spark, sf_dir).withColumn("given_wall_time", F.when(F.col("seq") % 3 == 0, F.col("seq") % 2 * 1000.0)).withColumn("derived_wall_time", F.col("wall_time"))
+    return frames.wall_times(rows.drop("wall_time")).select("id", "wall_time")
+
+
+@query
+def channel_defaults(spark, sf_dir):
+    rows = V.frames(spark, sf_dir).withColumn("camera", F.when(F.col("seq") % 5 == 0, "").when(F.col("seq") % 5 != 1, F.col("camera")))
+    label = F.concat_ws(" , ", frames.channel_label(F.col("camera")), F.lit(""), F.concat(F.lit(" "), "source_clip"))
+    return rows.select("id", frames.channel_label(F.col("camera")).alias("camera"), F.array_join(frames.split_labels(label), "|").alias("labels"))
+
+
 @query
 def time_range(spark, sf_dir):
     return frames.filter_wall_time(V.frames(spark, sf_dir), START, END).select("id", "wall_time")
@@ -281,6 +323,36 @@ def apply_descriptions(spark, sf_dir):
     return maintenance.apply_descriptions(V.frames(spark, sf_dir), frames.storable_descriptions(descriptions)).select("id", F.md5("description").alias("description_md5"))
 
 
+@query
+def described_vectors(spark, sf_dir):
+    descriptions = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id") % 700).alias("entry_id"), F.col("text").alias("description"), F.col("doc_id").alias("ts"))
+    rows = V.frames(spark, sf_dir).withColumn("text_embedding", F.array().cast("array<float>"))
+    rows = maintenance.apply_descriptions(rows, frames.storable_descriptions(descriptions), embedding.hash_counts)
+    total = F.aggregate("text_embedding", F.lit(0.0), lambda n, x: n + x)
+    squares = F.aggregate("text_embedding", F.lit(0.0), lambda n, x: n + x * x)
+    return rows.select("id", total.cast("long").alias("n_features"), squares.cast("long").alias("squares"))
+
+
+@query
+def build_index(spark, sf_dir):
+    """A clip for each customer; scene hits from the orders of two in three; detections from their lines."""
+    path = lambda key: F.concat(F.lit("/clips/cam-"), F.when(key % 2 == 0, key + 1_700_000_000).otherwise(key), F.lit(".mp4"))
+    key = F.col("c_custkey")
+    clips = V.table(spark, sf_dir, "customer").select(
+        path(key).alias("path"), (key * 10.0).alias("modified"), F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("cam"), key % 8)).alias("camera"), F.when(key % 5 == 0, key * 100.0).alias("wall_time")
+    )
+    orders = V.table(spark, sf_dir, "orders").where("o_custkey % 3 > 0").select("o_orderkey", path(F.col("o_custkey")).alias("clip"), (F.col("o_orderkey") / 8).alias("ts"))
+    hits = orders.select("clip", "ts")
+    named = frames.cap_keyframes(orders.withColumn("ts_order", F.col("ts"))).select("clip", "frame_name", F.concat(F.lit("f"), "o_orderkey").alias("frame_id"))
+    seen = V.detections(spark, sf_dir).join(named, "frame_id").drop("frame_id")
+    rows = indexing.build_index(clips, hits, seen, embedding.hash_counts, batch=4096)
+    total = F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x).cast("long")
+    return rows.select(
+        "id", "timestamp", "source_clip", "thumbnail_path", "wall_time", "camera", F.array_join("labels", ",").alias("labels"), F.array_join("tags", "|").alias("tags"), "detection_confidence",
+        F.element_at("metadata", "clip_name").alias("clip_name"), total.alias("n_features"), (F.col("embedding") == F.col("text_embedding")).alias("same_vectors"),
+    )
+
+
 @query
 def upsert(spark, sf_dir):
     old = V.frames(spark, sf_dir)

@@ -68,14 +68,14 @@ PAIRS = f"""hits as (
   from ix x cross join typed t left join top on top.query_id = t.query_id and top.frame_id = x.id)"""
 
 
-def _hybrid(order: str = "score desc", where: str = "true", labels: str = "[]::varchar[]") -> str:
-    """The whole search; `order` sorts a query's frames, `where` keeps frames, `labels` are the requested ones."""
+def _hybrid(order: str = "score desc", where: str = "true", labels: str = "[]::varchar[]", weight: str = "1.0") -> str:
+    """The whole search; `order` sorts a query's frames, `where` keeps frames, `labels` are the requested ones, `weight` is that of a frame's text."""
     share = lambda s: f"1 / (60.0::double + rank() over (partition by query_id order by {s} desc) + (count(*) over (partition by query_id, {s}) - 1) / 2.0::double)"
     match = lambda q, f: f"case when types = 0 then 0.0 when len({q}) = 0 then 1.0 when covered > 0 then list_contains({q}, best.{f})::int / len({q})::double else 0.0 end"
     return f"""with {INDEX}, {QUERIES}, {_features("q", "query_id", "text", "qv")}, {_features("ix", "id", "words", "fv")}, {PAIRS}, dot as (
   select a.k as query_id, b.k as id, sum(a.n * b.n)::double as d from qv_b a join fv_b b on a.b = b.b group by all), sem as (
   select d.query_id, d.id, d.d / (x.len * y.len) as s from dot d join qv_l x on x.k = d.query_id join fv_l y on y.k = d.id), sig as (
-  select p.* exclude (structure, dominance), round(p.structure, 6) as structure, round(p.dominance, 6) as dominance, round(coalesce(s.s, 0.0), 6) as semantic
+  select p.* exclude (structure, dominance), round(p.structure, 6) as structure, round(p.dominance, 6) as dominance, round(coalesce(s.s, 0.0) * {weight}, 6) as semantic
   from pairs p left join sem s using (query_id, id) where {where}), fused as (
   select *, case when types > 0 then {share("structure")} + {share("semantic")} + {share("dominance")} else {share("semantic")} end as f from sig), scored as (
   select *, round(f / max(f) over (partition by query_id) * (0.99 + 0.01::double * conf) * case when len({labels}) = 0 or list_has_any({labels}, labels) then 1.0 else 0.2 end, 6) as score from fused), placed as (
@@ -106,8 +106,13 @@ ORACLE_SQL: dict[str, str] = {
        case when wall_time is null or wall_time = 0 then '' else strftime(make_timestamp((wall_time * 1000000)::bigint), '%Y-%m-%d %H:%M:%S') end as wall_clock from frames_v""",
     "token_features": """with w as (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents), c as (select w, count(*) as n from w group by w)
        select f as feature, sum(n)::bigint as n from (select '$' || w as f, n from c union all select substr(w, i, 2), n from c, unnest(generate_series(1, length(w) - 1)) u(i) where length(w) > 2) group by f""",
-    "hash_embedding": f"""with {QUERIES}, {_features("q", "query_id", "text", "v")} select v_b.k as query_id, b as bucket, n, round(n / len, 6) as weight from v_b join v_l on v_b.k = v_l.k""",
-    "parse_query": f"with {QUERIES} select query_id, array_to_string(list_sort(labels), ',') as labels, array_to_string(list_sort(colors), ',') as colors, array_to_string(list_sort(sizes), ',') as sizes from asked",
+    "hash_embedding": f"""with {_features("documents", "doc_id", "text", "v")} select v_b.k as doc_id, b as bucket, n, round(n / len, 6) as weight from v_b join v_l on v_b.k = v_l.k""",
+    "parse_query": f"""with w as (select p_partkey, unnest(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+'))) as word from part), m as (
+       select p_partkey, c.b as color, case when c.b is null then l.b end as label, case when c.b is null and l.b is null then s.b end as size from w left join (values {_values(COLOR_WORDS)}) c(a, b) on c.a = word
+       left join (values {_values(LABEL_WORDS)}) l(a, b) on l.a = word left join (values {_values(SIZE_WORDS)}) s(a, b) on s.a = word)
+       select p_partkey, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(string_agg(distinct color, ',' order by color), '') as colors, coalesce(string_agg(distinct size, ',' order by size), '') as sizes from m group by p_partkey""",
+    "cosine": """with v as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)
+       select a.vec_id, round(case when a.n * b.n > 0 then greatest(-1.0, least(1.0, list_dot_product(a.e, b.e) / (a.n * b.n))) else 0.0 end, 6) as cosine from v a join v b on b.vec_id = a.vec_id + 1""",
     "cosine_topk": """with v as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), s as (
        select a.vec_id::varchar as query_id, b.vec_id as seq, round(case when a.n * b.n > 0 then greatest(-1.0, least(1.0, list_dot_product(a.e, b.e) / (a.n * b.n))) else 0.0 end, 6) as score from v a, v b where a.vec_id % 50 = 0), p as (
        select *, row_number() over (partition by query_id order by score desc, seq) as rank from s) select query_id, rank, seq, seq::varchar as id, score from p where rank <= 5""",
@@ -121,6 +126,7 @@ ORACLE_SQL: dict[str, str] = {
     "hybrid_labels_penalty": _hybrid(labels="['car', 'dog']"),
     "hybrid_newest": _hybrid("coalesce(wall_time, 0.0) desc", "wall_time between 900000000.0 and 931000000.0"),
     "hybrid_oldest": _hybrid("coalesce(wall_time, 0.0)"),
+    "hybrid_voted": _hybrid(weight="power(0.5::double, (select count(*) from events where event_type = 'error' and 'f' || (event_id * 7 % 40000) = p.id))"),
     "label_search": f"""with {INDEX}, w as (select distinct {_list(SUPPORTED_LABELS)}[(l_partkey % 9 + 1)::int] as a, {_list(SUPPORTED_LABELS)}[(l_suppkey % 9 + 1)::int] as b from lineitem), s as (
        select a || '+' || b as query_id, id, seq, len(list_intersect(list_distinct([a, b]), labels)) / 2.0::double as score from ix, w), p as (
        select *, row_number() over (partition by query_id order by score desc, seq) as rank from s where score > 0) select query_id, rank, id, score from p where rank <= 10""",
@@ -129,6 +135,13 @@ ORACLE_SQL: dict[str, str] = {
     "nearest_time_batch": f"""with {FRAMES}, f as (select seq, id, wall_time from frames_v where wall_time is not null), t as (select event_id as target_id, epoch(ts) - {SHIFT}.0::double as t from events), d as (
        select target_id, min({{'d': round(abs(wall_time - t), 4), 'seq': seq, 'id': id}}, 3) as best from f, t group by target_id)
        select target_id, i as rank, best[i].id as id, best[i].d as delta from d, unnest(generate_series(1, len(best))) u(i)""",
+    "nearest_time_labels": f"""with {INDEX}, m as (select seq, id, wall_time, list_contains(labels, 'car')::int as car, list_has_any(labels, ['dog', 'bus'])::int as pet from ix where wall_time is not null), t as (
+       select event_id as target_id, epoch(ts) - {SHIFT}.0::double as t, (event_id % 4 = 1)::int as car, (event_id % 4 > 1)::int as pet from events), d as (
+       select target_id, min({{'d': round(abs(wall_time - t), 4), 'seq': seq, 'id': id}}, 3) as best from m join t on (t.car = 0 or m.car = 1) and (t.pet = 0 or m.pet = 1) group by target_id)
+       select target_id, i as rank, best[i].id as id, best[i].d as delta from d, unnest(generate_series(1, least(len(best), target_id % 3 + 1))) u(i)""",
+    "point_lookup": f"with {FRAMES} select seq, id, camera, wall_time from frames_v where id = 'f500'",
+    "wall_times": f"with {FRAMES} select id, coalesce(case when seq % 3 = 0 then (seq % 2 * 1000)::double end, wall_time) + timestamp as wall_time from frames_v",
+    "channel_defaults": f"""with {FRAMES}, c as (select *, coalesce(nullif(case when seq % 5 = 0 then '' when seq % 5 <> 1 then camera end, ''), 'default') as own from frames_v) select id, own as camera, own || '|' || source_clip as labels from c""",
     "time_range": f"with {FRAMES} select id, wall_time from frames_v where wall_time between 900000000.0 and 931000000.0",
     "clip_offset_range": f"with {FRAMES} select id, timestamp, 1.0::double as score from frames_v where timestamp between 10 and 20 order by seq limit 10",
     "range_join": f"""with {FRAMES}, r as (select event_id, epoch(ts) - {SHIFT}.0::double as a, epoch(ts) - {SHIFT}.0::double + value * 100 as b from events)
@@ -155,7 +168,19 @@ ORACLE_SQL: dict[str, str] = {
     "apply_descriptions": f"""with {FRAMES}, d as (select 'f' || (doc_id % 700) as id, arg_max(text, doc_id) as text from documents where not starts_with(text, 'Description unavailable') group by 1) select f.id, md5(d.text) as description_md5 from frames_v f left join d on d.id = f.id""",
     "upsert": f"""with {FRAMES}, m as (select max(seq) as top from frames_v), c as (select 'f' || (seq * 2) as id, camera, wall_time, seq as o from frames_v)
        select f.seq, f.id, case when c.id is null then f.source_clip else 'changed' end as source_clip, case when c.id is null then f.camera else c.camera end as camera, case when c.id is null then f.wall_time else c.wall_time end as wall_time
-       from frames_v f left join c on c.id = f.id union all select top + 1 + o, id, 'changed', camera, wall_time from c, m where id not in (select id from frames_v)""",
+       from frames_v f left join c on c.id = f.id union all select top + row_number() over (order by o, id), id, 'changed', camera, wall_time from c, m where id not in (select id from frames_v)""",
+    "described_vectors": f"""with {FRAMES}, d as (select 'f' || (doc_id % 700) as id, arg_max(text, doc_id) as text from documents where not starts_with(text, 'Description unavailable') group by 1), {_features("d", "id", "text", "v")}, n as (
+       select k, sum(n)::bigint as n_features, sum(n * n)::bigint as squares from v_b group by k) select id, coalesce(n_features, 0) as n_features, coalesce(squares, 0) as squares from frames_v left join n on n.k = id""",
+    "build_index": f"""with {DETECTIONS}, clips as (select c_custkey as key, 'cam-' || case when c_custkey % 2 = 0 then c_custkey + 1700000000 else c_custkey end as stem, coalesce(nullif(case when c_custkey % 4 = 0 then '' else 'cam' || (c_custkey % 8) end, ''), 'default') as camera,
+       case when c_custkey % 5 = 0 then c_custkey * 100.0::double when c_custkey % 2 = 0 then c_custkey + 1700000000.0::double else c_custkey * 10.0::double end as base from customer), hits as (
+       select o_custkey as key, o_orderkey, o_orderkey / 8.0::double as ts, 'f' || lpad((row_number() over (partition by o_custkey order by o_orderkey) - 1)::varchar, 4, '0') as name, row_number() over (partition by o_custkey order by o_orderkey) as n from orders where o_custkey % 3 > 0), marks as (
+       select key, ts, name, 'f' || o_orderkey as old from hits where n <= 100 union all select key, i * 5.0::double, 'f000' || i, null from clips, unnest(generate_series(0, 9)) u(i) where key not in (select key from hits)
+       union all select key, i * 5.0::double, 'f00' || i, null from clips, unnest(generate_series(10, 11)) u(i) where key not in (select key from hits)), named as (
+       select m.*, '/clips/' || stem || '.mp4' as path, stem || '_' || substr(md5('/clips/' || stem || '.mp4|' || name), 1, 8) as id, base, camera, stem from marks m join clips using (key)), agg as (
+       select frame_id, string_agg(label, ',' order by det_idx) as labels, round(round(avg(confidence), 9), 4) as conf from kept group by frame_id), tg as (select frame_id, string_agg(tag, '|' order by tag) as tags, string_agg(tag, ' ' order by tag) as words from tags_v group by frame_id), x as (
+       select n.*, coalesce(labels, '') as labels, coalesce(conf, 0.0) as conf, coalesce(tags, '') as tags, coalesce(words, id) as words from named n left join agg on agg.frame_id = old left join tg on tg.frame_id = old), {_features("x", "id", "words", "v")}, f as (
+       select k, count(*) as n from v_f group by k) select id, ts as timestamp, path as source_clip, path || '/' || name || '.jpg' as thumbnail_path, base + ts as wall_time, camera, labels, tags, conf as detection_confidence, stem || '.mp4' as clip_name, coalesce(f.n, 0) as n_features, true as same_vectors
+       from x left join f on f.k = id""",
     "append": f"with {FRAMES}, m as (select max(seq) + 1 as top from frames_v) select camera, 2 * count(*) as n, max(seq) + any_value(top) as last from frames_v, m group by camera",
     "retention": """select event_type as class, count(*) as n, min(event_id) as first from events left join (values ('click', 30), ('view', 10), ('error', 0)) p(c, d) on c = event_type
        where d is null or epoch(ts) >= 1706700000.0::double - d * 86400.0::double group by event_type""",

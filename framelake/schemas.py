@@ -30,7 +30,7 @@ DEFAULTS = {
 
 #: Either layout of a vector record.
 VECTOR_RECORD = _struct(
-    id=_STRING, vector=_FLOATS, embedding=_FLOATS, text_embedding=_FLOATS, metadata=_struct(text_vector=_FLOATS, camera=_STRING, label=_STRING), camera=_STRING,
+    id=_STRING, vector=_FLOATS, embedding=_FLOATS, text_embedding=_FLOATS, metadata=T.MapType(_STRING, _STRING), camera=_STRING,
 )
 
 EVENTS = _struct(camera=_STRING, label=_STRING, timestamp=_STRING)

@@ -30,15 +30,17 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, id, embedding, text_embedding, camera, label) of either layout of vector records.
+    """(seq, id, embedding, text_embedding, camera, label, metadata) of either layout of vector records.
 
-    An empty vector counts as missing: then the other layout's field is taken.
+    An empty vector counts as missing: then the other layout's field is taken. metadata holds all keys but the text vector, as text.
     """
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    rows = _json(spark, path, VECTOR_RECORD)
+    rows = _json(spark, path, VECTOR_RECORD).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    rows = rows.withColumn("_text", F.from_json(F.try_element_at("metadata", F.lit("text_vector")), "array<float>"))
+    entry = lambda key: F.try_element_at("metadata", F.lit(key))
     return rows.select(
-        F.monotonically_increasing_id().alias("seq"), "id", F.coalesce(some("vector"), some("embedding")).alias("embedding"),
-        F.coalesce(some("metadata.text_vector"), some("text_embedding")).alias("text_embedding"), F.coalesce("camera", "metadata.camera").alias("camera"), F.col("metadata.label").alias("label"),
+        F.monotonically_increasing_id().alias("seq"), "id", F.coalesce(some("vector"), some("embedding")).alias("embedding"), F.coalesce(some("_text"), some("text_embedding")).alias("text_embedding"),
+        F.coalesce("camera", entry("camera")).alias("camera"), entry("label").alias("label"), F.map_filter("metadata", lambda k, _: k != "text_vector").alias("metadata"),
     )
 
 
@@ -49,9 +51,16 @@ def append_frames(frames: DataFrame, path: str) -> None:
 
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
-    """Appends {id, vector, metadata} lines; the text vector goes into metadata when it isn't empty."""
-    text = F.when(F.size("text_embedding") > 0, F.col("text_embedding"))
-    vectors.select("id", F.col("embedding").alias("vector"), F.struct(text.alias("text_vector")).alias("metadata")).write.mode("append").json(path)
+    """Appends {id, vector, metadata} lines; metadata keeps its keys, camera, label, and the text vector when it isn't empty."""
+    known = [F.when(F.col(c).isNotNull(), F.create_map(F.lit(c), F.col(c))) for c in ("camera", "label") if c in vectors.columns]
+    known += [F.col("metadata")] if "metadata" in vectors.columns else []
+    empty = F.create_map().cast("map<string,string>")
+    entries = F.flatten(F.array(*[F.map_entries(F.coalesce(m, empty)) for m in known])) if known else F.map_entries(empty)
+    named = F.aggregate(entries, empty, lambda out, e: F.when(F.map_contains_key(out, e["key"]), out).otherwise(F.map_concat(out, F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))))
+    own = F.regexp_replace(F.to_json(named), r"\}$", "")
+    text = F.when(F.size("text_embedding") > 0, F.concat(F.when(F.size(named) > 0, ",").otherwise(""), F.lit('"text_vector":'), F.to_json("text_embedding")))
+    line = F.concat(F.regexp_replace(F.to_json(F.struct("id", F.col("embedding").alias("vector"))), r"\}$", ""), F.lit(',"metadata":'), own, F.coalesce(text, F.lit("")), F.lit("}}"))
+    vectors.select(line.alias("value")).write.mode("append").text(path)
 
 
 def read_events(spark: SparkSession, path: str, limit: int | None = 100) -> DataFrame:

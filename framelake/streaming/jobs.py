@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from framelake.operators.frames import apply_retention
+from framelake.operators.statistics import all_counts
 from framelake.operators.times import motion_sessions
 from framelake.schemas import FRAMES
 from framelake.sources.files import with_defaults
@@ -34,8 +35,14 @@ def down_votes(votes: DataFrame) -> DataFrame:
 
 
 def running_counts(frames: DataFrame) -> DataFrame:
-    """Running counts of labels in a stream of frames."""
-    return frames.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    """Running (kind, key, n) of labels (from counts, where a frame has them), colours and tags in a stream of frames."""
+    return all_counts(frames)
+
+
+def running_bounds(frames: DataFrame) -> DataFrame:
+    """Running number of frames and objects, and bounds of their wall times, in a stream of frames: one row."""
+    objects = F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda n, x: n + x)
+    return frames.groupBy().agg(F.count("*").alias("total_frames"), F.coalesce(F.sum(objects), F.lit(0)).alias("total_objects"), F.min("wall_time").alias("time_min"), F.max("wall_time").alias("time_max"))
 
 
 def for_each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", once: bool = True) -> StreamingQuery:

@@ -1,5 +1,8 @@
 """Operators over frames on small tables."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -127,17 +130,29 @@ def test_nearest_time(spark):
     assert times.nearest_time(t, None).count() == 0 and times.nearest_time(t, base, None).count() == 3
 
 
-def test_nearest_batch_is_brute_force(spark):
-    rng = np.random.default_rng(5)
-    at = np.round(np.concatenate([rng.normal(1000, 3, 400), rng.uniform(0, 1e6, 200)]), 1)
-    t = table(spark, [{"id": f"f{i}", "wall_time": float(x)} for i, x in enumerate(at)])
-    ask_ = [(i, float(x)) for i, x in enumerate([*rng.uniform(-10, 1.1e6, 40), *rng.normal(1000, 5, 40)])]
-    got = {}
-    for r in times.nearest_time_batch(t, spark.createDataFrame(ask_, "target_id int, t double"), 4, target_bucket=32).collect():
-        got.setdefault(r["target_id"], []).append((r["rank"], r["id"]))
-    for i, x in ask_:
-        want = sorted(range(len(at)), key=lambda j: (round(abs(at[j] - x), 4), j))[:4]
-        assert [name for _, name in sorted(got[i])] == [f"f{j}" for j in want]
+@pytest.mark.parametrize("bucket", [16, 20_000])
+def test_nearest_batch_is_brute_force(spark, bucket, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(times, "_EVERY", 2)
+    rows = [(i, f"f{i}", None if i % 50 == 0 else 500.0 if i % 3 == 0 else rng.choice([rng.uniform(0, 1000), float(rng.randrange(20)), 700 + rng.random() / 5000]), [x for x in ("car", "dog", "bus") if rng.random() < 0.3]) for i in range(600)]
+    frames_ = spark.createDataFrame(rows, "seq long, id string, wall_time double, labels array<string>")
+    ask_ = [(i, rng.choice([500.0, 700.0, 700.0001, rng.uniform(-50, 1100)]), rng.choice([None, [], ["car"], ["dog", "bus", "dog"], ["cow"]]), rng.choice([None, 1, 3, 40, 0])) for i in range(120)] + [(900, None, None, 2)]
+    targets_ = spark.createDataFrame(ask_, "target_id int, t double, labels array<string>, top_k int")
+
+    def want(k_default):
+        out = []
+        for i, t, labels, top in ask_:
+            k = top if top is not None else k_default
+            near = sorted((math.floor(abs(w - t) * 1e4 + 0.5) / 1e4, s, f) for s, f, w, own in rows if t is not None and w is not None and (not labels or set(labels) & set(own)))
+            out += [(i, n + 1, s, f, d) for n, (d, s, f) in enumerate(near[:k])]
+        return out
+
+    for k in (4, None):
+        got = sorted((r["target_id"], r["rank"], r["seq"], r["id"], r["delta"]) for r in times.nearest_time_batch(frames_, targets_, k, bucket=bucket, asked=7).collect())
+        assert [g[:4] for g in got] == [w[:4] for w in want(k)] and all(abs(g[4] - w[4]) < 1e-9 for g, w in zip(got, want(k), strict=True))
+    plain = times.nearest_time_batch(frames_.drop("labels"), targets_.select("target_id", "t"), 2)
+    assert plain.count() == 240 and times.nearest_time_batch(frames_.limit(0), targets_, 2).count() == 0
+    assert times.nearest_time_batch(frames_, targets_.limit(0), 2).count() == 0
 
 
 def test_range_join(spark):
@@ -174,8 +189,8 @@ def test_statistics(spark):
 
 def test_upsert_and_descriptions(spark):
     t = spark.createDataFrame([(0, "a", "1"), (1, "b", "2"), (2, "a", "3")], "seq long, id string, v string")
-    c = spark.createDataFrame([("a", "x", 0), ("a", "y", 1), ("n", "z", 2)], "id string, v string, change_order long")
-    assert sorted((r["seq"], r["id"], r["v"]) for r in maintenance.upsert_frames(t, c).collect()) == [(0, "a", "y"), (1, "b", "2"), (2, "a", "3"), (5, "n", "z")]
+    c = spark.createDataFrame([("a", "x", 0), ("a", "y", 1), ("n", "z", 5), ("m", "w", 5), ("k", "u", 9)], "id string, v string, change_order long")
+    assert sorted((r["seq"], r["id"], r["v"]) for r in maintenance.upsert_frames(t, c).collect()) == [(0, "a", "y"), (1, "b", "2"), (2, "a", "3"), (3, "m", "w"), (4, "n", "z"), (5, "k", "u")]
     d = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("q", "lost", 1), ("b", "Description unavailable: x", 1)], "entry_id string, description string, ts long")
     rows = maintenance.apply_descriptions(t, frames.storable_descriptions(d)).collect()
     assert {r["id"]: r["description"] for r in rows} == {"a": "new", "b": None}
@@ -224,3 +239,31 @@ def test_retention_and_plans(spark):
     clips = spark.createDataFrame([("a",), ("b",)], "clip string")
     plan = frames.sampling_plan(clips, clips.where("clip = 'a'"))
     assert [r["ts"] for r in plan.orderBy("ts").collect()] == list(range(0, 60, 5))
+
+
+def test_chunks_beyond_the_total_do_not_count(spark):
+    rows = [("a", 0, "0/3|QUJD"), ("a", 1, "1/3|REVG"), ("a", 2, "7/3|R0hJ"), ("b", 0, "0/1|QUJD"), ("b", 1, "5/1|R0hJ")]
+    chunks = spark.createDataFrame(rows, "archive_id string, read_order long, payload string")
+    strict = {r["archive_id"]: (r["status"], r["n_chunks"]) for r in backup.reassemble(chunks).collect()}
+    assert strict == {"a": ("failed", 2), "b": ("complete", 1)}
+    assert {r["archive_id"]: r["status"] for r in backup.reassemble(chunks, compat=True).collect()} == {"a": "complete", "b": "complete"}
+
+
+def test_small_frame_operators(spark):
+    t = table(spark, [{"id": "a", "camera": "", "labels": ["car", "yeti"]}, {"id": "a", "camera": "x"}])
+    assert frames.get_frame(t, "a").first()["camera"] == "" and frames.get_frame(t, "q").count() == 0
+    assert [(r["id"], r["unsupported"]) for r in frames.unsupported_labels(t).collect()] == [("a", ["yeti"])]
+    row = t.limit(1).select(frames.split_labels(F.lit("a, b,,")).alias("x")).first()
+    assert row["x"] == ["a", "b"]
+    times_ = spark.createDataFrame([(0.0, 5.0, 1.0), (None, 5.0, 1.0), (None, None, 1.0)], "given_wall_time double, derived_wall_time double, timestamp double")
+    assert [r["wall_time"] for r in frames.wall_times(times_).collect()] == [1.0, 6.0, None]
+
+
+def test_ranks_of_unrounded_signals(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(q), float(v), int(n)) for q in (0, 1) for v, n in zip(np.concatenate([rng.random(40), 0.5 + rng.random(20) * 1e-7]), rng.integers(1, 4, 60), strict=True)]
+    df = spark.createDataFrame(rows, "at int, s double, n long")
+    exact = {(r["at"], r["s"]): r["fused"] for r in search.fused_ranks(df, ["s"], {"s": F.lit(True)}, 60, exact=True).collect()}
+    for at, s, n in rows:
+        above = sum(m for a, v, m in rows if a == at and v > s)
+        assert exact[at, s] == pytest.approx(1 / (60 + above + (n + 1) / 2))

@@ -37,12 +37,15 @@ def test_append_frames(spark, tmp_path):
 
 
 def test_vectors_in_both_layouts(spark, tmp_path):
-    path = lines(tmp_path / "v.jsonl", [{"id": "a", "vector": [1.0], "metadata": {"text_vector": [2.0], "camera": "x"}}, {"id": "b", "vector": [], "embedding": [3.0], "text_embedding": [4.0]}, "nope"])
+    path = lines(tmp_path / "v.jsonl", [{"id": "a", "vector": [1.0], "metadata": {"text_vector": [2.0], "camera": "x", "clip": 'say "hi"', "n": 7}}, {"id": "b", "vector": [], "embedding": [3.0], "text_embedding": [4.0]}, "nope"])
     rows = {r["id"]: r for r in files.read_vectors(spark, path).collect()}
     assert (rows["a"]["embedding"], rows["a"]["text_embedding"], rows["a"]["camera"]) == ([1.0], [2.0], "x")
     assert (rows["b"]["embedding"], rows["b"]["text_embedding"]) == ([3.0], [4.0])
     files.append_vectors(files.read_vectors(spark, path), str(tmp_path / "out"))
-    assert {r["id"]: r["embedding"] for r in files.read_vectors(spark, str(tmp_path / "out")).collect()} == {"a": [1.0], "b": [3.0]}
+    again = {r["id"]: r for r in files.read_vectors(spark, str(tmp_path / "out")).collect()}
+    assert {k: (r["embedding"], r["text_embedding"], r["camera"], r["metadata"]) for k, r in again.items()} == {"a": ([1.0], [2.0], "x", {"camera": "x", "clip": 'say "hi"', "n": "7"}), "b": ([3.0], [4.0], None, {})}
+    files.append_vectors(spark.createDataFrame([("c", [5.0], [])], "id string, embedding array<float>, text_embedding array<float>"), str(tmp_path / "plain"))
+    assert files.read_vectors(spark, str(tmp_path / "plain")).first()["embedding"] == [5.0]
 
 
 def test_events(spark, tmp_path):
@@ -90,6 +93,13 @@ def test_stream_ingest(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["2.json", "3.json", "a"]
 
 
+def test_stream_ingest_without_repeated_ids(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines(tmp_path / "in/1.json", [FRAME | {"wall_time": 100.0}, FRAME | {"wall_time": 101.0}, FRAME | {"id": "b", "wall_time": 102.0}])
+    jobs.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), dedupe="1 hour").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
 def test_stream_sessions_are_batch_sessions(spark, tmp_path):
     rows = [("c", t, 0.5) for t in (0.0, 2.0, 4.5, 100.0, 101.0, 300.0)]
     df = spark.createDataFrame(rows, "camera string, t double, score double").select("camera", F.timestamp_seconds("t").alias("ts"), "score")
@@ -104,14 +114,17 @@ def test_stream_sessions_are_batch_sessions(spark, tmp_path):
 
 def test_stream_votes_counts_and_retention(spark, tmp_path):
     spark.createDataFrame([("a", "down"), ("a", "down"), ("b", "up")], "entry_id string, vote string").coalesce(1).write.parquet(str(tmp_path / "v"))
-    spark.createDataFrame([(["car", "car"],), (["dog"],)], "labels array<string>").coalesce(1).write.parquet(str(tmp_path / "l"))
+    kind = "labels array<string>, counts map<string,bigint>, objects array<struct<color_name:string>>, tags array<string>, wall_time double"
+    spark.createDataFrame([(["car", "car"], {}, [("red",), (None,)], ["red car"], 5.0), (["dog"], {"dog": 3}, [], [], None)], kind).coalesce(1).write.parquet(str(tmp_path / "l"))
     spark.createDataFrame([("x", 0.0), ("x", 86_400.0 * 3)], "class string, age_ts double").coalesce(1).write.parquet(str(tmp_path / "r"))
     out: dict = {}
     votes = spark.readStream.schema("entry_id string, vote string").parquet(str(tmp_path / "v"))
     jobs.for_each_batch(jobs.down_votes(votes), lambda b, _: out.update({r["entry_id"]: r["downs"] for r in b.collect()}), str(tmp_path / "c1")).awaitTermination()
-    labels = spark.readStream.schema("labels array<string>").parquet(str(tmp_path / "l"))
-    jobs.for_each_batch(jobs.running_counts(labels), lambda b, _: out.update({r["label"]: r["n"] for r in b.collect()}), str(tmp_path / "c2"), "complete").awaitTermination()
-    assert out == {"a": 2, "car": 2, "dog": 1}
+    seen = lambda: spark.readStream.schema(kind).parquet(str(tmp_path / "l"))
+    jobs.for_each_batch(jobs.running_counts(seen()), lambda b, _: out.update({(r["kind"], r["key"]): r["n"] for r in b.collect()}), str(tmp_path / "c2"), "complete").awaitTermination()
+    assert out == {"a": 2, ("label", "car"): 2, ("label", "dog"): 3, ("color", "red"): 1, ("tag", "red car"): 1}
+    jobs.for_each_batch(jobs.running_bounds(seen()), lambda b, _: out.update(b.first().asDict()), str(tmp_path / "c4"), "complete").awaitTermination()
+    assert [out[k] for k in ("total_frames", "total_objects", "time_min", "time_max")] == [2, 3, 5.0, 5.0]
     policy = spark.createDataFrame([("x", 2)], "class string, days int")
     rows = spark.readStream.schema("class string, age_ts double").parquet(str(tmp_path / "r"))
     jobs.for_each_batch(rows, jobs.retain_batch(policy, str(tmp_path / "kept")), str(tmp_path / "c3"), "append").awaitTermination()
