@@ -20,6 +20,8 @@ from framelake.llm.textarrays import blocks, counts_before, owner, span_hashes,
 #: Labelled documents that the model is fitted on, and bytes of the longest of them.
 MAX_TRAINING_DOCS = 4000
 MAX_TRAINING_BYTES = 50_000
+#: Lines of the longest of them: features of at most MAX_TRAINING_DOCS x MAX_TRAINING_LINES lines reach the driver.
+MAX_TRAINING_LINES = 500
 _FEATURES = 16
 
 
@@ -113,10 +115,11 @@ def _steps(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[order], n[order]
 
 
-def forward_backward(score: np.ndarray, doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def forward_backward(score: np.ndarray, doc: np.ndarray, table: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginal of label 1 for each line, expected transitions (2 x 2), and the log partition sum.
 
-    score is the line's weight for label 1 (label 0 has weight 0); all texts advance together.
+    score is the line's weight for label 1 (label 0 has weight 0); all texts advance together. Transitions
+    count as much as `share` says of their first line (else 1).
     """
     first, n = _steps(doc)
     front, back = np.zeros((len(score), 2)), np.zeros((len(score), 2))
@@ -142,30 +145,35 @@ def forward_backward(score: np.ndarray, doc: np.ndarray, table: np.ndarray) -> t
     weight = np.stack([np.zeros(len(score)), score], 1)
     for i in (0, 1):
         for j in (0, 1):
-            pairs[i, j] = np.exp(front[inner, i] + table[i, j] + weight[inner + 1, j] + back[inner + 1, j] - log_z[inner]).sum()
+            pairs[i, j] = np.exp(front[inner, i] + table[i, j] + weight[inner + 1, j] + back[inner + 1, j] - log_z[inner]) @ (np.ones(len(inner)) if share is None else share[inner])
     return good, pairs, float(log_z[first].sum()) if len(first) else 0.0
 
 
 def fit_chain(x: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 120, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the features and the transition table: penalised likelihood of the line labels, by Adam.
+    """Weights of the features and the transition table: by Adam, the least mean over documents of minus log likelihood a line, plus a ridge.
 
-    Each document counts once: its lines share the gradient equally, so long texts don't drown short ones.
+    Each document counts once: its lines and their transitions share its weight equally, so long texts don't drown short ones.
     """
     share = 1 / np.bincount(doc)[doc]
     n = doc.max() + 1
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     seen = np.zeros((2, 2))
-    np.add.at(seen, (label[inner], label[inner + 1]), 1)
+    np.add.at(seen, (label[inner], label[inner + 1]), share[inner])
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        good, pairs, _ = forward_backward(x @ theta[:-4], doc, theta[-4:].reshape(2, 2))
-        slope = np.concatenate([x.T @ ((good - label) * share) / n, ((pairs - seen) / max(1, len(inner))).ravel()]) + penalty * theta
+        slope = chain_slope(theta, x, doc, label, share, seen, n) + penalty * theta
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         theta -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
+def chain_slope(theta: np.ndarray, x: np.ndarray, doc: np.ndarray, label: np.ndarray, share: np.ndarray, seen: np.ndarray, n: int) -> np.ndarray:
+    """Gradient of the mean over n documents of minus log likelihood a line."""
+    good, pairs, _ = forward_backward(x @ theta[:-4], doc, theta[-4:].reshape(2, 2), share)
+    return np.concatenate([x.T @ ((good - label) * share), (pairs - seen).ravel()]) / n
+
+
 def aggregated(good: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
     """Mean of the lines' marginals in each text, weighted by line length (an empty line counts as one byte)."""
     weight = np.maximum(size, 1)
@@ -201,10 +209,10 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> dict | None:
     """The model of docs(doc_id, text) and labels(doc_id, label): fitted on at most `max_docs` of `max_bytes`.
 
-    Half of the sample may come from each label. Every line of a document is taught as its document's
+    Half of the sample may come from each label; texts of over MAX_TRAINING_LINES lines are passed over. Every line of a document is taught as its document's
     label. None if there is no document of either label.
     """
-    rows = labelled_sample(docs, labels, {0: max_docs // 2, 1: max_docs // 2}, max_bytes)
+    rows = labelled_sample(docs, labels, {0: max_docs // 2, 1: max_docs // 2}, max_bytes, MAX_TRAINING_LINES)
     sample = rows.select("label", "text").mapInArrow(_emit, "label int, features array<float>, sizes array<long>").toArrow()
     label = sample.column("label").to_numpy().astype(np.int64)
     if len(set(label.tolist())) < 2:
@@ -251,8 +259,8 @@ def document_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     """(doc_id, held_out, score, predicted) for every row of documents.
 
     Learns labels.quality from rows whose crc32(doc_id) mod 5 is not 0 (null doc_id: held out). Repeated
-    rows stay and score alike; labels with null or other values teach nothing; without labels of both
-    kinds every score is 0.5.
+    rows stay and score alike; labels with null or other values teach nothing, of labels that disagree the
+    larger counts; without labels of both kinds every score is 0.5.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))

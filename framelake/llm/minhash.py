@@ -145,8 +145,8 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter replaced by as many code points (or all) of the next document in
     doc_id order; the last document is followed by the first. Null texts count as empty: fingerprint "",
-    like only to another empty one. Rows that share a doc_id follow each other in the order of their
-    texts; a single row follows itself; an empty table gives an empty result. Columns beside doc_id and
+    like only to another empty one. Rows that share a doc_id follow each other in the order of a
+    hash of their texts; a single row follows itself; an empty table gives an empty result. Columns beside doc_id and
     text are ignored.
 
     One range shuffle brings rows into doc_id order. Inside a partition the next row is at hand; the last
@@ -154,7 +154,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # repeated ids go by a hash of their text, and equal rows, which are alike, by a seeded draw: no id is one task's
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("by"), F.rand(7).alias("draw"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "by", "draw").sortWithinPartitions("doc_id", "by", "text", "draw").select("doc_id", "text")
     done = written(ordered.mapInArrow(_in_order, f"{_FIELDS}, part int, head boolean, tail boolean, text string"), "fingerprints")
     order = sorted(r["part"] for r in done.where("tail").select("part").collect())  # one number a partition
     follows = spark.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "part int, after int")

@@ -11,6 +11,8 @@ from framelake.llm.storage import written
 
 #: Blocks that a source's documents are dealt into; a pass draws whole blocks in a permuted order.
 BLOCKS = 512
+#: Bits of a draw (of 60) below its step; a block has 512 steps.
+STEP_BITS = 51
 #: Parts that each step of the search for the exponent cuts its interval into.
 PARTS = 16
 #: Rows of the plan (sources times blocks, under 100 bytes each) up to which it is sent to every task.
@@ -103,11 +105,17 @@ def mixed(docs: DataFrame, keep: list[str], source_col: str = "source", text_col
     run = run.withColumnRenamed("tokens", "block_tokens").join(plan, "src")
     run = run.withColumn("rest", F.col("left") - (F.col("upto") - F.col("block_tokens")))
     run = written(run.select("src", "block", "place", "weight", "passes", "block_tokens", "rest"), "mix-plan")
-    # the block that the budget ends in: its documents by their draw, as far as tokens last
+    # the block that the budget ends in, then the step of draws in it: only the documents of that step are ranked
     cut = run.where("rest > 0 and rest < block_tokens").select("src", "block", "rest")
-    inside = rows.join(cut, ["src", "block"]).groupBy("src", "block", "draw", "rest").agg(F.sum("tokens").alias("tokens"))
-    upto = F.sum("tokens").over(Window.partitionBy("src", "block").orderBy("draw"))
-    last = inside.withColumn("upto", upto).where("upto <= rest").groupBy("src", "block").agg(F.max("draw").alias("last"))
+    inside = rows.join(cut, ["src", "block"]).withColumn("step", F.shiftright("draw", STEP_BITS))
+    steps = inside.groupBy("src", "block", "step", "rest").agg(F.sum("tokens").alias("tokens"), F.max("draw").alias("last"))
+    steps = steps.withColumn("upto", F.sum("tokens").over(Window.partitionBy("src", "block").orderBy("step")))
+    whole_steps = steps.where("upto <= rest").groupBy("src", "block").agg(F.max("last").alias("last"))
+    broken = steps.where("upto > rest and upto - tokens <= rest").select("src", "block", "step", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left_over"))
+    inside = inside.join(broken, ["src", "block", "step"]).groupBy("src", "block", "step", "draw", "left_over").agg(F.sum("tokens").alias("tokens"))
+    upto = F.sum("tokens").over(Window.partitionBy("src", "block", "step").orderBy("draw"))
+    last = inside.withColumn("upto", upto).where("upto <= left_over").groupBy("src", "block").agg(F.max("draw").alias("last"))
+    last = last.unionByName(whole_steps).groupBy("src", "block").agg(F.max("last").alias("last"))
     plan = run.join(last, ["src", "block"], "left")
     full = (F.col("rest") >= F.col("block_tokens")) & (F.col("rest") > 0)
     part = F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))

@@ -5,6 +5,7 @@ at their start or alone, so words (a run of space marks and what follows) can be
 A path's score is the sum of its pieces' scores; a sign without a piece costs the lowest score less 10
 and is written as its UTF-8 bytes. Of equal paths the one with the shorter last piece wins.
 A literal space mark (U+2581) in a text is written as bytes, so decoding gives back every text exactly.
+Memory is bounded by a block of BLOCK_SIGNS, or by the longest word where that is longer.
 """
 
 from __future__ import annotations
@@ -127,14 +128,45 @@ def _utf8_bytes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
 
 
+def cut(text: str, size: int = BLOCK_SIGNS) -> list[str]:
+    """A spaced text in parts of about `size` signs, each beginning with a word (a longer word is a part of its own)."""
+    parts, first = [], 0
+    while len(text) - first > size:
+        at = text.find(" ", first + size)
+        while at > 0 and text[at - 1] == " ":
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        parts.append(text[first:at])
+        first = at
+    return [*parts, text[first:]]
+
+
 def encode(texts: list[str], model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and offsets; an empty text has none."""
-    spaced = [" " + t if t else "" for t in texts]
+    """Ids of all texts one after another, and offsets; an empty text has none. A long text is encoded part by part."""
+    parts = [cut(" " + t) if t else [""] for t in texts]
+    ids: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    held: list[str] = []
+    signs = 0
+    for part in (p for own in parts for p in own):
+        held.append(part)
+        signs += len(part)
+        if signs >= BLOCK_SIGNS:
+            found, at = _encode_parts(held, model)
+            ids, sizes, held, signs = [*ids, found], [*sizes, np.diff(at)], [], 0
+    found, at = _encode_parts(held, model)
+    run = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.diff(at)]))])
+    return np.concatenate([*ids, found]).astype(np.int32), run[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
+
+
+def _encode_parts(spaced: list[str], model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets of parts of texts, each empty or beginning with a space."""
     at = np.concatenate([[0], np.cumsum([len(t) for t in spaced])]).astype(np.int64)
     points = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     points = np.where(points == _MARK, _LITERAL, np.where(points == 32, _MARK, points))
     if not len(points):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(spaced) + 1, np.int64)
     mark = points == _MARK
     first = mark.copy()
     first[1:] &= ~mark[:-1]

@@ -17,13 +17,13 @@ BUCKETS = 200
 MOST_DRAWS = 4096
 
 
-def ranked(rows: DataFrame, part: Column, scatter: Column, order: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, part: Column, first: Column, second: Column, order: list[str]) -> DataFrame:
     """rows with `place`: 0, 1, ... within each value of `part`, in no order but that of scattered buckets.
 
-    Rows go into BUCKETS x BUCKETS buckets of each part by the hash `scatter`. A bucket is numbered in a
+    Rows go into BUCKETS x BUCKETS buckets of each part by two hashes. A bucket is numbered in a
     window of its own; sums over buckets, then over their first level, give where its numbers begin.
     """
-    at = rows.withColumn("_p", part).withColumn("_a", F.pmod(scatter, F.lit(BUCKETS))).withColumn("_b", F.pmod(F.shiftright(scatter, 20), F.lit(BUCKETS)))
+    at = rows.withColumn("_p", part).withColumn("_a", F.pmod(first, F.lit(BUCKETS))).withColumn("_b", F.pmod(F.shiftright(second, 20), F.lit(BUCKETS)))
     counts = at.groupBy("_p", "_a", "_b").agg(F.count("*").alias("n"))
     inner = counts.withColumn("low", F.sum("n").over(Window.partitionBy("_p", "_a").orderBy("_b")) - F.col("n"))
     outer = counts.groupBy("_p", "_a").agg(F.sum("n").alias("m"))
@@ -64,7 +64,7 @@ def propagated(state: DataFrame, shards: int, capacity: int) -> DataFrame:
         ways = moves.groupBy("shard", "to", "c").agg(F.count("*").alias("there"))
         back = ways.select(F.col("shard").alias("to"), F.col("to").alias("shard"), "c", F.col("there").alias("back"))
         lanes = ways.join(back, ["shard", "to", "c"]).select("shard", "to", "c", F.least("there", "back").alias("swaps"))
-        placed = ranked(moves.join(lanes, ["shard", "to", "c"]), F.struct("shard", "to", "c"), F.col("draw"), ["grp"])
+        placed = ranked(moves.join(lanes, ["shard", "to", "c"]), F.struct("shard", "to", "c"), F.col("draw"), F.col("draw"), ["grp"])
         swapped = written(placed.where(F.col("place") < F.col("swaps")).select("grp", "shard", "to"), "swapped")
         draws = min(MOST_DRAWS, max(16, requests))
         others = moves.join(swapped.select("grp", "shard"), ["grp", "shard"], "left_anti").withColumn("draw", F.pmod("draw", F.lit(draws)))
@@ -90,8 +90,9 @@ def balanced_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("grp"))
-    salt = F.xxhash64(F.col("doc_id").cast("string"), "grp")
-    rows = written(rows.withColumn("start", F.pmod(salt, F.lit(shards)).cast("int")), "rows")
+    # a row's salt is drawn once and written, so that rows equal in all columns part too
+    rows = rows.withColumn("salt", F.xxhash64(F.col("doc_id").cast("string"), "grp", F.rand(11)))
+    rows = written(rows.withColumn("start", F.pmod("salt", F.lit(shards)).cast("int")), "rows")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     state = rows.groupBy("grp", "start").agg(F.count("*").alias("n"))
@@ -99,25 +100,23 @@ def balanced_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     groups = state.groupBy("grp").agg(F.sum("n").alias("all")).where("all > 1").select("grp")
     state = written(state.join(groups, "grp").select("grp", "start", F.col("start").alias("shard"), "n"), "state")
     moved = propagated(state, shards, total // shards)
-    # members of a large group are dealt out by their own hash, those of a small one stay together
-    large = F.sum("n").over(Window.partitionBy("grp")) > max(64, total // (shards * BUCKETS))
-    placed = written(rows.join(moved.select("grp", "start", "shard", large.alias("large")), ["grp", "start"], "left"), "placed")
+    placed = written(rows.join(moved.select("grp", "start", "shard"), ["grp", "start"], "left"), "placed")
     # groups keep their shard up to its quota; what is over, and single texts, fill the room that is left
     limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
-    scatter = F.when(F.col("large"), F.xxhash64("grp", F.col("doc_id").cast("string"))).otherwise(F.xxhash64("grp"))
-    grouped = written(ranked(placed.where("shard is not null"), F.col("shard"), scatter, ["grp", "doc_id", "size"]), "grouped")
+    # a group stays in one first-level bucket, its members part in the second: few groups are cut at the quota, none is one task's
+    grouped = written(ranked(placed.where("shard is not null"), F.col("shard"), F.xxhash64("grp"), F.col("salt"), ["grp", "salt"]), "grouped")
     stay = grouped.where(F.col("place") < limit)
-    columns = ["doc_id", "size", "text_crc32"]
+    columns = ["doc_id", "size", "text_crc32", "salt"]
     loose = placed.where("shard is null").select(*columns, "grp").unionByName(grouped.where(F.col("place") >= limit).select(*columns, "grp"))
     held = {r["shard"]: r["n"] for r in stay.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     ends, run = [], 0
     for s in range(shards):
         run += quota[s] - held.get(s, 0)
         ends.append(run)
-    pool = ranked(loose, F.lit(0), F.xxhash64(F.col("doc_id").cast("string"), "grp"), ["doc_id", "size"])
+    pool = ranked(loose, F.lit(0), F.col("salt"), F.xxhash64("salt"), ["salt"])
     shard = sum(((F.col("place") >= e).cast("int") for e in ends[:-1]), F.lit(0))
     begin = F.element_at(F.array(*[F.lit(e - (quota[s] - held.get(s, 0))) for s, e in enumerate(ends)]), F.col("shard") + 1)
     base = F.element_at(F.array(*[F.lit(held.get(s, 0)) for s in range(shards)]), F.col("shard") + 1)
     filled = pool.withColumn("shard", shard).withColumn("slot", F.col("place") - begin + base)
     whole = stay.select(*columns, "shard", F.col("place").alias("slot")).unionByName(filled.select(*columns, "shard", "slot"))
-    return whole.select(*columns, F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return whole.select(*columns[:3], F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -15,8 +15,6 @@ from framelake.llm.storage import written
 
 #: Points of a shard that are compared without a further split.
 LEAF = 256
-#: Blocks that the 64 bits are cut into; one tree is grown over each.
-BLOCKS = 3
 #: Fingerprints that the trees are grown from, about, and points that a shard should hold.
 SAMPLE = 32_768
 SHARD = 8192
@@ -57,27 +55,34 @@ def simhash(rows: DataFrame, size: int = 4) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fingerprint long")
 
 
-def masks(parts: int = BLOCKS) -> list[np.uint64]:
-    """The 64 bits cut into blocks, each as a mask."""
+def blocks_for(radius: int) -> int:
+    """Blocks that the 64 bits are cut into, so that fingerprints within the radius differ in at most one bit of some block."""
+    return radius // 2 + 1
+
+
+def masks(parts: int) -> list[np.uint64]:
+    """The 64 bits cut into blocks, each as a mask; one tree is grown over each."""
     return [np.uint64(sum(1 << b for b in range(64 * p // parts, 64 * (p + 1) // parts))) for p in range(parts)]
 
 
-def ball_split(points: np.ndarray, mask: np.uint64, reach: int, tries: int = 3) -> tuple[np.uint64, int, np.ndarray, np.ndarray] | None:
+def ball_split(points: np.ndarray, mask: np.uint64, reach: int, tries: int = 2) -> tuple[np.uint64, int, np.ndarray, np.ndarray] | None:
     """The vantage point and distance that part the points best: those inside, and those not surely inside.
 
     Distances count the bits of `mask`. Points within `reach` of the boundary go outside too: by the triangle
     inequality two points at most `reach` apart meet on one side at least. None if no split prunes a tenth.
     """
     best = None
-    for at in range(0, len(points), max(1, len(points) // tries)):
+    for at in range(0, len(points), -(-len(points) // tries)):
         far = np.bitwise_count((points ^ points[at]) & mask)
-        middle = int(np.median(far))
-        for split in (middle - 1, middle):
-            inside, outside = far <= split, far > split - reach
-            most = max(int(inside.sum()), int(outside.sum()))
-            if most <= 0.9 * len(points) and (best is None or most < best[0]):
-                best = most, points[at], split, inside, outside
-    return best and best[1:]
+        upto = np.cumsum(np.bincount(far, minlength=65))
+        most = np.maximum(upto[reach:], len(points) - upto[: 65 - reach])  # split at reach, reach + 1, ...
+        split = int(most.argmin())
+        if most[split] <= 0.9 * len(points) and (best is None or most[split] < best[0]):
+            best = most[split], points[at], split + reach, far
+    if best is None:
+        return None
+    _, vantage, split, far = best
+    return vantage, split, far <= split, far > split - reach
 
 
 def grown_tree(sample: np.ndarray, mask: np.uint64, reach: int, scale: float, most: int) -> list[tuple[np.uint64, int, int, int]]:
@@ -193,18 +198,19 @@ def _by_shard(radius: int, blocks: int, reach: int):
     return run
 
 
-def near_fingerprints(points: DataFrame, radius: int = 4, most: int = SHARD, blocks: int = BLOCKS) -> DataFrame:
+def near_fingerprints(points: DataFrame, radius: int = 4, most: int = SHARD) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fingerprints within the radius.
 
-    Two fingerprints within `radius` differ in at most radius // blocks bits of one block. Over each block
+    Two fingerprints within `radius` differ in at most one bit of one block. Over each block
     a vantage-point tree, grown from about SAMPLE fingerprints, deals all fingerprints into shards of about
     `most`, those near a boundary into the shards on both sides. Each shard goes on with a tree of its own
     and compares what is left. Only chains of links leave a task: fewer than its fingerprints.
     """
+    blocks = blocks_for(radius)
     total = points.count()
     every = max(1, total // SAMPLE)
     picked = points.where(F.pmod(F.xxhash64("point"), F.lit(every)) == 0).limit(2 * SAMPLE)  # distinct points: near SAMPLE of them
-    sample = np.sort(np.array([r["point"] for r in picked.collect()], np.int64)).view(np.uint64)
+    sample = np.sort(picked.select("point").toArrow()["point"].to_numpy()).view(np.uint64)
     sample = np.random.default_rng(0).permutation(sample)
     reach = radius // blocks
     trees = [grown_tree(sample, m, reach, total / max(1, len(sample)), most) for m in masks(blocks)]

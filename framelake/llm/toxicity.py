@@ -1,4 +1,4 @@
-"""Toxicity: a learned lexicon's trie, intersected with Levenshtein automata, and scores of the words around.
+"""Toxicity: a learned lexicon's trie, intersected with Levenshtein automata, and scores of the context of a hit.
 
 The lexicon is learned from labels: whole words, and word beginnings (stems) that stand for all their
 endings. The trie and the automaton of `edits` errors are determinised together into one table
@@ -18,18 +18,19 @@ from framelake.llm.samples import labelled_sample
 from framelake.llm.storage import written
 from framelake.llm.textarrays import BLOCK_BYTES, blocks, words
 
-#: Bounds of the fit: labelled documents of either kind, bytes of the longest, candidate terms, lexicon size.
+#: Bounds of the fit: labelled documents of either kind, and bytes of the longest.
 MAX_TOXIC = 4000
 MAX_CLEAN = 12_000
 MAX_BYTES = 50_000
-MAX_CANDIDATES = 200_000
-MAX_TERMS = 400
 STEM = 4
-#: Words on either side of a hit that are looked at, and the signs that open or close a quotation.
+#: Words on either side of a hit that are looked at.
 WINDOW = 6
-QUOTES = ('"', "“", "”", "„", "«", "»", "‘", "’")
-#: Lower-case words that report speech rather than use it, looked for in the window.
-REPORTING = ("said", "says", "quote", "quoted", "called", "word", "term", "slur", "dit", "mot", "sagte", "wort", "dijo", "palabra")
+#: Marks that open a quotation with those that close it; one that does both alternates.
+QUOTES = (('"', '"'), ("“", "”"), ("„", "“"), ("„", "”"), ("«", "»"), ("»", "«"), ("‘", "’"), ("‚", "‘"), ("'", "'"))
+#: Least hits that a context word needs, log odds it must reach to count, and log odds at which a window counts as one of quotation or report.
+LEAST_CONTEXT = 5
+LEAST_ODDS = 0.7
+CLEAN_ODDS = -1.4
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…"
 
 
@@ -41,7 +42,8 @@ def plain(word: str) -> str:
 class Automaton:
     """Deterministic automaton of all strings within the allowed edits of a term (or, for stems, beginning so).
 
-    Terms under `fuzzy_from` characters allow no edit. A state is a set of (trie node, edits used); `table` holds
+    An edit inserts, drops or replaces a sign, or swaps two neighbours. Terms under `fuzzy_from` characters
+    allow none. A state is a set of (trie node, edits used, sign of a swap that must come next); `table` holds
     the next state for each byte of `alphabet` (its last column: any other sign), 0 is dead. `term` and `used` tell which term
     a word matches with the fewest edits if it ends in a state; `final` states of stems take any ending.
     """
@@ -68,32 +70,40 @@ class Automaton:
         signs = [*self.alphabet, None]
         soft_end = [e >= 0 and len(terms[e][0]) >= (fuzzy_stems_from if terms[e][1] else fuzzy_from) for e in ends]
 
-        def closed(states: set[tuple[int, int]]) -> frozenset:
+        def closed(states: set[tuple[int, int, str]]) -> frozenset:
             """With the errors that skip a sign of the term."""
-            todo, out = list(states), set(states)
+            todo, out = [x for x in states if not x[2]], set(states)
             while todo:
-                node, used = todo.pop()
+                node, used, _ = todo.pop()
                 if used < edits and fuzzy[node]:
                     for child in nodes[node].values():
-                        if fuzzy[child] and (child, used + 1) not in out:
-                            out.add((child, used + 1))
-                            todo.append((child, used + 1))
-            return frozenset(s for s in out if not any((s[0], u) in out for u in range(s[1])))
+                        if fuzzy[child] and (child, used + 1, "") not in out:
+                            out.add((child, used + 1, ""))
+                            todo.append((child, used + 1, ""))
+            return frozenset(x for x in out if x[2] or not any((x[0], u, "") in out for u in range(x[1])))
 
         def step(states: frozenset, sign: str | None) -> frozenset:
-            out: set[tuple[int, int]] = set()
-            for node, used in states:
+            out: set[tuple[int, int, str]] = set()
+            for node, used, wait in states:
+                if wait:
+                    if sign == wait:
+                        out.add((node, used, ""))
+                    continue
                 stem = ends[node] >= 0 and terms[ends[node]][1]
                 if stem and (used == 0 or soft_end[node]):
-                    out.add((node, used))  # any ending goes
+                    out.add((node, used, ""))  # any ending goes
                 if sign in nodes[node]:
-                    out.add((nodes[node][sign], used))
+                    out.add((nodes[node][sign], used, ""))
                 if used < edits and fuzzy[node]:
-                    out.add((node, used + 1))
-                    out |= {(child, used + 1) for child in nodes[node].values() if fuzzy[child]}
+                    out.add((node, used + 1, ""))
+                    for first, child in nodes[node].items():
+                        if fuzzy[child]:
+                            out.add((child, used + 1, ""))
+                            if sign != first and sign in nodes[child] and fuzzy[nodes[child][sign]]:
+                                out.add((nodes[child][sign], used + 1, first))
             return closed(out)
 
-        start = closed({(0, 0)})
+        start = closed({(0, 0, "")})
         number, rows = {frozenset(): 0, start: 1}, [[0] * len(signs)]
         order = [start]
         for states in order:
@@ -106,7 +116,7 @@ class Automaton:
                 row.append(number[after])
             rows.append(row)
         self.table = np.array(rows, np.int32)
-        best = [min(((used, ends[node]) for node, used in s if ends[node] >= 0 and (used == 0 or soft_end[node])), default=(-1, -1)) for s in order]
+        best = [min(((used, ends[node]) for node, used, wait in s if not wait and ends[node] >= 0 and (used == 0 or soft_end[node])), default=(-1, -1)) for s in order]
         self.used = np.array([-1, *[u for u, _ in best]], np.int8)
         self.term = np.array([-1, *[t for _, t in best]], np.int32)
 
@@ -153,41 +163,77 @@ def plain_words(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return left, right, doc, starts, ends
 
 
-def hits(texts: list[str], automaton: Automaton) -> dict[str, np.ndarray]:
-    """Every word that the automaton accepts: text, term, edits, whether quoted or reported around it."""
+def quoted_spans(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each sign of some texts, whether it lies between a mark that opens a quotation and its closing mark.
+
+    Marks between two letters or digits are apostrophes. A pair lies in one line of one text; of marks of
+    one style an opening one goes with the next mark if that closes.
+    """
+    line = np.cumsum((points == 10) | np.isin(np.arange(len(points)), at[1:-1])) if len(points) else np.zeros(0, np.int64)
+    solid = ~_ASCII_EDGE[points] & ~_BLANK[points]
+    inner = np.zeros(len(points), bool)
+    inner[1:-1] = solid[:-2] & solid[2:] & (line[:-2] == line[1:-1]) & (line[2:] == line[1:-1])
+    depth = np.zeros(len(points) + 1, np.int64)
+    for opens, closes in QUOTES:
+        places = np.flatnonzero(((points == ord(opens)) | (points == ord(closes))) & ~inner)
+        if opens == closes:
+            order = np.arange(len(places)) - np.searchsorted(line[places], line[places])  # its number in the line
+            first = np.flatnonzero(order[:-1] % 2 == 0) if len(places) else places
+        else:
+            leads = points[places[np.searchsorted(line[places], line[places])]] == ord(opens)  # whether the line's first mark of the style opens
+            first = np.flatnonzero((points[places[:-1]] == ord(opens)) & (points[places[1:]] == ord(closes)) & leads[:-1]) if len(places) else places
+        first = first[line[places[first]] == line[places[first + 1]]]
+        np.add.at(depth, places[first] + 1, 1)
+        np.add.at(depth, places[first + 1], -1)
+    return np.cumsum(depth)[:-1] > 0
+
+
+def hits(texts: list[str], automaton: Automaton, context: dict[str, float] | None = None) -> dict[str, np.ndarray | list]:
+    """Every word that the automaton accepts: text, term, edits, whether its context is one of quotation, words around it.
+
+    That is so between quotation marks, or where the learned log odds (`context`) of the words around add
+    up to CLEAN_ODDS or less. Window words are given only where no context is.
+    """
     points, at = _encoded(texts)
-    left, right, doc, whole_left, whole_right = plain_words(points, at)
+    left, right, doc, _, _ = plain_words(points, at)
     codes = np.full(0x110000, len(automaton.alphabet), np.int32)
     for sign, i in automaton.alphabet.items():
         codes[ord(sign)] = i
     state = automaton.match(codes[points], left, right)
     found = np.flatnonzero((automaton.term[state] >= 0) & (right > left))
-    quote = np.zeros(0x110000, bool)
-    quote[[ord(q) for q in QUOTES]] = True
-    mark = np.concatenate([[0], np.cumsum(quote[points])])
+    between = quoted_spans(points, at)[left[found]] if len(found) else np.zeros(0, bool)
     first = np.searchsorted(doc, doc[found])
     last = np.searchsorted(doc, doc[found], "right")
     a, b = np.maximum(found - WINDOW, first), np.minimum(found + WINDOW + 1, last)
-    quoted = (mark[left[found]] > mark[whole_left[a]]) & (mark[whole_right[b - 1]] > mark[right[found]]) if len(found) else np.zeros(0, bool)
-    reported = np.zeros(len(found), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        near = {points[left[w] : right[w]].tobytes() for w in range(x, y)}
-        reported[i] = any(w.encode("utf-32-le") in near for w in REPORTING)
-    return {"doc": doc[found], "term": automaton.term[state[found]], "used": automaton.used[state[found]], "quoted": quoted | reported}
+    around, odds = [], np.zeros(len(found))
+    if context is None or context:
+        for i, (x, y, own) in enumerate(zip(a.tolist(), b.tolist(), found.tolist(), strict=True)):
+            near = {points[left[w] : right[w]].tobytes().decode("utf-32-le", "replace") for w in range(x, y) if w != own}
+            if context is None:
+                around.append(sorted(near))
+            else:
+                odds[i] = sum(context.get(w, 0.0) for w in near)
+    return {"doc": doc[found], "term": automaton.term[state[found]], "used": automaton.used[state[found]], "quoted": between | (odds <= CLEAN_ODDS), "around": around}
 
 
 def _terms(text: str) -> set[str]:
     own = {w for w in map(plain, text.split()) if len(w) >= 3 and "*" not in w}
-    return own | {w[:k] + "*" for w in own for k in range(STEM, min(len(w), 12))}
+    return own | {w[:k] + "*" for w in own for k in range(STEM, len(w))}
+
+
+def _unquoted(text: str) -> str:
+    """A lower-cased text with quotations blanked."""
+    points, at = _encoded([text])
+    return np.where(quoted_spans(points, at), np.uint32(32), points).astype(np.uint32).tobytes().decode("utf-32-le", "replace")
 
 
 def _counted(rows: DataFrame, allowed=None) -> DataFrame:
-    """(term, n) distinct texts that hold each word or stem (of those allowed)."""
+    """(term, n) distinct texts that hold each word or stem; of those allowed, if given, texts that hold it outside quotations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own = _terms(text) if allowed is None else _terms(text) & allowed.value
+                own = _terms(text) if allowed is None else _terms(_unquoted(text)) & allowed.value
                 yield pa.record_batch([pa.array(sorted(own), pa.string())], ["term"])
 
     return rows.select("text").mapInArrow(run, "term string").groupBy("term").agg(F.count("*").alias("n"))
@@ -196,14 +242,15 @@ def _counted(rows: DataFrame, allowed=None) -> DataFrame:
 def learn_lexicon(sample: DataFrame, scale: float, least_docs: int = 3, least_share: float = 0.9) -> list[tuple[str, bool]]:
     """Terms (and whether a stem) that mark toxic texts of a bounded sample(text, label) of distinct texts.
 
-    Candidates are the words and stems of at least `least_docs` toxic texts (the MAX_CANDIDATES commonest);
-    those kept have `least_share` of their texts toxic, each other text counting `scale` times. A greedy
+    Candidates are the words and stems of at least `least_docs` toxic texts;
+    those kept have `least_share` of their texts toxic, each other text counting `scale` times, if
+    it doesn't merely quote them. A greedy
     cover of the toxic texts then takes the terms that add most; each must add `least_docs` that no earlier
     one covers, so words that merely stand beside others drop out.
     """
     spark = sample.sparkSession
     toxic = sample.where("label = 1")
-    found = _counted(toxic).where(F.col("n") >= least_docs).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()
+    found = _counted(toxic).where(F.col("n") >= least_docs).collect()  # of the bounded sample
     bad = {r["term"]: r["n"] for r in found}
     clean = {r["term"]: r["n"] for r in _counted(sample.where("label = 0"), spark.sparkContext.broadcast(frozenset(bad))).collect()}
     held = spark.sparkContext.broadcast(frozenset(t for t, n in bad.items() if n >= least_share * (n + scale * clean.get(t, 0))))
@@ -218,7 +265,7 @@ def learn_lexicon(sample: DataFrame, scale: float, least_docs: int = 3, least_sh
         for t in terms:
             where.setdefault(t, set()).add(i)
     chosen: list[tuple[str, bool]] = []
-    while where and len(chosen) < MAX_TERMS:
+    while where:
         # most documents first; of equal ones a whole word, then the longer
         best = max(where, key=lambda t: (len(where[t]), not t.endswith("*"), len(t), t))
         covered = where.pop(best)
@@ -236,10 +283,22 @@ def learn_lexicon(sample: DataFrame, scale: float, least_docs: int = 3, least_sh
     return chosen
 
 
+def learned_context(found: DataFrame, scale: float) -> dict[str, float]:
+    """Log odds of toxic against other texts for the words around exact hits of found(around, toxic), those that tell them apart."""
+    bad, good = (F.sum(F.when(F.col("toxic") == v, 1).otherwise(0)) for v in (1, 0))
+    total = found.agg(bad.alias("bad"), good.alias("good")).first()
+    n_bad, n_good = total["bad"] or 0, (total["good"] or 0) * scale
+    words_ = found.select("toxic", F.explode("around").alias("word")).groupBy("word").agg(bad.alias("bad"), good.alias("good")).where(F.col("bad") + F.col("good") >= LEAST_CONTEXT)
+    odds = {r["word"]: float(np.log((r["bad"] + 1) / (n_bad + 2)) - np.log((r["good"] * scale + 1) / (n_good + 2))) for r in words_.collect()}  # of the bounded sample
+    return {w: x for w, x in odds.items() if w and abs(x) >= LEAST_ODDS} if n_bad and n_good else {}
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> dict:
-    """The lexicon, and for each term, number of edits and context the share of toxic texts among those hit.
+    """The lexicon, the words that speak for quotation or abuse, and for each term, number of edits and context the share of toxic texts among those hit.
 
     Fitted on bounded samples of docs(doc_id, text) with labels(doc_id, label); texts that are equal count once.
+    A share is drawn towards that of all terms with as many edits in such a context (worth four texts), which is
+    itself drawn towards the one for exact hits, or, in quotation, towards a half (worth two texts each).
     """
     total = {r["label"]: r["n"] for r in labels.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
     scale = max(1.0, total.get(0, 0) / max_clean)
@@ -247,32 +306,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
     sample = written(sample, "labelled")
     terms = learn_lexicon(sample, scale)
     if not terms:
-        return {"terms": [], "weight": {}}
+        return {"terms": [], "weight": {}, "context": {}}
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(terms))
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            toxic = np.array(batch.column(1).to_pylist())
-            got = hits(texts, automaton.value)
-            keys = sorted(set(zip(got["doc"].tolist(), got["term"].tolist(), got["used"].tolist(), got["quoted"].tolist(), strict=True)))
-            yield pa.record_batch(
-                [pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.bool_()), pa.array([int(toxic[k[0]]) for k in keys], pa.int32())],
-                ["term", "used", "quoted", "toxic"],
-            )
-
-    table = sample.select("text", "label").mapInArrow(found, "term int, used int, quoted boolean, toxic int").groupBy("term", "used", "quoted").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()
+            got = hits([t or "" for t in batch.column(0).to_pylist()], automaton.value)
+            exact = np.flatnonzero(got["used"] == 0)
+            yield pa.record_batch([batch.column(1).take(pa.array(got["doc"][exact])), pa.array([got["around"][i] for i in exact], pa.list_(pa.string()))], ["toxic", "around"])
+
+    context = learned_context(sample.select("text", "label").mapInArrow(around, "toxic int, around array<string>"), scale)
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = hits([t or "" for t in batch.column(0).to_pylist()], automaton.value, context)
+            rows = np.unique(np.stack([got["doc"], got["term"], got["used"], got["quoted"]]).astype(np.int64), axis=1)
+            yield pa.record_batch([pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32)), pa.array(rows[3] > 0), batch.column(1).take(pa.array(rows[0]))], ["term", "used", "quoted", "toxic"])
+
+    table = sample.select("text", "label").mapInArrow(kinds, "term int, used int, quoted boolean, toxic int").groupBy("term", "used", "quoted").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()
     counts = {(r["term"], r["used"], r["quoted"]): (r["bad"], r["bad"] + scale * (r["n"] - r["bad"])) for r in table}
+    pooled = lambda used, quoted: [sum(counts.get((t, used, quoted), (0, 0))[i] for t in range(len(terms))) for i in (0, 1)]
+    share: dict[tuple[int, bool], float] = {}
+    for used, quoted in ((0, False), (1, False), (0, True), (1, True)):
+        bad, n = pooled(used, quoted)
+        towards = 0.5 if quoted or not used else share[0, False]
+        share[used, quoted] = (bad + 2 * towards) / (n + 2)
     weight = {}
     for t in range(len(terms)):
-        for used in (0, 1):
-            for quoted in (False, True):
-                bad, n = counts.get((t, used, quoted), (0, 0))
-                # prior, worth four texts: a term that many texts bear out is trusted in misspelled form too
-                proven = counts.get((t, 0, False), (0, 0))[1] >= 20
-                prior = (0.5 if used == 0 else 0.72 if proven else 0.45) * (0.25 if quoted else 1.0)
-                weight[t, used, quoted] = (bad + 4 * prior) / (n + 4)
-    return {"terms": terms, "weight": weight}
+        for used, quoted in share:
+            bad, n = counts.get((t, used, quoted), (0, 0))
+            weight[t, used, quoted] = (bad + 4 * share[used, quoted]) / (n + 4)
+    return {"terms": terms, "weight": weight, "context": context}
 
 
 def scored_toxicity(docs: DataFrame, model: dict) -> DataFrame:
@@ -281,16 +345,16 @@ def scored_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     weight = np.zeros((max(1, len(terms)), 2, 2))
     for (t, used, quoted), w in model["weight"].items():
         weight[t, used, int(quoted)] = w
-    held = docs.sparkSession.sparkContext.broadcast((Automaton(terms) if terms else None, weight))
+    held = docs.sparkSession.sparkContext.broadcast((Automaton(terms) if terms else None, weight, model["context"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, table = held.value
+        automaton, table, context = held.value
         for batch in batches:
             score, n_hits = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             if automaton is not None:
                 for first, end, _, _ in blocks(batch.column(1), BLOCK_BYTES // 2):
-                    got = hits([t or "" for t in batch.column(1).slice(first, end - first).to_pylist()], automaton)
-                    kinds = np.unique(np.stack([got["doc"], got["term"], got["used"], got["quoted"]]), axis=1)
+                    got = hits([t or "" for t in batch.column(1).slice(first, end - first).to_pylist()], automaton, context)
+                    kinds = np.unique(np.stack([got["doc"], got["term"], got["used"], got["quoted"]]).astype(np.int64), axis=1)
                     open_ = np.log1p(-np.minimum(table[kinds[1], kinds[2], kinds[3]], 1 - 1e-9))
                     score[first:end] = 1 - np.exp(np.bincount(kinds[0], open_, end - first))
                     n_hits[first:end] = np.bincount(got["doc"], minlength=end - first)
@@ -303,8 +367,8 @@ def document_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7
     """(doc_id, held_out, score, predicted, n_hits) for every row of documents.
 
     Learns labels.toxic from rows whose crc32(doc_id) mod 3 is not 1 (null doc_id: held out). Null and
-    empty texts and texts without a hit score 0; repeated rows stay and score alike; without labels, or
-    without a term that marks toxic texts, every score is 0.
+    empty texts and texts without a hit score 0; repeated rows stay and score alike; of labels that disagree
+    the larger counts; without labels, or without a term that marks toxic texts, every score is 0.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))

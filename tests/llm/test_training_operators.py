@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framelake.llm import crf, langid, minhash, mixing, perplexity, pieces, secrets, sharding, simhash, toxicity
+from framelake.llm import crf, langid, minhash, mixing, perplexity, pieces, samples, secrets, sharding, simhash, toxicity
 from framelake.llm.components import connected_components
 from framelake.llm.textarrays import blocks, span_hashes, words
 
@@ -91,9 +91,9 @@ def clustered(rng, n_random, n_near, per):
 @pytest.mark.parametrize("radius", [4, 8])
 def test_trees_prune_and_find_all_pairs(radius):
     points = clustered(np.random.default_rng(4), 6000, 300, 4)
-    reach = radius // simhash.BLOCKS
+    reach = 1
     found, compared, dealt = set(), 0, 0
-    for mask in simhash.masks():
+    for mask in simhash.masks(simhash.blocks_for(radius)):
         tree = simhash.grown_tree(points[::2], mask, reach, 2.0, 2000)
         assert len(tree) > 2  # the sharding is by vantage points
         for _, at in simhash.routed(points, tree, mask, reach):
@@ -101,8 +101,7 @@ def test_trees_prune_and_find_all_pairs(radius):
             compared, dealt = compared + n, dealt + len(at)
             found |= {(int(a), int(b)) for a, b in zip(at.tolist(), at[top].tolist(), strict=True) if a != b}
     assert dealt < 40 * len(points)
-    if radius == 4:
-        assert compared < 0.75 * len(points) ** 2  # of all ordered pairs
+    assert compared < 0.75 * len(points) ** 2  # of all ordered pairs
     root = np.arange(len(points))
     for _ in range(20):
         for a, b in found:
@@ -228,12 +227,13 @@ def test_automaton_is_edit_distance():
     automaton = toxicity.Automaton(terms, fuzzy_from=5, fuzzy_stems_from=7)
 
     def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if i * j == 0}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
 
     rng = random.Random(10)
     tries = ["idiot", "idiots", "idi0t", "diot", "idoit", "moron", "mor0n", "vile", "vileness", "vole", "scoundrels", "scuondrel", "scoundrl", "s", ""]
@@ -257,8 +257,60 @@ def test_toxicity_held_out_and_context(spark):
     docs = spark.createDataFrame([*rows, (1001, text(rng, 20) + " Dreckiig, " + text(rng, 20) + " SCHUFFT", None)], "doc_id long, text string, toxic int")
     got = {r["doc_id"]: r for r in toxicity.document_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()}
     assert all(got[i]["predicted"] == t for i, _, t in rows) and got[1001]["predicted"] == 1
-    hit = toxicity.hits(['he said "you schuft" there', "you schuft there"], toxicity.Automaton([("schuft", False)]))
-    assert hit["quoted"].tolist() == [True, False]
+    automaton = toxicity.Automaton([("schuft", False)])
+    tries = ['he wrote "you schuft" there', "you schuft there", "l’homme est un schuft et j’aime", "„du schuft“ stand da", "«schuft» et «autre»", "« a » schuft « b »", '"a" schuft "b"', "'schuft' here", "it's a schuft, isn't it", '"open\nschuft"']
+    assert toxicity.hits(tries, automaton, {})["quoted"].tolist() == [True, False, False, True, True, False, False, True, False, False]
+    assert toxicity.hits(["a report of schuft here"], automaton, {"report": -2.0})["quoted"].tolist() == [True]
+
+
+def test_quoted_hits_score_under_abusive_ones(spark):
+    rng = random.Random(18)
+    rows = []
+    for i in range(600):
+        w = text(rng, 40).split()
+        if i % 3 == 0:
+            w[9] = "schuft"
+        elif i % 30 == 4:
+            w[8:11] = ["wort", "schuft", "genannt"]
+        elif i % 3 == 1:
+            w[8:11] = ['"du', "schuft", 'hier"']
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.document_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()}
+    abusive = [r["score"] for i, r in got.items() if i % 3 == 0]
+    marked = [r["score"] for i, r in got.items() if i % 3 == 1]
+    assert min(abusive) >= 0.7 > max(marked) and max(r["score"] for i, r in got.items() if i % 3 == 2) == 0.0
+
+
+def test_samples_are_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i:04d}") for i in range(500)] + [(2, "a\n" * 600), (3, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, label int")
+    rows = sorted(tuple(r) for r in samples.labelled_sample(docs, labels, {0: 5, 1: 1}, 10_000, 500).collect())
+    assert rows == [("b", 0), ("text 0000", 1)]
+
+
+def test_chain_gradient_is_that_of_one_objective():
+    rng = np.random.default_rng(19)
+    doc = np.repeat([0, 1, 2], [1, 4, 3])
+    x, label = rng.normal(size=(8, 3)), rng.integers(0, 2, 8)
+    share = 1 / np.bincount(doc)[doc]
+    inner = np.flatnonzero(doc[1:] == doc[:-1])
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (label[inner], label[inner + 1]), share[inner])
+
+    def loss(theta):
+        score, table_, total = x @ theta[:-4], theta[-4:].reshape(2, 2), 0.0
+        for d in range(3):
+            at = np.flatnonzero(doc == d)
+            _, _, log_z = crf.forward_backward(score[at], np.zeros(len(at), int), table_)
+            own = (score[at] * label[at]).sum() + sum(table_[u, v] for u, v in zip(label[at][:-1], label[at][1:], strict=True))
+            total += (log_z - own) / len(at)
+        return total / 3
+
+    theta = rng.normal(size=7)
+    slope = crf.chain_slope(theta, x, doc, label, share, seen, 3)
+    steps = np.eye(7) * 1e-5
+    assert np.allclose(slope, [(loss(theta + h) - loss(theta - h)) / 2e-5 for h in steps], atol=1e-6)
 
 
 def test_kneser_ney_against_counts(spark):
@@ -388,7 +440,7 @@ def test_mixing_weights(spark):
     assert 0.85 * 3000 < sum(r["tokens"] * r["n_copies"] for r in budget) <= 3001
 
 
-def test_pieces_are_best_paths_and_round_trip(spark):
+def test_pieces_are_best_paths_and_round_trip(spark, monkeypatch):
     import sentencepiece
 
     model = pieces.load_model()
@@ -398,6 +450,13 @@ def test_pieces_are_best_paths_and_round_trip(spark):
     texts = ["Hello  world\n x", "  a b ", "日本語 😀 é", "", "a▁b ▁", " ", "the quick brown fox; internationalization", "x" * 70, "\x00\x7f"]
     ids, at = pieces.encode(texts, model)
     assert pieces.decode(ids, at, model) == texts
+    long = " ".join(["word  two", "x" * 50, " é"] * 40)
+    assert all(part.startswith(" ") for part in pieces.cut(" " + long, 60)) and "".join(pieces.cut(" " + long, 60)) == " " + long
+    whole = pieces.encode([long, "", long], model)
+    monkeypatch.setattr(pieces, "BLOCK_SIGNS", 60)
+    monkeypatch.setattr(pieces.cut, "__defaults__", (60,))
+    small = pieces.encode([long, "", long], model)
+    assert all((a == b).all() for a, b in zip(whole, small, strict=True))
     for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
         marked = "\U0010ffff".join(t.split("▁"))
         marked = ("▁" + marked.replace(" ", "▁")) if t else ""
