@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from framelake.llm.storage import written
 from framelake.llm.textarrays import blocks, counts_before, mix, owner, span_hashes, words
 
-ORDER = 6
+ORDER = 5
 #: Interquartile ranges outside the quartiles at which a text is no longer kept.
-FENCES = 1.5
+FENCES = 1.75
 #: Entries of the models that a task holds at once (12 bytes each); larger models are read in pieces.
-PIECE = 12_000_000
+PIECE = 8_000_000
 #: Counts of a partition that are merged before they are sent on.
 FLUSH = 2_000_000
 #: Texts that are worked on at once, in bytes.
-BLOCK = 1_000_000
+BLOCK = 2_000_000
 #: Bands (one a language) up to which they are sent to every task.
 BROADCAST_BANDS = 10_000
 #: The base rules: least words, and most per cent of words in repeated windows.
