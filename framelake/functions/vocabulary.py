@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # The labels, sizes and colours of the data model, and the words that queries use for them.
-SUPPORTED_LABELS = ("person", "car", "truck", "bus", "motorcycle", "bicycle", "dog", "cat", "bird")
+SUPPORTED_LABELS = ("person", "car", "truck", "bus", "dog", "cat", "bird", "bicycle", "motorcycle")
 SIZES = ("tiny", "small", "medium", "large", "huge")
 COLORS = ("red", "orange", "yellow", "green", "cyan", "blue", "purple", "black", "white", "gray", "unknown")
 
