@@ -48,11 +48,12 @@ def dominant_color(image: np.ndarray, bbox: list[float]) -> tuple[str, str | Non
         return ("white", "#ffffff") if v >= WHITE_FROM else ("gray", hex_color(0, 0, v))
     weight = np.bincount(hue, sat * val, 181)
     low, high, name = max(HUES, key=lambda b: weight[b[0] : b[1]].sum())
-    seen = np.bincount(hue, minlength=181)[low:high]
-    if not seen.any():
+    shades, times = np.unique(hue[(hue >= low) & (hue < high)], return_counts=True)
+    if not len(shades):
         return name, None
-    shade = low + int(seen.argmax())
-    return name, hex_color(shade, int(sat[hue == shade].mean()), int(val[hue == shade].mean()))
+    usual = shades[times.argmax()]  # of equally common shades the lowest
+    own = hue == usual
+    return name, hex_color(int(usual), int(sat[own].mean()), int(val[own].mean()))
 
 
 def annotate_colors(detections: DataFrame, images: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def tail_rows(frames: DataFrame, n: int) -> DataFrame:
     return frames.orderBy("seq") if n == 0 else frames.orderBy(F.desc("seq")).limit(n).orderBy("seq")
 
 
+def recent(frames: DataFrame, n: int | None) -> DataFrame:
+    """The last n frames by seq, in no order (None: all): what a search with `recent_n` looks at."""
+    return frames if n is None else frames.orderBy(F.desc("seq")).limit(n)
+
+
 def page(frames: DataFrame, limit: int = 50, offset: int = 0, compat: bool = False) -> DataFrame:
     """Rows offset .. offset + limit by seq. compat: of the last limit + offset rows, as older callers expect."""
     rows = tail_rows(frames, limit + offset) if compat else frames.orderBy("seq")

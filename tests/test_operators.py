@@ -267,3 +267,13 @@ def test_ranks_of_unrounded_signals(spark):
     for at, s, n in rows:
         above = sum(m for a, v, m in rows if a == at and v > s)
         assert exact[at, s] == pytest.approx(1 / (60 + above + (n + 1) / 2))
+
+
+def test_searches_of_recent_frames(spark):
+    t = table(spark, [{"id": f"e{i}", "wall_time": float(i), "labels": ["car"], "embedding": vec("red car"), "text_embedding": vec("red car")} for i in range(6)])
+    asked = spark.createDataFrame([("q", "red car", ["car"])], "query_id string, text string, labels array<string>")
+    late = {"e4", "e5"}
+    assert {r["id"] for r in search.query_by_labels(t, asked, recent_n=2).collect()} == late
+    assert {r["id"] for r in search.store_search(t, asked, recent_n=2).collect()} == late
+    assert {r["id"] for r in times.nearest_time(t, 0.0, recent_n=2).collect()} == late
+    assert {r["id"] for r in search.hybrid_search(t, asked, recent_n=2).collect()} == late
