@@ -109,7 +109,7 @@ def distances(texts: list[str], keys: np.ndarray, ranks: np.ndarray, size: int)
     """Out-of-place distance (0 to 1) of each text to each language: ranks[language, position of a key], absent is `size`."""
     grams, n = _runs(gram_keys(texts)[0])
     doc, gram = grams >> _KEY, grams & ((1 << _KEY) - 1)
-    order = np.argsort(doc << 24 | ((1 << 24) - 1 - np.minimum(n, (1 << 24) - 1)), kind="stable")
+    order = np.argsort(doc << 40 | ((1 << 40) - 1 - n), kind="stable")  # by text, then falling count; a block has under 2^23 texts
     doc, gram = doc[order], gram[order]
     place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(texts)))[doc]
     top = place < size
