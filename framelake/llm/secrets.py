@@ -28,6 +28,8 @@ ORDINARY_CASES = 0.08
 ORDINARY_DIGITS = 0.02
 ORDINARY_COINCIDENCE = 0.064
 ORDINARY_CORRELATION = 0.25
+#: How much more chi-squared of ordinary tokens spreads than a noncentral chi-squared does (identifiers mix many letters).
+SPREAD = 1.35
 #: Weights of the three tests (chi-squared, runs, serial correlation) in Stouffer's sum.
 WEIGHTS = (1.0, 1.4, 0.6)
 #: Least excess of chi-squared a sign that ordinary tokens are taken to have in a small alphabet.
@@ -129,7 +131,7 @@ def battery(token: Column) -> Column:
             spread = both * (both - n) / (n * n * (n - 1))
             z_runs = F.when(spread > 0, (turns - both / n) / F.sqrt(spread)).otherwise(F.lit(10.0))
             excess = F.greatest(size * F.lit(ORDINARY_COINCIDENCE) - 1, F.lit(LEAST_EXCESS)) * n
-            even = (degrees + excess - x["chi"]) / F.sqrt(2 * (degrees + 2 * excess))
+            even = (degrees + excess - x["chi"]) / F.sqrt(2 * (degrees + 2 * excess)) / SPREAD
             m, p, q = (F.char_length(classes) - 1).cast("double"), ORDINARY_CASES, ORDINARY_DIGITS
             many = (x["changes"] - 0.5 - m * (p + 2 * q * digits)) / F.sqrt(m * (p * (1 - p) + 4 * q * (1 - q) * digits))
             loose = F.lit(ORDINARY_CORRELATION) * F.sqrt(n - 1) - x["serial"]

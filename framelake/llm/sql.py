@@ -39,7 +39,7 @@ def scanned_documents() -> str:
   select id, sum(case when two in ('aA', 'Aa') then 1 when two in ('a0', 'A0', '0a', '0A') then 2 else 0 end)::double as changes, max(contains(two, '0')::int)::double as digits, count(*)::double as m from step group by id), stat as (
   select id, n, size, squares * size / n - n as chi, (size - 1)::double as df, 2 * high * (n - high) as two, turns, product / (n - 1) / ((size * size - 1) / 12.0::double) * sqrt(n - 1) as zs,
          coalesce(changes, 0) as changes, coalesce(digits, 0) as digits, coalesce(m, 1) as m, greatest(size * {S.ORDINARY_COINCIDENCE}::double - 1, {S.LEAST_EXCESS}::double) * n as excess from sums join square using (id) left join runs using (id)), deviate as (
-  select *, ((df + excess - chi) / sqrt(2 * (df + 2 * excess)) * {w[0]}::double + (changes - 0.5 - m * ({p}::double + 2 * {q}::double * digits)) / sqrt(m * ({p}::double * {1 - p}::double + 4 * {q}::double * {1 - q}::double * digits)) * {w[1]}::double
+  select *, ((df + excess - chi) / sqrt(2 * (df + 2 * excess)) / {S.SPREAD}::double * {w[0]}::double + (changes - 0.5 - m * ({p}::double + 2 * {q}::double * digits)) / sqrt(m * ({p}::double * {1 - p}::double + 4 * {q}::double * {1 - q}::double * digits)) * {w[1]}::double
          + ({S.ORDINARY_CORRELATION}::double * sqrt(n - 1) - zs) * {w[2]}::double) / {sum(x * x for x in w) ** 0.5}::double as z from stat), test as (
   select id, case when changes > 0 and z > 0 then (z * z / 2 + ln(2)) / ln(10) else 0.0 end as surprise,
          power(greatest(0.0, (power(chi / df, 1.0::double / 3) - (1 - 2.0 / (9.0 * df))) / sqrt(2.0 / (9.0 * df))), 2)
