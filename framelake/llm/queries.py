@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.crf import document_quality
 from framelake.llm.langid import predicted_languages
+from framelake.llm.middles import rearranged_documents
 from framelake.llm.minhash import document_fingerprints
 from framelake.llm.mixing import mixed_documents
 from framelake.llm.perplexity import rule_verdicts
@@ -63,6 +64,10 @@ def op10_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_rearranged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rearranged_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_components,
         op9_document_toxicity,
         op10_rule_verdicts,
+        op11_rearranged_documents,
     )
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]

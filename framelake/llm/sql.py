@@ -80,4 +80,21 @@ select doc_id, source, tokens, round(weight, 9) as weight, round(exponent, 9) as
 from d join run on run.src = d.src and run.block = d.block left join last on last.src = d.src and last.block = d.block"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_scanned_documents": scanned_documents(), "op6_mixed_documents": mixed_documents()}
+def rearranged_documents(seed: int = 7, rate: int = 100, spm_rate: int = 50) -> str:
+    """op11: lines as a list, parts by slices of it."""
+    group = lambda i: f"('0x' || substr(h, {8 * i + 1}, 8))::ubigint"
+    return f"""with t as (
+  select doc_id, coalesce(text, '') as x, sha256('{seed}:' || coalesce(doc_id::varchar, '')) as h from documents), l as (
+  select *, string_split(x, chr(10)) as s from t), u as (
+  select doc_id, x, h, list_concat(list_transform(s[1:len(s) - 1], lambda y: y || chr(10)), case when s[len(s)] <> '' then [s[len(s)]] else [] end) as lines from l), c as (
+  select *, len(lines)::bigint as n, ({group(0)} % (len(lines) + 1)::ubigint)::bigint as one, ({group(1)} % (len(lines) + 1)::ubigint)::bigint as two,
+    case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or {group(2)} % 100 >= {rate} then 'plain'
+      when {group(3)} % 100 < {spm_rate} then 'spm' else 'psm' end as form from u), p as (
+  select *, coalesce(list_aggregate(lines[1:least(one, two)], 'string_agg', ''), '') as prefix, coalesce(list_aggregate(lines[least(one, two) + 1:greatest(one, two)], 'string_agg', ''), '') as middle,
+    coalesce(list_aggregate(lines[greatest(one, two) + 1:n], 'string_agg', ''), '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then x when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(x) as restored_sha256
+from p"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_scanned_documents": scanned_documents(), "op6_mixed_documents": mixed_documents(), "op11_rearranged_documents": rearranged_documents()}
