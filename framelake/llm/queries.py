@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm.alignment import aligned_documents
 from framelake.llm.crf import document_quality
 from framelake.llm.langid import predicted_languages
 from framelake.llm.middles import rearranged_documents
@@ -68,6 +69,10 @@ def op11_rearranged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rearranged_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_aligned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_document_toxicity,
         op10_rule_verdicts,
         op11_rearranged_documents,
+        op13_aligned_documents,
     )
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]
