@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.alignment import aligned_documents
+from framelake.llm.archives import converted_pages
 from framelake.llm.crf import document_quality
 from framelake.llm.langid import predicted_languages
 from framelake.llm.middles import rearranged_documents
@@ -69,6 +70,10 @@ def op11_rearranged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rearranged_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_converted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return converted_pages(table(spark, sf_dir, "pages"))
+
+
 def op13_aligned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned_documents(table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_document_toxicity,
         op10_rule_verdicts,
         op11_rearranged_documents,
+        op12_converted_pages,
         op13_aligned_documents,
     )
 }

@@ -97,4 +97,11 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end as pre
 from p"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_scanned_documents": scanned_documents(), "op6_mixed_documents": mixed_documents(), "op11_rearranged_documents": rearranged_documents()}
+def converted_pages(least: int = 100) -> str:
+    """op12: what the records say, without the files."""
+    return f"""with d as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages), f as (
+  select *, case when payload_bytes >= {least} then min(page_id) over (partition by payload_digest) end as first from d)
+select page_id, payload_bytes, payload_digest, case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to from f"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_scanned_documents": scanned_documents(), "op6_mixed_documents": mixed_documents(), "op11_rearranged_documents": rearranged_documents(), "op12_converted_pages": converted_pages()}

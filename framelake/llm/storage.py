@@ -19,14 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """The driver removes the folder, which is there by now, when it ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here, lost executors cost nothing.
 
     The driver removes the table when it ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    removed_at_end(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
