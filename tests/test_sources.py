@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import colors, times
 from framelake.operators.embedding import detect_frames
-from framelake.sources import files
+from framelake.sources import files, table
 from framelake.streaming import jobs
 
 
@@ -32,7 +32,7 @@ def test_frames(spark, tmp_path):
 def test_append_frames(spark, tmp_path):
     source = files.read_frames(spark, lines(tmp_path / "f.jsonl", [FRAME | {"wall_time": 90_000.0}]))
     for _ in range(2):
-        files.append_frames(source, str(tmp_path / "table"))
+        table.append_frames(source, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2 and (tmp_path / "table/camera=default/day=1970-01-02").exists()
 
 
