@@ -50,8 +50,8 @@ def indexed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed frames with vectors of feature counts (whole numbers, so that sums are exact in any order)."""
-    return embed_frames(indexed_frames(spark, sf_dir), hash_counts, batch=4096)
+    """Indexed frames with vectors of feature counts (whole numbers, so that sums are exact in any order), kept, as a search passes over them several times."""
+    return embed_frames(indexed_frames(spark, sf_dir), hash_counts, batch=4096).persist()
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,18 +89,6 @@ def test_batch_is_one_by_one_and_prefix(spark):
             assert whole[x, r["rank"]] == (r["id"], round(r["score"], 9))
 
 
-def test_average_ranks_and_fusion_against_loops(spark):
-    rows = [(0, 0.5, 0.1, 3), (0, 0.5, 0.2, 1), (0, 1.0, 0.2, 2)]
-    df = spark.createDataFrame(rows, "at int, a double, b double, n long")
-    got = {(r["a"], r["b"]): r["fused"] for r in search.fused_ranks(df, ["a", "b"], {"a": F.lit(True), "b": F.lit(True)}, 60).collect()}
-    for _, a, b, _ in rows:
-        want = 0.0
-        for i, v in ((1, a), (2, b)):
-            above, same = sum(r[3] for r in rows if r[i] > v), sum(r[3] for r in rows if r[i] == v)
-            want += 1 / (60 + above + (same + 1) / 2)
-        assert got[a, b] == pytest.approx(want)
-
-
 def test_store_search_has_no_floor(spark):
     v = spark.createDataFrame([(0, "a", [-1.0, 0.0], [-1.0, 0.0]), (1, "b", [-1.0, 0.0], None), (2, "c", [0.5, 0.5], None)], "seq long, id string, embedding array<float>, text_embedding array<float>")
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, v array<float>")
@@ -259,16 +247,6 @@ def test_small_frame_operators(spark):
     assert [r["wall_time"] for r in frames.wall_times(times_).collect()] == [1.0, 6.0, None]
 
 
-def test_ranks_of_unrounded_signals(spark):
-    rng = np.random.default_rng(9)
-    rows = [(int(q), float(v), int(n)) for q in (0, 1) for v, n in zip(np.concatenate([rng.random(40), 0.5 + rng.random(20) * 1e-7]), rng.integers(1, 4, 60), strict=True)]
-    df = spark.createDataFrame(rows, "at int, s double, n long")
-    exact = {(r["at"], r["s"]): r["fused"] for r in search.fused_ranks(df, ["s"], {"s": F.lit(True)}, 60, exact=True).collect()}
-    for at, s, n in rows:
-        above = sum(m for a, v, m in rows if a == at and v > s)
-        assert exact[at, s] == pytest.approx(1 / (60 + above + (n + 1) / 2))
-
-
 def test_searches_of_recent_frames(spark):
     t = table(spark, [{"id": f"e{i}", "wall_time": float(i), "labels": ["car"], "embedding": vec("red car"), "text_embedding": vec("red car")} for i in range(6)])
     asked = spark.createDataFrame([("q", "red car", ["car"])], "query_id string, text string, labels array<string>")
