@@ -4,10 +4,10 @@ A text is encoded in units, each from a space that follows no space and precedes
 signs across such a place (A's pattern takes a space only before what follows it, none of B's pieces holds a space after another sign), so units
 are encoded apart, each distinct one of a block once. A run without such a place is one unit.
 
-A text of over CHUNK_BYTES is cut into chunks of units that are dealt to all tasks. A byte range of a chunk yields a Fragment:
-the tokens up to its first shared end (open prefix), the groups between (closed), the tokens after its last shared end
-(open suffix). `combined` joins neighbours and is associative, so ranges fold inside a task and chunks in a tree of
-Spark groups.
+A text of over CHUNK_BYTES is cut into byte ranges, wherever their edges fall; these are dealt to all tasks, each with the units
+that it touches. A range owns the tokens that end in it and yields a Fragment: the tokens up to its first shared end
+(open prefix), the groups between (closed), the tokens after its last shared end (open suffix). `combined` joins
+neighbours and is associative, so fragments are combined in a tree of Spark groups.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 from pathlib import Path
 from typing import NamedTuple
 
@@ -30,8 +31,10 @@ from framelake.llm.storage import written
 from framelake.llm.textarrays import blocks, counts_before
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of texts that are encoded together, of a chunk of a long text, of the ranges that a chunk folds.
-BLOCK_BYTES, CHUNK_BYTES, RANGE_BYTES = 4_000_000, 32_768, 4_096
+#: Bytes of texts whose units are told apart together, and of a range of a long text; units that are encoded in one call.
+BLOCK_BYTES, CHUNK_BYTES, STEP = 3_000_000, 32_768, 16_384
+#: Units that a worker process remembers (some 100 bytes each); then it starts anew.
+REMEMBERED = 600_000
 #: Neighbours that one step of the tree combines.
 FAN = 8
 #: Pairs of ids that a task looks up at once (17 bytes each), and that it counts before it sends them on.
@@ -71,24 +74,27 @@ def combined(x: Fragment, y: Fragment) -> Fragment:
     return Fragment(x.first_a, x.first_b, ";".join(p for p in parts if p), x.n_closed + 1 + y.n_closed, y.last_a, y.last_b)
 
 
+def spelled(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """Tokens of A and B, given as (ids, groups, texts), in the order in which a text spells them, each after the sign that parts it from the one before; and whose they are."""
+    part = np.concatenate([a[1] * 2, b[1] * 2 + 1])
+    order = np.argsort(part, kind="stable")
+    part, text = part[order], np.concatenate([a[2], b[2]])[order]
+    new = lambda x: np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
+    sign = np.where(new(text), 0, np.where(~new(part), 3, np.where(part % 2 == 1, 2, 1)))
+    signs = pa.array(["", ";", "|", ","], pa.large_string()).take(pa.array(sign))
+    ids = pa.array(np.concatenate([a[0], b[0]])[order]).cast(pa.large_string())
+    return text, pc.binary_join_element_wise(signs, ids, pa.scalar("", pa.large_string()))
+
+
 def fragment(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> Fragment:
     """The fragment of the tokens that end in a byte range, from their ids and ends."""
     shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
     if not len(shared):
         return Fragment(a_ids.tolist(), b_ids.tolist(), None, 0, [], [])
-    a_cut, b_cut = np.searchsorted(a_ends, shared, "right"), np.searchsorted(b_ends, shared, "right")
-    a, b = (np.split(ids, cut) for ids, cut in ((a_ids, a_cut), (b_ids, b_cut)))
-    closed = ";".join(group_text(x.tolist(), y.tolist()) for x, y in zip(a[1:-1], b[1:-1], strict=True))
-    return Fragment(a[0].tolist(), b[0].tolist(), closed, len(shared) - 1, a[-1].tolist(), b[-1].tolist())
-
-
-def range_fragments(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray, size: int) -> Iterator[Fragment]:
-    """Fragments of consecutive ranges of `size` bytes, wherever their edges fall."""
-    stop = int(max(a_ends[-1] if len(a_ends) else 0, b_ends[-1] if len(b_ends) else 0))
-    for low in range(0, stop, size):
-        a0, a1 = np.searchsorted(a_ends, [low, low + size], "right")
-        b0, b1 = np.searchsorted(b_ends, [low, low + size], "right")
-        yield fragment(a_ids[a0:a1], a_ends[a0:a1], b_ids[b0:b1], b_ends[b0:b1])
+    (a0, a1), (b0, b1) = (np.searchsorted(ends, shared[[0, -1]], "right") for ends in (a_ends, b_ends))
+    inner = [(ids[i:j], np.searchsorted(shared, ends[i:j]), np.zeros(j - i, np.int64)) for ids, ends, i, j in ((a_ids, a_ends, a0, a1), (b_ids, b_ends, b0, b1))]
+    closed = "".join(spelled(*inner)[1].to_pylist())
+    return Fragment(a_ids[:a0].tolist(), b_ids[:b0].tolist(), closed, len(shared) - 1, a_ids[a1:].tolist(), b_ids[b1:].tolist())
 
 
 class Tokenizers:
@@ -116,11 +122,37 @@ class Tokenizers:
                 raise ValueError("a piece holds a space mark inside")
             b_bytes.append(bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else name.replace("▁", " ").encode())
         self.a_out, self.b_out = _table(a_bytes), _table(b_bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.good = pa.array([], pa.large_binary()), np.zeros(0, bool)
+        self.a_ids, self.b_ids = ((np.zeros(0, np.int32), np.zeros(1, np.int64)) for _ in range(2))
+
+    def encoded(self, units: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Whether each of some distinct units is given back by both encodings, and then both tokenizers' ids, with offsets; only units that aren't remembered are encoded."""
+        place = pc.index_in(units, value_set=self.known)
+        fresh = units.filter(pc.is_null(place))
+        if len(self.known) and len(self.known) + len(fresh) > REMEMBERED:
+            self.forget()
+            return self.encoded(units)
+        if len(fresh):
+            raw = fresh.to_pylist()
+            own, own_at = _table(raw)
+            a, b = self.ids([u.decode("utf-8", "replace") for u in raw])
+            good = _right(own, own_at, *a, self.a_out) & _right(own, own_at, *b, self.b_out)
+            kept = [(ids[_spread(at[:-1], n)].astype(np.int32), np.cumsum(n)) for ids, at in (a, b) for n in [np.where(good, np.diff(at), 0)]]
+            self.a_ids, self.b_ids = ((np.concatenate([old[0], ids]), np.concatenate([old[1], old[1][-1] + ends])) for old, (ids, ends) in zip((self.a_ids, self.b_ids), kept, strict=True))
+            self.known, self.good = pa.concat_arrays([self.known, fresh]), np.concatenate([self.good, good])
+            place = pc.index_in(units, value_set=self.known)
+        at = place.to_numpy().astype(np.int64)
+        sides = [(ids[_spread(ids_at[:-1][at], n)].astype(np.int64), np.concatenate([[0], np.cumsum(n)])) for ids, ids_at in (self.a_ids, self.b_ids) for n in [np.diff(ids_at)[at]]]
+        return self.good[at], *sides
 
     def ids(self, units: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Ids and offsets by unit, of A and of B; B adds the space that a unit begins with itself."""
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        return _flat(a), _flat(self.b.encode([u[1:] for u in units], num_threads=1))
+        steps = [units[i : i + STEP] for i in range(0, len(units), STEP)]
+        a = [_flat([e.ids for e in self.a.encode_batch_fast(u, add_special_tokens=False)]) for u in steps]
+        return _joined(a), _joined([_flat(self.b.encode([x[1:] for x in u], num_threads=1)) for u in steps])
 
 
 @lru_cache(maxsize=1)
@@ -139,8 +171,14 @@ def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(at[-1])), at
+    """All values, and how many each list has."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum())), size
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ([], [])))
+    return ids, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -184,16 +222,7 @@ def encoded_units(data: np.ndarray, at: np.ndarray, tokenizers: Tokenizers) -> U
     starts = unit_starts(data, at)
     every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = every.dictionary_encode()
-    raw = coded.dictionary.to_pylist()
-    a, b = tokenizers.ids([u.decode("utf-8", "replace") for u in raw])
-    own, own_at = _table(raw)
-    good = _right(own, own_at, *a, tokenizers.a_out) & _right(own, own_at, *b, tokenizers.b_out)
-
-    def kept(ids: np.ndarray, ids_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = np.where(good, np.diff(ids_at), 0)
-        return ids[_spread(ids_at[:-1], n)], np.concatenate([[0], np.cumsum(n)])
-
-    return Units(np.searchsorted(starts, at), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), good, kept(*a), kept(*b))
+    return Units(np.searchsorted(starts, at), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), *tokenizers.encoded(coded.dictionary))
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -201,9 +230,16 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return run[at[1:]] - run[at[:-1]]
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def _distinct(text: np.ndarray, kind: np.ndarray, n: int, n_kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct kinds of each text, how often each occurs, and offsets by text."""
-    keys, times = np.unique(text * n_kinds + kind, return_counts=True)
+    keys, times = _counted(text * n_kinds + kind)
     return keys % n_kinds, times, np.searchsorted(keys, np.arange(n + 1) * n_kinds)
 
 
@@ -217,13 +253,7 @@ def aligned_block(units: Units, tokenizers: Tokenizers) -> list[pa.Array]:
     a_ends, b_ends = (np.cumsum(np.diff(out[1])[ids]) for ids, out in ((a_ids, tokenizers.a_out), (b_ids, tokenizers.b_out)))
     shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
     unit_of = lambda ids_at: np.repeat(np.arange(len(units.good)), np.diff(ids_at))
-    # text of each unit: its tokens group by group, A's before B's, each after the sign that parts it from the one before
-    groups = np.concatenate([np.searchsorted(shared, ends) * 2 + side for side, ends in enumerate((a_ends, b_ends))])
-    order = np.argsort(groups, kind="stable")
-    part, unit = groups[order], np.concatenate([unit_of(a_at), unit_of(b_at)])[order]
-    new = lambda x: np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
-    sign = np.where(new(unit), 0, np.where(~new(part), 3, np.where(part % 2 == 1, 2, 1)))
-    tokens = pc.binary_join_element_wise(pa.array(["", ";", "|", ","], pa.large_string()).take(pa.array(sign)), pa.array(np.concatenate([a_ids, b_ids])[order]).cast(pa.large_string()), pa.scalar("", pa.large_string()))
+    unit, tokens = spelled((a_ids, np.searchsorted(shared, a_ends), unit_of(a_at)), (b_ids, np.searchsorted(shared, b_ends), unit_of(b_at)))
     texts = pc.binary_join(pa.LargeListArray.from_arrays(np.searchsorted(unit, np.arange(len(units.good) + 1)), tokens), pa.scalar("", pa.large_string()))
     # links: a token of A and one of B over each stretch between ends
     every = np.union1d(a_ends, b_ends)
@@ -251,63 +281,73 @@ def spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(data, at[:-1][full], _SPACE), at + np.concatenate([[0], np.cumsum(full)])
 
 
-def cut_places(data: np.ndarray, size: int) -> list[int]:
-    """Where chunks of a spaced text begin: at the first unit after every `size` bytes."""
-    places, seek = [0], size
-    while seek < len(data):
-        stop = min(len(data), seek + size)
-        window = data[seek - 1 : stop + 1]
-        starts = unit_starts(window, np.array([0, len(window)]))[1:]  # the first is the window's own
-        if len(starts):
-            places.append(seek - 1 + int(starts[0]))
-            seek = places[-1] + size
-        else:
-            seek = stop
-    return places
+def ranges(data: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """Byte ranges (low, high) of a spaced text, and where the units that they touch begin and end.
 
-
-_CHUNK = "text_id long, no long, chunk binary"
+    A range has `size` bytes; an edge inside a unit of over `size` bytes moves to the unit's end, so that few ranges share it.
+    """
+    starts = np.append(unit_starts(data, np.array([0, len(data)])), len(data))
+    low = 0
+    while low < len(data):
+        high = min(low + size, len(data))
+        own = int(np.searchsorted(starts, high)) - 1  # the unit that holds the byte before the edge
+        if starts[own + 1] - starts[own] > size:
+            high = int(starts[own + 1])
+        yield low, high, int(starts[np.searchsorted(starts, low, "right") - 1]), int(starts[own + 1])
+        low = high
+
+
+_CHUNK = "text_id long, no long, low long, high long, chunk binary"
 _PART = "text_id long, no long, bad boolean, n_a long, n_b long, first_a array<int>, first_b array<int>, closed string, n_closed long, last_a array<int>, last_b array<int>"
 
 
 def chunked(texts: DataFrame, size: int) -> DataFrame:
-    """texts(text_id, text) as chunks (text_id, no, chunk) of spaced bytes."""
+    """texts(text_id, text) as ranges (text_id, no, low, high, chunk): the bytes of the touched units, and where in them the range lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, at in blocks(batch.column(1), 1):
                 data = spaced(data, at)[0]
-                places = [*cut_places(data, size), len(data)]
-                for i in range(0, len(places) - 1, 64):
-                    own = [data[a:b].tobytes() for a, b in zip(places[i : i + 64], places[i + 1 : i + 65], strict=False)]
-                    yield pa.record_batch([batch.column(0).slice(first, 1).take(pa.array([0] * len(own))), pa.array(range(i, i + len(own)), pa.int64()), pa.array(own, pa.binary())], ["text_id", "no", "chunk"])
+                for no, (low, high, begin, end) in enumerate(ranges(data, size)):
+                    columns = [batch.column(0).slice(first, 1), *(pa.array([v], pa.int64()) for v in (no, low - begin, high - begin)), pa.array([data[begin:end].tobytes()], pa.binary())]
+                    yield pa.record_batch(columns, _names(_CHUNK))
 
     return texts.select("text_id", "text").mapInArrow(run, _CHUNK)
 
 
-def chunk_fragments(chunks: DataFrame, files: Broadcast, size: int) -> DataFrame:
-    """The folded fragment of each chunk, and its distinct links: _PART and pairs, times. A chunk that is no good is bad."""
+def range_part(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], low: int, high: int) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """(n_a, n_b, fragment), distinct links and their numbers of the tokens (ids, ends) that end after `low`, not after `high`; a link ends where the earlier of its tokens does."""
+    own = [(ids[slice(*at)], ends[slice(*at)]) for ids, ends in (a, b) for at in [np.searchsorted(ends, [low, high], "right")]]
+    every = np.union1d(own[0][1], own[1][1])
+    codes = a[0][np.searchsorted(a[1], every)] << B_BITS | b[0][np.searchsorted(b[1], every)]
+    pairs, times = _counted(codes)
+    return (len(own[0][0]), len(own[1][0]), *fragment(*own[0], *own[1])), pairs, times
+
+
+def chunk_fragments(chunks: DataFrame, files: Broadcast) -> DataFrame:
+    """The fragment of each range, and its distinct links: _PART and pairs, times. A range with an encoding that is no good is bad."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = tokenizers_of(*files.value)
+        ids, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), ids, ids, pa.string(), pa.int64(), ids, ids, longs, ids]
         for batch in batches:
-            for first, end, data, at in blocks(batch.column(2).view(pa.string()), BLOCK_BYTES):
-                units = encoded_units(data, at, tokenizers)
-                found = aligned_block(units, tokenizers)
-                parts = []
+            low, high = (batch.column(k).to_numpy() for k in (2, 3))
+            for first, end, data, at in blocks(batch.column(4).view(pa.string()), BLOCK_BYTES):
+                units, rows = encoded_units(data, at, tokenizers), []
                 for i in range(end - first):
                     which = units.which[units.at[i] : units.at[i + 1]]
                     if not units.good[which].all():
-                        parts.append((True, *NOTHING))
+                        rows.append((True, 0, 0, *NOTHING, [], []))
                         continue
                     own = []
-                    for (ids, ids_at), out in ((units.a, tokenizers.a_out), (units.b, tokenizers.b_out)):
-                        ids = ids[_spread(ids_at[:-1][which], np.diff(ids_at)[which])]
-                        own += [ids, np.cumsum(np.diff(out[1])[ids])]
-                    parts.append((False, *reduce(combined, range_fragments(*own, size), NOTHING)))
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*parts, strict=True), _part_types(), strict=True)]
-                keys = [batch.column(k).slice(first, end - first) for k in (0, 1)]
-                yield pa.record_batch([*keys, columns[0], found[0], found[1], *columns[1:], found[4], found[5]], [*_names(_PART), "pairs", "times"])
+                    for (values, values_at), out in ((units.a, tokenizers.a_out), (units.b, tokenizers.b_out)):
+                        values = values[_spread(values_at[:-1][which], np.diff(values_at)[which])]
+                        own.append((values, np.cumsum(np.diff(out[1])[values])))
+                    part, pairs, times = range_part(*own, low[first + i], high[first + i])
+                    rows.append((False, *part, pairs, times))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.record_batch([*(batch.column(k).slice(first, end - first) for k in (0, 1)), *columns], [*_names(_PART), "pairs", "times"])
 
     return chunks.mapInArrow(run, f"{_PART}, pairs array<long>, times array<int>")
 
@@ -316,11 +356,6 @@ def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
 
-def _part_types() -> list[pa.DataType]:
-    ids = pa.list_(pa.int32())
-    return [pa.bool_(), ids, ids, pa.string(), pa.int64(), ids, ids]
-
-
 def folded(parts: DataFrame, most: int) -> DataFrame:
     """One row of _PART a text, from parts numbered under `most`: FAN neighbours are combined at each level of a tree."""
 
@@ -329,7 +364,8 @@ def folded(parts: DataFrame, most: int) -> DataFrame:
         whole = reduce(combined, (Fragment(*[r[k] for k in Fragment._fields]) for r in rows), NOTHING)
         sums = [any(r["bad"] for r in rows), *(sum(r[k] for r in rows) for k in ("n_a", "n_b"))]
         values = [rows[0]["text_id"], rows[0]["no"] // FAN, *sums, *whole]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *_part_types()[1:]]
+        ids = pa.list_(pa.int32())
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), ids, ids, pa.string(), pa.int64(), ids, ids]
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=_names(_PART))
 
     while most > 1:
@@ -342,11 +378,11 @@ def _group(a: str, b: str) -> Column:
     return F.concat_ws("|", *[F.array_join(F.col(c).cast("array<string>"), ",") for c in (a, b)])
 
 
-def aligned_long(texts: DataFrame, files: Broadcast, chunk_bytes: int, range_bytes: int) -> DataFrame:
-    """(text_id, columns of _FOUND) for texts(text_id, text), chunk by chunk over all tasks."""
+def aligned_long(texts: DataFrame, files: Broadcast, chunk_bytes: int) -> DataFrame:
+    """(text_id, columns of _FOUND) for texts(text_id, text), range by range over all tasks."""
     session = texts.sparkSession
     chunks = chunked(texts, chunk_bytes).repartition(int(session.conf.get("spark.sql.shuffle.partitions")), "text_id", "no")
-    parts = written(chunk_fragments(chunks, files, range_bytes), "fragments")
+    parts = written(chunk_fragments(chunks, files), "fragments")
     most = (parts.agg(F.max("no")).first()[0] or 0) + 1
     whole = folded(parts.select(*_names(_PART)), most)
     links = parts.select("text_id", F.explode(F.arrays_zip("pairs", "times")).alias("l")).groupBy("text_id", F.col("l.pairs").alias("pair")).agg(F.sum("l.times").cast("int").alias("times"))
@@ -362,7 +398,7 @@ def aligned_long(texts: DataFrame, files: Broadcast, chunk_bytes: int, range_byt
     )
 
 
-def aligned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def aligned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(row, n_a, n_b, n_groups, groups, pairs, times) for every row of docs; row holds the kept columns.
 
     A encodes a space and the text, B the text, to which it adds the space; strings of special tokens are plain text. groups is
@@ -383,7 +419,7 @@ def aligned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
 
     short = rows.where(~is_long).mapInArrow(run, f"row {kind}, {_FOUND}")
     long_texts = written(rows.where(is_long).withColumn("text_id", F.monotonically_increasing_id()), "long-texts")
-    whole = aligned_long(long_texts, files, chunk_bytes, range_bytes)
+    whole = aligned_long(long_texts, files, chunk_bytes)
     return short.unionByName(long_texts.select("text_id", "row").join(whole, "text_id").drop("text_id"))
 
 
@@ -406,7 +442,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
             return kinds, np.bincount(at, np.concatenate([n for _, n in held]), len(kinds)).astype(np.int64)
 
         for batch in batches:
-            held.append(np.unique(batch.column(0).flatten().to_numpy(), return_counts=True))
+            held.append(_counted(batch.column(0).flatten().to_numpy()))
             if sum(len(p) for p, _ in held) > HELD_PAIRS:
                 held = [merged()]
                 if len(held[0][0]) > HELD_PAIRS // 2:

@@ -84,7 +84,6 @@ def test_fragments_of_any_ranges_combine_to_the_whole(a, b, cuts):
     for p in reversed(parts):
         right = A.combined(p, right)
     assert right == whole and whole.last_a == [] and whole.last_b == []
-    assert reduce(A.combined, A.range_fragments(a * 7, a, b * 3, b, 4), A.NOTHING) == whole
 
 
 PIECES = ["the ", "Haus", "été", "  ", "\n", "\n\n ", " \n", "日本語", "。", " ", "　", " 12", "345", "'s", "…", "<|endoftext|>", "<s>", "<0x0A>", "\x00", "😀", "\t", "\r\n", "é", " - ", "ab" * 30, "₂", " x"]
@@ -113,7 +112,7 @@ def rows_of(rng):
 def test_query_is_text_by_text(spark, both, chunk, monkeypatch):
     rows = rows_of(random.Random(chunk))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(A.aligned, "__defaults__", (("doc_id",), "text", A.A_FILE, A.B_FILE, chunk, 64))
+    monkeypatch.setattr(A.aligned, "__defaults__", (("doc_id",), "text", A.A_FILE, A.B_FILE, chunk))
     got = sorted((tuple(r) for r in A.aligned_documents(docs).collect()), key=str)
     assert got == expected(rows, both)
 
@@ -121,7 +120,7 @@ def test_query_is_text_by_text(spark, both, chunk, monkeypatch):
 def test_pieces_of_the_counts_and_tree(spark, both):
     rows = rows_of(random.Random(9))
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "pairs", "n", "text_id", "carry", "no", "a")})
-    found = A.aligned(docs, keep=("doc_id", "pairs"), chunk_bytes=100, range_bytes=30).select("row.doc_id", "n_a", "pairs", "times")
+    found = A.aligned(docs, keep=("doc_id", "pairs"), chunk_bytes=100).select("row.doc_id", "n_a", "pairs", "times")
     got = sorted((tuple(r) for r in A.scored_links(found, ["doc_id", "n_a"], piece=50).collect()), key=str)
     assert got == sorted(((r[0], r[1], r[5], r[6]) for r in expected(rows, both)), key=str)
 
@@ -132,7 +131,11 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in A.aligned_documents(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
-def test_chunks_start_at_units():
+def test_ranges_cover_a_text_once():
     data = np.frombuffer(b" " + b"wort und  zwei " * 400 + b"x" * 900 + b" ende ", np.uint8)
-    places, starts = A.cut_places(data, 100), set(A.unit_starts(data, np.array([0, len(data)])).tolist())
-    assert set(places) <= starts and all(b - a < 110 for a, b in zip(places, [*places[1:], 6000], strict=True) if a < 5800)
+    starts = [*A.unit_starts(data, np.array([0, len(data)])).tolist(), len(data)]
+    found = list(A.ranges(data, 100))
+    assert [f[0] for f in found] == [0, *[f[1] for f in found[:-1]]] and found[-1][1] == len(data) == found[-1][3]
+    assert all(begin in starts and end in starts and begin <= low < high <= end and end - begin < 140 for low, high, begin, end in found if high - low == 100)
+    assert sum(begin < low for low, _, begin, _ in found) > 10  # edges fall into a unit
+    assert sum(end - begin > 900 for *_, begin, end in found) == 1  # the long unit is encoded once
