@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 2953
@@ -37,28 +37,81 @@ def chunk_parse(chunks: DataFrame, data_col: str = "payload") -> DataFrame:
     return out.where(F.col("idx").isNotNull() & F.col("total").isNotNull())
 
 
+def _latest(chunks: DataFrame) -> DataFrame:
+    """(archive_id, idx, last, low, high): of repeated indices the chunk read last, by partial aggregation; and the totals that they name."""
+    read = F.struct("read_order", "slice", "total")
+    return chunk_parse(chunks).groupBy("archive_id", "idx").agg(F.max(read).alias("last"), F.min("total").alias("low"), F.max("total").alias("high"))
+
+
+def _with_status(archives: DataFrame, compat: bool) -> DataFrame:
+    status = F.when(F.col("n_chunks") >= F.col("total"), "complete").when(F.col("n_chunks") >= 0.7 * F.col("total"), "partial").otherwise("failed")
+    good = F.col("status").isin("complete", "partial") if compat else F.col("status") == "complete"
+    return archives.withColumn("status", status).withColumn("_good", good)
+
+
+def archive_status(chunks: DataFrame, compat: bool = False) -> DataFrame:
+    """(archive_id, status, n_chunks, total, totals_agree) from chunks(archive_id, read_order, payload), by partial aggregation: no row holds an archive.
+
+    The last chunk's total counts. Chunks numbered beyond it don't (compat: they do). Under 70 % of the chunks: failed; under all: partial.
+    """
+    return _status(chunks, compat).select("archive_id", "status", "n_chunks", "total", "totals_agree")
+
+
+def _status(chunks: DataFrame, compat: bool) -> DataFrame:
+    rows = _latest(chunks).select("archive_id", "idx", "last.read_order", "last.total", "low", "high")
+    totals = rows.groupBy("archive_id").agg(F.max(F.struct("read_order", "total")).alias("_end"), (F.min("low") == F.max("high")).alias("totals_agree"))
+    inside = F.lit(True) if compat else (F.col("idx") >= 0) & (F.col("idx") < F.col("total"))
+    held = rows.select("archive_id", "idx").join(totals.select("archive_id", F.col("_end.total").alias("total")), "archive_id").where(inside).groupBy("archive_id").agg(F.count("*").alias("n_chunks"))
+    out = totals.select("archive_id", "totals_agree", F.col("_end.total").alias("total")).join(held, "archive_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)).cast("long"))
+    return _with_status(out, compat)
+
+
+#: Signs of base64 in a segment (a multiple of four), and chunks whose lengths are summed up together.
+SEGMENT, RUN = 4 * 2**20, 4096
+
+
+def reassemble_segments(chunks: DataFrame, segment: int = SEGMENT, compat: bool = False) -> DataFrame:
+    """(archive_id, offset, data): the bytes of archives in segments of segment / 4 * 3 bytes, so that an archive may be of any size.
+
+    As in `reassemble`, only complete archives are decoded (compat: partial ones too, as they are). A slice's place is the sum of the lengths before it,
+    by runs of RUN chunks and sums of runs; slices are cut at the segments' borders, and each segment is joined and decoded alone.
+    A segment that is no base64 has null data.
+    """
+    if segment % 4:
+        raise ValueError("a segment is a multiple of four signs")
+    good = _status(chunks, compat).where("_good").select("archive_id", "total")
+    rows = _latest(chunks).select("archive_id", "idx", F.col("last.slice").alias("slice")).join(good, "archive_id")
+    rows = rows if compat else rows.where((F.col("idx") >= 0) & (F.col("idx") < F.col("total")))
+    sizes = rows.select("archive_id", "idx", F.length("slice").cast("long").alias("_n"), F.floor(F.col("idx") / RUN).alias("_run"))
+    inside = F.sum("_n").over(Window.partitionBy("archive_id", "_run").orderBy("idx")) - F.col("_n")
+    runs = sizes.groupBy("archive_id", "_run").agg(F.sum("_n").alias("_all"))  # a row for RUN chunks
+    runs = runs.select("archive_id", "_run", (F.sum("_all").over(Window.partitionBy("archive_id").orderBy("_run")) - F.col("_all")).alias("_begin"))
+    places = sizes.withColumn("_in", inside).join(runs, ["archive_id", "_run"]).select("archive_id", "idx", (F.col("_in") + F.col("_begin")).alias("at"))
+    placed = rows.join(places, ["archive_id", "idx"]).where(F.length("slice") > 0)
+    numbers = F.sequence(F.floor(F.col("at") / segment), F.floor((F.col("at") + F.length("slice") - 1) / segment))
+    cut = placed.select("archive_id", "at", "slice", F.explode(numbers).alias("segment"))
+    begin = F.greatest(F.col("segment") * segment, F.col("at"))
+    end = F.least((F.col("segment") + 1) * segment, F.col("at") + F.length("slice"))
+    cut = cut.select("archive_id", "segment", begin.alias("begin"), F.substring(F.col("slice"), (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    whole = cut.groupBy("archive_id", "segment").agg(F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
+    return whole.select("archive_id", (F.col("segment") * (segment // 4 * 3)).alias("offset"), F.try_to_binary(text, F.lit("base64")).alias("data"))
+
+
 def reassemble(chunks: DataFrame, compat: bool = False) -> DataFrame:
     """(archive_id, status, n_chunks, total, totals_agree, data) from chunks(archive_id, read_order, payload).
 
-    Of repeated indices the last one read counts, and the last chunk's total. Chunks numbered beyond the total
-    don't count (compat: they do). Under 70 % of the chunks: failed; under all: partial; only complete
-    archives are decoded (compat: partial ones too, as they are). The last chunk of each index is found
-    first, by partial aggregation; then an archive's chunks meet in one row, so archives are bounded by a row's 2 GB.
+    Status as in archive_status. Only complete archives are decoded (compat: partial ones too, as they are). An archive's chunks meet in one row, so it
+    is bounded by a row's 2 GB; reassemble_segments isn't.
     """
-    read = F.struct("read_order", "slice", "total")
-    latest = chunk_parse(chunks).groupBy("archive_id", "idx").agg(F.max(read).alias("_last"), F.min("total").alias("_low"), F.max("total").alias("_high"))
-    parts = latest.groupBy("archive_id").agg(
-        F.max(F.struct("_last.read_order", "_last.total")).alias("_end"), (F.min("_low") == F.max("_high")).alias("totals_agree"), F.array_sort(F.collect_list(F.struct("idx", F.col("_last.slice").alias("slice")))).alias("_p")
+    parts = _latest(chunks).groupBy("archive_id").agg(
+        F.max(F.struct("last.read_order", "last.total")).alias("_end"), (F.min("low") == F.max("high")).alias("totals_agree"), F.array_sort(F.collect_list(F.struct("idx", F.col("last.slice").alias("slice")))).alias("_p")
     ).withColumn("total", F.col("_end.total"))
     if not compat:
         parts = parts.withColumn("_p", F.filter("_p", lambda p: (p["idx"] >= 0) & (p["idx"] < F.col("total"))))
-    out = parts.withColumn("n_chunks", F.size("_p").cast("long"))
-    status = F.when(F.col("n_chunks") >= F.col("total"), "complete").when(F.col("n_chunks") >= 0.7 * F.col("total"), "partial").otherwise("failed")
+    out = _with_status(parts.withColumn("n_chunks", F.size("_p").cast("long")), compat)
     text = F.array_join(F.transform("_p", lambda p: p["slice"]), "")
-    out = out.withColumn("status", status)
-    good = F.col("status").isin("complete", "partial") if compat else F.col("status") == "complete"
-    data = F.when(good, F.try_to_binary(text, F.lit("base64")))
-    return out.select("archive_id", "status", "n_chunks", "total", "totals_agree", data.alias("data"))
+    return out.select("archive_id", "status", "n_chunks", "total", "totals_agree", F.when(F.col("_good"), F.try_to_binary(text, F.lit("base64"))).alias("data"))
 
 
 def backup_plan(archives: DataFrame, data_col: str = "data", chunk: int = CHUNK, redundancy: float = 0.3) -> DataFrame:

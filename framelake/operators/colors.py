@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import colorsys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,25 +57,42 @@ def dominant_color(image: np.ndarray, bbox: list[float]) -> tuple[str, str | Non
     return name, hex_color(int(usual), int(sat[own].mean()), int(val[own].mean()))
 
 
-def annotate_colors(detections: DataFrame, images: DataFrame) -> DataFrame:
-    """detections with color_name and color_hex from images(frame_path, image); null where an image is missing or broken.
+#: Boxes that are sent to all tasks at once (some 60 bytes each), to meet the images as these are read.
+BOXES = 1_000_000
 
-    Detections and images meet by frame_path; pixels are reduced in the task that decodes them.
+
+def annotate_colors(detections: DataFrame, images: DataFrame, boxes: int = BOXES) -> DataFrame:
+    """detections with color_name and color_hex from images(frame_path, image); null where an image is missing or broken, or a box has no four numbers.
+
+    An image never enters a shuffle: the distinct boxes of its path, gathered in a row, come to the task that reads it, which decodes it once
+    for all of them, and only colours go on to the detections. More boxes than `boxes` are sent in parts by a hash of the path; a part
+    reads its own images only, as read_images' paths are known before a file is opened.
     """
 
-    @F.pandas_udf("color_name string, color_hex string")
-    def shade(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series, bbox: pd.Series) -> pd.DataFrame:
-        out = []
-        for h, w, c, d, b in zip(height, width, channels, data, bbox, strict=True):
-            try:
-                out.append(dominant_color(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c))[..., :3], list(b)))
-            except (TypeError, ValueError):
-                out.append((None, None))
-        return pd.DataFrame(out, columns=["color_name", "color_hex"])
-
-    joined = detections.drop("color_name", "color_hex").join(images.select("frame_path", "image"), "frame_path", "left")
-    found = joined.withColumn("_c", shade("image.height", "image.width", "image.nChannels", "image.data", "bbox"))
-    return found.withColumn("color_name", F.col("_c.color_name")).withColumn("color_hex", F.col("_c.color_hex")).drop("_c", "image")
+    @F.pandas_udf("array<struct<bbox:array<double>,color_name:string,color_hex:string>>")
+    def shades(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for rows in columns:
+            out = []
+            for h, w, c, d, own in zip(*rows, strict=True):
+                found = []
+                for box in own:
+                    try:
+                        found.append((box, *dominant_color(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c))[..., :3], list(box))))
+                    except (TypeError, ValueError, IndexError):
+                        found.append((box, None, None))
+                out.append([{"bbox": b, "color_name": n, "color_hex": x} for b, n, x in found])
+            yield pd.Series(out, dtype=object)
+
+    wanted = detections.where("frame_path is not null and bbox is not null").groupBy("frame_path").agg(F.collect_set("bbox").alias("boxes"))
+    n = max(1, -(-(wanted.agg(F.sum(F.size("boxes"))).first()[0] or 0) // boxes))
+    shaded: DataFrame | None = None
+    for i in range(n):
+        own = lambda df, i=i: df.where(F.pmod(F.xxhash64("frame_path"), F.lit(n)) == i)
+        met = own(images.select("frame_path", "image")).where("image is not null").join(F.broadcast(own(wanted)), "frame_path")
+        part = met.select("frame_path", F.explode(shades("image.height", "image.width", "image.nChannels", "image.data", "boxes")).alias("s"))
+        shaded = part if shaded is None else shaded.unionByName(part)
+    colors = shaded.select("frame_path", "s.*").dropDuplicates(["frame_path", "bbox"])
+    return detections.drop("color_name", "color_hex").join(colors, ["frame_path", "bbox"], "left")
 
 
 def hue_bin(hue: Column) -> Column:

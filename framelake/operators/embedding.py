@@ -5,15 +5,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.columns import DIMENSION, embed_text, feature_bucket, token_features
 
 Encoder = Callable[[list[str]], np.ndarray]
+Detector = Callable[[pd.DataFrame], pd.DataFrame]
 _WORD = re.compile("[a-z]+")
 
 
@@ -44,31 +47,48 @@ def hash_embedding(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
 
 
 def safely(encoder: Encoder, texts: list[str], batch: int = 32) -> list[np.ndarray]:
-    """The encoder over batches; a batch that fails is hashed instead."""
+    """The encoder over batches. The texts of a batch that fails go to it one by one, and what fails then is hashed instead."""
     out: list[np.ndarray] = []
     for i in range(0, len(texts), batch):
         part = texts[i : i + batch]
         try:
-            out += list(np.asarray(encoder(part), np.float32))
+            found = list(np.asarray(encoder(part), np.float32))
+            if len(found) != len(part):
+                raise ValueError("an encoder gives a vector for each text")
         except Exception:  # an encoder is the caller's code: any failure has a defined result
-            out += list(hash_embedding(part))
+            found = safely(encoder, part[: len(part) // 2], batch) + safely(encoder, part[len(part) // 2 :], batch) if len(part) > 1 else list(hash_embedding(part))
+        out += found
     return out
 
 
-def embed_column(df: DataFrame, text_col: str, out_col: str, encoder: Encoder = hash_embedding, batch: int = 32) -> DataFrame:
-    """df with a vector for each text."""
+_MODELS: dict[bytes, Any] = {}
+
+
+def loaded(factory: Callable[[], Any]) -> Any:
+    """What a factory makes, made once in a worker process for all its tasks; factories are told apart by their pickled form."""
+    key = cloudpickle.dumps(factory)
+    if key not in _MODELS:
+        _MODELS[key] = factory()
+    return _MODELS[key]
+
+
+def embed_column(df: DataFrame, text_col: str, out_col: str, encoder: Encoder = hash_embedding, batch: int = 32, factory: Callable[[], Encoder] | None = None) -> DataFrame:
+    """df with a vector for each text (null: the empty one's) by an encoder, or by one that a factory makes in each worker process, so that a model isn't sent with every task."""
+    make = factory if factory is not None else lambda: encoder
 
     @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(safely(encoder, texts.fillna("").tolist(), batch), dtype=object)
+    def vectors(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = loaded(make)
+        for texts in columns:
+            yield pd.Series(safely(own, texts.fillna("").tolist(), batch), dtype=object)
 
     return df.withColumn(out_col, vectors(F.col(text_col)))
 
 
-def embed_frames(frames: DataFrame, encoder: Encoder = hash_embedding, batch: int = 32) -> DataFrame:
-    """frames with embedding and text_embedding from their tags (their id without any)."""
+def embed_frames(frames: DataFrame, encoder: Encoder = hash_embedding, batch: int = 32, factory: Callable[[], Encoder] | None = None) -> DataFrame:
+    """frames with embedding and text_embedding from their tags (their id without any), by an encoder or a factory of one."""
     text = frames.withColumn("_text", embed_text(F.col("tags"), F.col("id")))
-    out = embed_column(text, "_text", "text_embedding", encoder, batch)
+    out = embed_column(text, "_text", "text_embedding", encoder, batch, factory)
     return out.withColumn("embedding", F.col("text_embedding")).drop("_text")
 
 
@@ -79,16 +99,31 @@ def sparse_embedding(df: DataFrame, key: str, text_col: str, dimension: int = DI
     return rows.join(norms, key).select(key, "bucket", "n", (F.col("n") / F.col("_norm")).alias("weight"))
 
 
-def detect_frames(images: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
-    """Detections of images(frame_id, image) by the caller's model; none without one.
+_DETECTED = "frame_id string, det_idx int, label string, confidence double, bbox array<double>, frame_area double"
+
+
+def detect_frames(images: DataFrame, model: Detector | None = None, factory: Callable[[], Detector] | None = None) -> DataFrame:
+    """Detections of images(frame_id, image) by the caller's model, or by one that a factory makes in each worker process; none without either.
 
     The model takes a batch (frame_id, height, width, data) and returns (frame_id, det_idx, label, confidence, bbox, frame_area).
+    Images without pixels are left out. The images of a batch that fails go to the model one by one, and what fails then has no detections.
     """
-    schema = "frame_id string, det_idx int, label string, confidence double, bbox array<double>, frame_area double"
+    make = factory if factory is not None else lambda: model
+    names = [f.split()[0] for f in _DETECTED.split(", ")]
+
+    def found(own: Detector, batch: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return own(batch)[names]
+        except Exception:  # a model is the caller's code
+            if len(batch) < 2:
+                return pd.DataFrame(columns=names)
+            parts = [p for i in range(len(batch)) if len(p := found(own, batch.iloc[i : i + 1]))]
+            return pd.concat(parts) if parts else pd.DataFrame(columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = loaded(make)
         for batch in batches:
-            if model is not None:
-                yield model(batch)
+            if own is not None and len(batch) and len(out := found(own, batch)):
+                yield out
 
-    return images.select("frame_id", "image.height", "image.width", "image.data").mapInPandas(run, schema)
+    return images.where("image is not null").select("frame_id", "image.height", "image.width", "image.data").mapInPandas(run, _DETECTED)

@@ -26,20 +26,62 @@ def get_frame(frames: DataFrame, frame_id: str) -> DataFrame:
     return frames.where(F.col("id") == frame_id).orderBy("seq").limit(1)
 
 
-def tail_rows(frames: DataFrame, n: int) -> DataFrame:
-    """The last n rows in order of arrival; 0 means all."""
-    return frames.orderBy("seq") if n == 0 else frames.orderBy(F.desc("seq")).limit(n).orderBy("seq")
+#: Rows that one task may sort and skip, and ranges of seq that are counted at once on the way to fewer.
+FEW, RANGES = 10_000, 4096
+
+
+def seq_range(frames: DataFrame, place: int) -> tuple[int, int, int]:
+    """(low, high, before): the row at `place` (from 0) in order of seq is among those of low <= seq < high, FEW at most or of one seq; `before` rows are under low.
+
+    Ranges of seq are counted, a row for each, and the range that holds the place is counted in finer ones, until it holds few
+    rows. Beyond the last row the range is empty.
+    """
+    ends = frames.agg(F.min("seq"), F.max("seq"), F.count("seq")).first()
+    if place >= ends[2]:
+        return (top := 0 if ends[1] is None else ends[1] + 1), top, ends[2]
+    low, high, before, held = ends[0], ends[1] + 1, 0, ends[2]
+    while held > FEW and high - low > 1:
+        width = -(-(high - low) // RANGES)
+        own = frames.where((F.col("seq") >= low) & (F.col("seq") < high))
+        counts = own.groupBy(F.expr(f"(seq - {low}) div {width}").alias("range")).agg(F.count("*").alias("n"))
+        for r in sorted(counts.collect()):  # RANGES rows at most
+            if before + r["n"] > place:
+                low, held = low + r["range"] * width, r["n"]
+                high = min(high, low + width)
+                break
+            before += r["n"]
+    return low, high, before
 
 
 def recent(frames: DataFrame, n: int | None) -> DataFrame:
-    """The last n frames by seq, in no order (None: all): what a search with `recent_n` looks at."""
-    return frames if n is None else frames.orderBy(F.desc("seq")).limit(n)
+    """The last n frames by seq, in no order (None: all): what a search with `recent_n` looks at. Of many, only few are sorted."""
+    if n is None:
+        return frames
+    if n <= FEW:
+        return frames.orderBy(F.desc("seq")).limit(n)
+    first = max(0, frames.count() - n)
+    low, high, before = seq_range(frames, first)
+    edge = frames.where((F.col("seq") >= low) & (F.col("seq") < high)).orderBy("seq").offset(first - before)
+    return frames.where(F.col("seq") >= high).unionByName(edge)
+
+
+def tail_rows(frames: DataFrame, n: int) -> DataFrame:
+    """The last n rows in order of arrival; 0 means all."""
+    return (frames if n == 0 else recent(frames, n)).orderBy("seq")
 
 
 def page(frames: DataFrame, limit: int = 50, offset: int = 0, compat: bool = False) -> DataFrame:
-    """Rows offset .. offset + limit by seq. compat: of the last limit + offset rows, as older callers expect."""
-    rows = tail_rows(frames, limit + offset) if compat else frames.orderBy("seq")
-    return rows.offset(offset).limit(limit)
+    """Rows offset .. offset + limit by seq. compat: of the last limit + offset rows, as older callers expect.
+
+    A deep page is found by counts of ranges of seq; only rows of the ranges that it lies in are read and sorted.
+    """
+    if compat:
+        offset += max(0, frames.count() - limit - offset)
+    if offset + limit <= FEW:
+        return frames.orderBy("seq").offset(offset).limit(limit)
+    low, _, before = seq_range(frames, offset)
+    _, high, _ = seq_range(frames, offset + limit - 1) if limit else (0, low, 0)
+    return frames.where((F.col("seq") >= low) & (F.col("seq") < high)).orderBy("seq").offset(offset - before).limit(limit)
 
 
 def project_results(frames: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from framelake.functions.ranking import best_object, dominance, structure
 from framelake.operators import backup, colors, detections, embedding, frames, indexing, maintenance, search, statistics, times
 from framelake.plans import views as V
 from framelake.plans.sql import ORACLE_SQL
+from framelake.sources import files
+from framelake.sources import table as index_table
+from framelake.sources.shared import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -245,7 +248,7 @@ def clip_offset_range(spark, sf_dir):
 
 @query
 def range_join(spark, sf_dir):
-    return times.range_join(V.frames(spark, sf_dir), V.ranges(spark, sf_dir), bucket=50_000.0).groupBy("range_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    return times.range_join(V.frames(spark, sf_dir), V.ranges(spark, sf_dir)).groupBy("range_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
 @query
@@ -301,9 +304,7 @@ def motion_sessions(spark, sf_dir):
 def motion_log(spark, sf_dir):
     kind = F.col("event_id") % 4
     line = F.when(kind == 0, F.concat(F.lit("[info] pts_time:1 pts_time: "), "value", F.lit(" fmt:x"))).when(kind == 1, F.concat(F.lit("lavfi.scene_score="), F.col("value") / 500)).when(kind == 2, F.lit("pts_time: soon")).otherwise(F.lit(""))
-    from framelake.sources.files import log_values
-
-    rows = log_values(V.table(spark, sf_dir, "events").select(F.concat(F.lit("clip_"), F.col("user_id")).alias("clip"), line.alias("value")))
+    rows = files.log_values(V.table(spark, sf_dir, "events").select(F.concat(F.lit("clip_"), F.col("user_id")).alias("clip"), line.alias("value")))
     return rows.groupBy("clip").agg(F.count("ts").alias("n_ts"), F.max("ts").alias("max_ts"), F.count("score").alias("n_scores"), F.max("score").alias("max_score"))
 
 
@@ -401,3 +402,94 @@ def backup_plan(spark, sf_dir):
 @query
 def dominant_color_pixels(spark, sf_dir):
     return colors.dominant_color_pixels(V.pixels(spark, sf_dir))
+
+
+@query
+def annotate_colors(spark, sf_dir):
+    return colors.annotate_colors(V.image_boxes(spark, sf_dir), V.images(spark, sf_dir)).select("frame_path", F.col("box").cast("long").alias("box"), "color_name")
+
+
+@query
+def chunk_segments(spark, sf_dir):
+    """The archives of chunk_reassemble that are whole, in segments of 1,200 signs."""
+    rows = backup.chunk_split(V.archives(spark, sf_dir), chunk=500)
+    read = rows.where("not (archive_id % 4 = 1 and idx = 1)").select("archive_id", F.col("idx").alias("read_order"), "payload")  # lost chunks
+    again = read.where("read_order % 2 = 0").withColumn("read_order", F.col("read_order") + 1_000_000)
+    return backup.reassemble_segments(read.unionByName(again), segment=1200).select("archive_id", "offset", F.md5("data").alias("data_md5"))
+
+
+@query
+def page_deep(spark, sf_dir):
+    return frames.page(V.frames(spark, sf_dir), 50, 12_000).select("seq", "id", "camera")
+
+
+@query
+def tail_deep(spark, sf_dir):
+    return frames.tail_rows(V.frames(spark, sf_dir), 12_000).agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+@query
+def range_join_lengths(spark, sf_dir):
+    """Ranges of one second to years, some open at an end."""
+    kind = F.col("event_id") % 500
+    rows = V.ranges(spark, sf_dir).withColumnRenamed("range_id", "event_id")
+    end = F.when(kind == 2, F.col("start") + 5 * 31_557_600.0).when(kind == 3, None).when(F.col("event_id") % 2 == 0, F.col("start") + 1).otherwise(F.col("end"))
+    rows = rows.select(F.col("event_id").alias("range_id"), F.when(kind != 4, F.col("start")).alias("start"), end.alias("end"))
+    return times.range_join(V.frames(spark, sf_dir), rows).groupBy("range_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+@query
+def nearest_time_all(spark, sf_dir):
+    """Every frame for each of some targets, by rank."""
+    targets = V.targets(spark, sf_dir).withColumn("top_k", F.when(F.col("target_id") % 1000 != 0, 0))
+    return times.nearest_time_batch(V.frames(spark, sf_dir), targets, None).select("target_id", F.col("rank").cast("long").alias("rank"), "id", "delta")
+
+
+@query
+def unsupported_labels(spark, sf_dir):
+    odd = F.when(F.col("seq") % 3 == 0, F.array(F.lit("yeti"))).when(F.col("seq") % 5 == 0, F.array(F.lit("ufo"), F.lit("yeti"), F.lit("ufo"))).otherwise(F.array())
+    rows = V.indexed_frames(spark, sf_dir).withColumn("labels", F.concat("labels", odd))
+    return frames.unsupported_labels(rows).select("id", F.array_join("unsupported", ",").alias("unsupported"))
+
+
+@query
+def frames_read(spark, sf_dir):
+    """Frames as JSON lines, some broken and some without a required field, read in their order."""
+    path = scratch(spark, "frames")
+    key = F.col("seq")
+    line = F.to_json(F.struct("id", "timestamp", "source_clip", F.when(key % 89 != 0, "t.jpg").alias("thumbnail_path"), "wall_time", "camera", F.lit(1).alias("unknown")))
+    lines = V.frames(spark, sf_dir).orderBy("seq").select(F.when(key % 97 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    lines.write.mode("append").text(path)
+    return files.read_frames(spark, path).select("seq", "id", "wall_time", "camera", F.size("labels").cast("long").alias("n_labels"))
+
+
+@query
+def events_tail(spark, sf_dir):
+    """A log of events, and the last hundred of it."""
+    path = scratch(spark, "events")
+    rows = V.table(spark, sf_dir, "events").orderBy("event_id").select(F.concat(F.lit("cam"), F.col("user_id") % 8).alias("camera"), F.col("event_type").alias("label"), F.col("event_id").cast("string").alias("timestamp"))
+    files.append_events(rows, path)
+    return files.read_events(spark, path).select("timestamp", "camera", "label")
+
+
+@query
+def vectors_read(spark, sf_dir):
+    """Vectors as lines of records, read again; every third one has a text vector."""
+    path = scratch(spark, "vectors")
+    rows = V.table(spark, sf_dir, "embeddings").orderBy("vec_id")
+    text = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 5)).otherwise(F.array().cast("array<float>"))
+    files.append_vectors(rows.select(F.concat(F.lit("v"), "vec_id").alias("id"), "embedding", text.alias("text_embedding"), F.concat(F.lit("cam"), F.col("vec_id") % 8).alias("camera")), path)
+    total = lambda c: F.round(F.aggregate(F.coalesce(c, F.array().cast("array<float>")), F.lit(0.0), lambda n, x: n + x), 4)
+    return files.read_vectors(spark, path).select("seq", "id", "camera", F.size("embedding").cast("long").alias("dimension"), total("embedding").alias("total"), total("text_embedding").alias("text_total"))
+
+
+@query
+def index_table_votes(spark, sf_dir):
+    """Frames appended to an index table in two batches, the second twice; votes stored twice."""
+    path = scratch(spark, "index")
+    rows = V.frames(spark, sf_dir).withColumns({"thumbnail_path": F.lit("t.jpg"), "wall_time": (F.col("seq") % 5) * 86_400.0})
+    for half, batch in ((0, "even"), (1, "odd"), (1, "odd")):
+        index_table.append_frames(rows.where(F.col("seq") % 2 == half), path, batch)
+    for _ in range(2):
+        index_table.store_votes(spark, path, V.votes(spark, sf_dir), "votes", 0)
+    return index_table.read_index(spark, path).select("seq", "id", "camera", F.col("day").cast("string").alias("day"), F.coalesce("feedback_downvotes", F.lit(0)).cast("long").alias("feedback_downvotes"))

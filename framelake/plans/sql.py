@@ -197,4 +197,30 @@ ORACLE_SQL: dict[str, str] = {
        select vec_id, bin, name, sum(s * v) as w from p join (values (0, 0, 8, 'red'), (1, 9, 24, 'orange'), (2, 25, 34, 'yellow'), (3, 35, 80, 'green'), (4, 81, 95, 'cyan'), (5, 96, 129, 'blue'), (6, 130, 170, 'purple'), (7, 171, 181, 'red')) r(bin, lo, hi, name) on h >= lo and h < hi group by all), t as (
        select vec_id, case when max(w) > 0 then arg_max(name, [w, -bin]) else 'red' end as name from b group by vec_id)
        select m.vec_id as det_id, case when mean_v < 40 then 'black' when mean_s < 25 and mean_v >= 200 then 'white' when mean_s < 25 then 'gray' else coalesce(name, 'red') end as color_name, mean_s, mean_v from m left join t on t.vec_id = m.vec_id""",
+    "annotate_colors": """with e as (select vec_id, i - 1 as i, floor(abs(embedding[i]::double) * 100000)::bigint as x from embeddings, unnest(generate_series(1, len(embedding))) u(i)), p as (
+       select vec_id, i % 8 as px, i // 8 as py, x % 256 as b, (x // 3) % 256 as g, (x // 7 + i * 11) % 256 as r from e), d as (select *, greatest(b, g, r) as hi, greatest(b, g, r) - least(b, g, r) as spread from p), q as (
+       select *, case when spread = 0 then 0 when hi = r then (g - b)::double / spread * 30 when hi = g then (2 + (b - r)::double / spread) * 30 else (4 + (r - g)::double / spread) * 30 end as raw,
+         case when hi > 0 then round_even((255 * spread)::double / hi, 0) else 0 end::bigint as s, hi as v from d), c as (
+       select *, round_even(case when raw < 0 then raw + 180 else raw end, 0)::bigint % 180 as h from q), bx(box, x1, x2) as (values (0, 0, 8), (1, 1, 7), (3, 0, 8)), k as (
+       select vec_id, box, h, s, v from c join bx on px >= x1 and px < x2), m as (select vec_id, box, floor(avg(s))::bigint as mean_s, floor(avg(v))::bigint as mean_v from k group by all), w as (
+       select vec_id, box, bin, name, sum(s * v) as w from k join (values (0, 0, 8, 'red'), (1, 9, 24, 'orange'), (2, 25, 34, 'yellow'), (3, 35, 80, 'green'), (4, 81, 95, 'cyan'), (5, 96, 129, 'blue'), (6, 130, 170, 'purple'), (7, 171, 181, 'red')) r(bin, lo, hi, name) on h >= lo and h < hi group by all), t as (
+       select vec_id, box, case when max(w) > 0 then arg_max(name, [w, -bin]) else 'red' end as name from w group by all)
+       select 'img' || m.vec_id as frame_path, m.box::bigint as box, case when mean_v < 40 then 'black' when mean_s < 25 and mean_v >= 200 then 'white' when mean_s < 25 then 'gray' else coalesce(name, 'red') end as color_name
+       from m left join t on t.vec_id = m.vec_id and t.box = m.box union all select 'img' || vec_id, 2, 'unknown' from embeddings""",
+    "chunk_segments": """with c as (select doc_id, base64(encode(text)) as b from documents where length(text) > 0), n as (select *, ceil(length(b) / 500.0)::bigint as total from c)
+       select doc_id as archive_id, k * 900 as offset, md5(from_base64(substr(b, k * 1200 + 1, 1200))) as data_md5 from n, unnest(generate_series(0, (length(b) - 1) // 1200)) u(k) where not (doc_id % 4 = 1 and total > 1)""",
+    "page_deep": f"with {FRAMES} select seq, id, camera from frames_v order by seq limit 50 offset 12000",
+    "tail_deep": f"with {FRAMES}, t as (select seq from frames_v order by seq desc limit 12000) select count(*) as n, min(seq) as first, max(seq) as last from t",
+    "range_join_lengths": f"""with {FRAMES}, r as (select event_id, epoch(ts) - {SHIFT}.0::double as s, value from events), k as (select event_id, case when event_id % 500 <> 4 then s end as a,
+       case when event_id % 500 = 2 then s + 5 * 31557600.0::double when event_id % 500 = 3 then null when event_id % 2 = 0 then s + 1 else s + value * 100 end as b from r)
+       select event_id as range_id, count(*) as n, min(seq) as first, max(seq) as last from k join frames_v on wall_time is not null and (a is null or wall_time >= a) and (b is null or wall_time <= b) group by event_id""",
+    "nearest_time_all": f"""with {FRAMES}, d as (select event_id as target_id, seq, id, round(abs(wall_time - (epoch(ts) - {SHIFT}.0::double)), 4) as delta from events, frames_v where event_id % 1000 = 0 and wall_time is not null)
+       select target_id, row_number() over (partition by target_id order by delta, seq) as rank, id, delta from d""",
+    "unsupported_labels": f"with {FRAMES} select id, case when seq % 3 = 0 then 'yeti' else 'ufo,yeti' end as unsupported from frames_v where seq % 3 = 0 or seq % 5 = 0",
+    "frames_read": f"with {FRAMES}, n as (select *, row_number() over (order by seq) - 1 as line from frames_v) select line as seq, id, wall_time, camera, 0::bigint as n_labels from n where seq % 89 <> 0 and seq % 97 <> 0",
+    "events_tail": "select event_id::varchar as timestamp, 'cam' || (user_id % 8) as camera, event_type as label from events order by event_id desc limit 100",
+    "vectors_read": """select row_number() over (order by vec_id) - 1 as seq, 'v' || vec_id as id, 'cam' || (vec_id % 8) as camera, len(embedding)::bigint as dimension, round(list_sum(embedding::double[]), 4) as total,
+       round(case when vec_id % 3 = 0 then list_sum(embedding[1:5]::double[]) else 0.0 end, 4) as text_total from embeddings""",
+    "index_table_votes": f"""with {FRAMES}, m as (select max(seq) + 1 as top from frames_v where seq % 2 = 0), v as (select 'f' || (event_id * 7 % 40000) as id, count(*) as n from events where event_type = 'error' group by 1)
+       select seq + case when seq % 2 = 1 then top else 0 end as seq, f.id, camera, (date '1970-01-01' + (seq % 5)::int)::varchar as day, coalesce(n, 0) as feedback_downvotes from m, frames_v f left join v on v.id = f.id""",
 }

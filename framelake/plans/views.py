@@ -90,3 +90,19 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("vec_id") % 5 == 0, scaled % 50).otherwise(scaled % 256)
     s = F.when(F.col("vec_id") % 5 == 1, scaled % 30).otherwise((scaled + F.col("i") * 7) % 256)
     return rows.select(F.col("vec_id").alias("det_id"), ((scaled / 7).cast("long") % 180).alias("h"), s.alias("s"), v.alias("v"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding's 64 values as an image of 8 by 8 BGR pixels."""
+    x = lambda e: F.floor(F.abs(e.cast("double")) * 100_000).cast("long")
+    byte = lambda v: F.lpad(F.hex(v % 256), 2, "0")
+    pixel = lambda e, i: F.concat(byte(x(e)), byte(F.floor(x(e) / 3)), byte(F.floor(x(e) / 7) + i * 11))
+    data = F.unhex(F.array_join(F.transform("embedding", pixel), ""))
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("img"), "vec_id").alias("frame_path"), F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), data.alias("data")).alias("image"))
+
+
+def image_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four boxes on each of those images: all of it, its middle columns, a box that is too narrow, and all of it from corner to corner the other way."""
+    box = lambda *v: F.array(*[F.lit(float(n)) for n in v])
+    boxes = F.array(box(0, 0, 8, 8), box(1.4, -3, 6.6, 8), box(0, 0, 3, 8), box(8, 8, 0, 0))
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("img"), "vec_id").alias("frame_path"), F.posexplode(boxes).alias("box", "bbox"))

@@ -121,9 +121,10 @@ def read_motion_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(frame_path, image) with BGR bytes; an unreadable file has a null image."""
+    """(frame_path, image) with BGR bytes; an unreadable file has a null image. Filters on frame_path choose files before they are opened."""
     rows = spark.read.format("image").option("dropInvalid", False).load(path)
-    return rows.select(F.col("image.origin").alias("frame_path"), F.when(F.col("image.height") > 0, F.col("image")).alias("image"))
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return rows.select(name.alias("frame_path"), F.when(F.col("image.height") > 0, F.col("image")).alias("image"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

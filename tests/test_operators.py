@@ -147,7 +147,7 @@ def test_range_join(spark):
     t = table(spark, [{"id": f"f{i}", "wall_time": float(i * 10)} for i in range(20)])
     r = spark.createDataFrame([("a", 10.0, 30.0), ("b", 185.0, 500.0), ("c", 9.0, 1.0)], "range_id string, start double, end double")
     got = {}
-    for x in times.range_join(t, r, bucket=25.0).collect():
+    for x in times.range_join(t, r).collect():
         got.setdefault(x["range_id"], set()).add(x["id"])
     assert got == {"a": {"f1", "f2", "f3"}, "b": {"f19"}}
 
