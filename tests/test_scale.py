@@ -71,6 +71,7 @@ def test_covers_are_small_and_exact(spark):
 def test_all_frames_for_many_targets(spark, monkeypatch):
     monkeypatch.setattr(times, "MOST_UNLIMITED", 3)
     monkeypatch.setattr(maintenance, "PARTS", 7)
+    monkeypatch.setattr(maintenance, "ROWS", 20)
     rng = random.Random(6)
     rows = [(i, f"f{i}", rng.choice([float(rng.randrange(9)), rng.uniform(0, 9)])) for i in range(150)]
     targets = [(i, rng.uniform(0, 9)) for i in range(8)] + [(None, 4.0)]
@@ -81,6 +82,7 @@ def test_all_frames_for_many_targets(spark, monkeypatch):
 
 def test_numbering_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(maintenance, "PARTS", 9)
+    monkeypatch.setattr(maintenance, "ROWS", 20)
     monkeypatch.setattr(maintenance, "LOOKED_AT", 3)
     rng = random.Random(7)
     rows = [(rng.choice([None, "x", "y", f"v{rng.randrange(50)}"]), i, rng.choice("ab")) for i in range(500)]
