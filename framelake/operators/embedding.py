@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -20,23 +21,24 @@ Detector = Callable[[pd.DataFrame], pd.DataFrame]
 _WORD = re.compile("[a-z]+")
 
 
-def _features(text: str) -> Iterator[str]:
-    for word in _WORD.findall(text.lower()):
-        yield "$" + word
-        if len(word) > 2:
-            yield from (word[i : i + 2] for i in range(len(word) - 1))
+def _features(word: str) -> list[str]:
+    return ["$" + word, *(word[i : i + 2] for i in range(len(word) - 1) if len(word) > 2)]
+
+
+@lru_cache(maxsize=100_000)
+def word_buckets(word: str, dimension: int) -> np.ndarray:
+    """Buckets of a word's features, remembered over the batches of a worker."""
+    return np.array([int.from_bytes(hashlib.md5(f.encode()).digest()[:4], "big") % dimension for f in _features(word)], np.int64)
 
 
 def hash_counts(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
-    """Counts of each text's features in their buckets; bucket numbers are remembered over a batch."""
-    buckets: dict[str, int] = {}
-    out = np.zeros((len(texts), dimension), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        for f in _features(text):
-            if f not in buckets:
-                buckets[f] = int.from_bytes(hashlib.md5(f.encode()).digest()[:4], "big") % dimension
-            row[buckets[f]] += 1
-    return out
+    """Counts of each text's features in their buckets; equal texts are counted once."""
+    distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    out = np.zeros((len(distinct), dimension), np.float32)
+    for row, text in zip(out, distinct, strict=True):
+        if found := [word_buckets(w, dimension) for w in _WORD.findall(text.lower())]:
+            row[:] = np.bincount(np.concatenate(found), minlength=dimension)
+    return out[[distinct[t] for t in texts]]
 
 
 def hash_embedding(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
