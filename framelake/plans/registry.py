@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from framelake.plans.sql import ORACLE_SQL
 from framelake.sources import files
 from framelake.sources import table as index_table
 from framelake.sources.shared import scratch
+from framelake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -493,3 +496,104 @@ def index_table_votes(spark, sf_dir):
     for _ in range(2):
         index_table.store_votes(spark, path, V.votes(spark, sf_dir), "votes", 0)
     return index_table.read_index(spark, path).select("seq", "id", "camera", F.col("day").cast("string").alias("day"), F.coalesce("feedback_downvotes", F.lit(0)).cast("long").alias("feedback_downvotes"))
+
+
+def _streamed(spark, df: DataFrame, name: str) -> DataFrame:
+    """The rows of a table as a stream over files of it."""
+    path = scratch(spark, name)
+    df.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query
+def files_listed(spark, sf_dir):
+    """Lines of a log in a folder for each class, one of them blank: its files and their lines that aren't blank."""
+    path = scratch(spark, "log")
+    rows = V.table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 10 == 0, " ").otherwise(F.concat(F.lit("event "), "event_id")).alias("value"))
+    rows.coalesce(1).write.mode("append").partitionBy("event_type").text(path)
+    listed = files.list_files(spark, path).select(F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("event_type"), (F.col("length") > 0).alias("filled"))
+    return listed.groupBy("event_type", "filled").agg(F.count("*").alias("n_files")).withColumn("n_lines", F.lit(files.count_lines(spark, path)).cast("long"))
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """Files of JSON frames, ingested as a stream into an index, which gives back their order."""
+    source, target = scratch(spark, "json"), scratch(spark, "index")
+    rows = V.frames(spark, sf_dir).orderBy("seq").select("id", "timestamp", "source_clip", F.lit("t.jpg").alias("thumbnail_path"), "camera")
+    rows.write.mode("append").json(source)
+    jobs.ingest(spark, source, target, scratch(spark, "ingest")).awaitTermination()
+    return index_table.read_index(spark, target).select("seq", "id", "camera")
+
+
+@query
+def stream_votes(spark, sf_dir):
+    """A stream of votes that ends in an index."""
+    target = scratch(spark, "index")
+    index_table.append_frames(V.frames(spark, sf_dir).withColumns({"thumbnail_path": F.lit("t.jpg"), "wall_time": F.lit(None).cast("double")}), target, "first")
+    votes = _streamed(spark, V.votes(spark, sf_dir), "votes")
+    jobs.for_each_batch(votes, jobs.votes_into(target), scratch(spark, "voting"), "append").awaitTermination()
+    return index_table.read_index(spark, target).select("id", F.coalesce("feedback_downvotes", F.lit(0)).cast("long").alias("feedback_downvotes"))
+
+
+@query
+def stream_counts(spark, sf_dir):
+    """Running counts of a stream of frames, as its last batch leaves them."""
+    path = scratch(spark, "counts")
+    frames_ = _streamed(spark, V.indexed_frames(spark, sf_dir).select("labels", "counts", "objects", "tags"), "frames")
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/last")
+    jobs.for_each_batch(jobs.running_counts(frames_), keep, scratch(spark, "counting"), "complete").awaitTermination()
+    return spark.read.parquet(f"{path}/last")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """Live sessions: those that the watermark has passed when the stream ends."""
+    path = scratch(spark, "sessions")
+    scores = _streamed(spark, V.motion(spark, sf_dir), "motion")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/done/batch={number}")
+    jobs.for_each_batch(jobs.live_sessions(scores, 0.1, 1800.0), keep, scratch(spark, "living"), "append").awaitTermination()
+    rows = spark.read.parquet(f"{path}/done").drop("batch")
+    return rows.select("camera", *[F.unix_micros(c).alias(c) for c in ("start_ts", "end_ts", "record_end")], "max_score", "n_frames")
+
+
+@query
+def stream_retention(spark, sf_dir):
+    """What retention keeps of a stream of events, judged by the latest one."""
+    path = scratch(spark, "kept")
+    rows = V.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("class"), V.epoch(F.col("ts")).alias("age_ts"))
+    policy = spark.createDataFrame([("click", 5), ("view", 1), ("error", 0)], "class string, days int")
+    jobs.for_each_batch(_streamed(spark, rows, "events"), jobs.retain_batch(policy, path), scratch(spark, "keeping"), "append").awaitTermination()
+    return spark.read.parquet(path).groupBy("class").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query
+def encoder_hook(spark, sf_dir):
+    """Vectors of documents by an encoder that a factory makes: signs, and letters e; it fails on every text with a "#"."""
+
+    def factory():
+        def encode(texts):
+            if any("#" in t for t in texts):
+                raise ValueError("a sign that the model doesn't know")
+            return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+        return encode
+
+    rows = embedding.embed_column(V.table(spark, sf_dir, "documents"), "text", "v", factory=factory)
+    plain = F.size("v") == 2
+    return rows.select("doc_id", plain.alias("encoded"), F.when(plain, F.get("v", F.lit(0))).cast("long").alias("signs"), F.when(plain, F.get("v", F.lit(1))).cast("long").alias("es"))
+
+
+@query
+def detector_hook(spark, sf_dir):
+    """Detections of images by a model that a factory makes, kept by label, confidence and size."""
+
+    def factory():
+        def detect(batch):
+            total = np.array([np.frombuffer(d, np.uint8).sum(dtype=np.int64) for d in batch["data"]])
+            boxes = [[0.0, 0.0, 8.0, float(t % 8)] for t in total]
+            return pd.DataFrame({"frame_id": batch["frame_id"], "det_idx": 0, "label": np.where(total % 2, "dog", "car"), "confidence": total % 100 / 100, "bbox": boxes, "frame_area": 64.0})
+
+        return detect
+
+    found = embedding.detect_frames(V.images(spark, sf_dir).withColumnRenamed("frame_path", "frame_id"), factory=factory)
+    return detections.sized(detections.keep_detections(found)).select("frame_id", "label", F.round("confidence", 4).alias("confidence"), "size")

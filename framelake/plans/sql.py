@@ -223,4 +223,21 @@ ORACLE_SQL: dict[str, str] = {
        round(case when vec_id % 3 = 0 then list_sum(embedding[1:5]::double[]) else 0.0 end, 4) as text_total from embeddings""",
     "index_table_votes": f"""with {FRAMES}, m as (select max(seq) + 1 as top from frames_v where seq % 2 = 0), v as (select 'f' || (event_id * 7 % 40000) as id, count(*) as n from events where event_type = 'error' group by 1)
        select seq + case when seq % 2 = 1 then top else 0 end as seq, f.id, camera, (date '1970-01-01' + (seq % 5)::int)::varchar as day, coalesce(n, 0) as feedback_downvotes from m, frames_v f left join v on v.id = f.id""",
+    "files_listed": "select event_type, true as filled, 1::bigint as n_files, (select count(*) from events where event_id % 10 <> 0) as n_lines from events group by event_type",
+    "stream_ingest": f"with {FRAMES} select row_number() over (order by seq) - 1 as seq, id, camera from frames_v",
+    "stream_retention": """with e as (select event_id, event_type as class, epoch_us(ts) / 1e6 as age from events), l as (select max(age) as now from e) select class, count(*) as n, min(event_id) as first from e, l
+       where age >= now - case class when 'click' then 5 when 'view' then 1 when 'error' then 0 else 1e9 end * 86400.0 group by class""",
+    "stream_sessions": """with m as (select 'cam' || (user_id % 8) as camera, epoch_us(ts) as t, value / 500 as score from events where value / 500 > 0.1), g as (
+       select *, case when t - lag(t) over (partition by camera order by t) <= 1800000000 then 0 else 1 end as fresh from m), s as (
+       select *, sum(fresh) over (partition by camera order by t rows unbounded preceding) as sid from g)
+       select camera, min(t) as start_ts, max(t) as end_ts, max(t) + 1800000000 as record_end, max(score) as max_score, count(*) as n_frames from s group by camera, sid
+       having max(t) + 1800000000 <= (select max(epoch_us(ts)) // 1000 * 1000 - 10000000 from events)""",
+    "encoder_hook": """select doc_id, not contains(coalesce(text, ''), '#') as encoded, case when not contains(coalesce(text, ''), '#') then length(coalesce(text, '')) end as signs,
+       case when not contains(coalesce(text, ''), '#') then length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) end as es from documents""",
+    "detector_hook": """with e as (select vec_id, i - 1 as i, floor(abs(embedding[i]::double) * 100000)::bigint as x from embeddings, unnest(generate_series(1, len(embedding))) u(i)), t as (
+       select vec_id, sum(x % 256 + (x // 3) % 256 + (x // 7 + i * 11) % 256) as total from e group by vec_id), b as (
+       select 'img' || vec_id as frame_id, case when total % 2 = 1 then 'dog' else 'car' end as label, (total % 100) / 100.0::double as confidence, (total % 8) / 8.0::double as share from t)
+       select frame_id, label, round(confidence, 4) as confidence, case when share >= 0.40 then 'huge' when share >= 0.20 then 'large' when share >= 0.08 then 'medium' when share >= 0.02 then 'small' else 'tiny' end as size
+       from b where confidence >= 0.5 and share >= 0.005""",
 }
+ORACLE_SQL |= {"stream_votes": ORACLE_SQL["apply_votes"], "stream_counts": ORACLE_SQL["all_counts"]}
