@@ -237,12 +237,24 @@ def _scorer(model, stats: bool):
 def scored(docs: DataFrame, model: DataFrame, piece: int = PIECE) -> DataFrame:
     """docs(row, text, ...) with log_p, n_bytes and the base rules' counts for each row; repeated rows stay.
 
-    The entries are dealt by a hash of their key into pieces of about `piece`; each pass over docs holds
-    one piece, as sorted arrays. One pass (the usual case) needs no shuffle. More passes add up for each
+    Entries up to `piece` are held by every task, and each text is read once. More are dealt by the half of the texts that they come from, as
+    a text needs those of the other half only: a half with up to `piece` entries again takes one reading of its texts, without a shuffle. Of a larger
+    half the entries are dealt by a hash of their key; each pass over its texts holds one piece, and the passes are added up for each
     distinct (row, checksum of the text), whose copies have equal sums and are counted and dealt out again.
     """
+    if model.count() <= piece:
+        return _passes(docs, model, 1)
+    half = F.shiftright(F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), 7).bitwiseAND(F.lit(1))  # as in `halves`
+    out: DataFrame | None = None
+    for own in (0, 1):
+        entries = model.where(F.col("key").bitwiseAND(F.lit(_HALF)) == (_HALF if own else 0))
+        part = _passes(docs.where(half == 1 - own), entries, max(1, -(-entries.count() // piece)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _passes(docs: DataFrame, model: DataFrame, passes: int) -> DataFrame:
     spark = docs.sparkSession
-    passes = max(1, -(-model.count() // piece))
     kind = docs.schema["row"].dataType.simpleString()
     whole: DataFrame | None = None
     for i in range(passes):
@@ -254,7 +266,7 @@ def scored(docs: DataFrame, model: DataFrame, piece: int = PIECE) -> DataFrame:
             schema = f"row {kind}, log_p double, n_bytes long, " + ", ".join(f"{k} long" for k in _STATS)
             return docs.select("row", "text").mapInArrow(_scorer(held, True), schema)
         schema = f"row struct<row:{kind},text:string>, log_p double, n_bytes long, " + ", ".join(f"{k} long" for k in _STATS)
-        marked = docs.select(F.struct("row", F.sha2(F.coalesce("text", F.lit("\0")), 256).alias("text")).alias("row"), "text")
+        marked = docs.select(F.struct("row", F.coalesce(F.sha2("text", 256), F.lit("")).alias("text")).alias("row"), "text")
         part = marked.mapInArrow(_scorer(held, i == 0), schema)
         part = part.groupBy("row").agg(F.max("log_p").alias("log_p"), F.count("*").alias("copies"), *[F.max(k).alias(k) for k in ("n_bytes", *_STATS)])
         whole = part if whole is None else whole.unionByName(part)

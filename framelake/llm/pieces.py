@@ -75,6 +75,18 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def parted(piece: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Offsets of words cut further at places that no piece spans: no path can, so the parts are searched apart and long words advance in many of them at once."""
+    width, n = piece.shape
+    spans = np.zeros(n + 1, np.int64)
+    for w in range(2, width + 1):
+        start = np.flatnonzero(piece[w - 1] >= 0)
+        spans[start + 1] += 1  # starts are distinct
+        spans[start + w] -= 1
+    free = np.cumsum(spans)[:n] == 0
+    return np.union1d(np.flatnonzero(free), at) if n else at
+
+
 def best_paths(points: np.ndarray, at: np.ndarray, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word, start and piece id (-1: none) of the best path of each word; words are ranges of points given by offsets."""
     width, n = int(model["width"]), len(points)
@@ -92,7 +104,8 @@ def best_paths(points: np.ndarray, at: np.ndarray, model: dict[str, np.ndarray])
         score[w - 1, start[hit]] = model["scores"][place[hit]]
         piece[w - 1, start[hit]] = model["ids"][place[hit]]
     score[0][piece[0] < 0] = model["scores"].min() - 10
-    best = np.zeros(n + len(at) - 1)  # a word's points and one place more
+    words, at = at, parted(piece, at)
+    best = np.zeros(n + len(at) - 1)  # a part's points and one place more
     back = np.zeros(n + len(at) - 1, np.int32)
     size = np.diff(at)
     order = np.argsort(size, kind="stable")
@@ -106,20 +119,19 @@ def best_paths(points: np.ndarray, at: np.ndarray, model: dict[str, np.ndarray])
             pick = ways.argmax(0)
             best[room + e] = ways[pick, np.arange(len(group))]
             back[room + e] = pick + 1
-    word, start, ids = [], [], []
+    start, ids = [], []
     live, end = np.flatnonzero(size > 0), size[size > 0]
     while len(live):
         step = back[at[live] + live + end]
         end = end - step
-        word.append(live)
         start.append(at[live] + end)
         ids.append(piece[step - 1, at[live] + end])
         live, end = live[end > 0], end[end > 0]
-    if not word:
+    if not start:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    word, start, ids = np.concatenate(word), np.concatenate(start), np.concatenate(ids)
+    start, ids = np.concatenate(start), np.concatenate(ids)
     order = np.argsort(start)
-    return word[order], start[order], ids[order]
+    return np.searchsorted(words, start[order], "right") - 1, start[order], ids[order]
 
 
 def _utf8_bytes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,9 @@ from framelake.llm.storage import written
 
 #: Points of a shard that are compared without a further split.
 LEAF = 256
-#: Fingerprints that the trees are grown from, about, and points that a shard should hold.
-SAMPLE = 32_768
+#: Fingerprints that the trees are grown from: about SAMPLE, or one in SAMPLED where that is more, MOST_SAMPLED at most (8 bytes each).
+SAMPLE, SAMPLED, MOST_SAMPLED = 32_768, 1_000, 4_000_000
+#: Points that a shard should hold.
 SHARD = 8192
 _LEAST_SAMPLE = 64
 
@@ -202,14 +203,14 @@ def near_fingerprints(points: DataFrame, radius: int = 4, most: int = SHARD) ->
     """Links (a, b) whose components are those of all pairs of distinct fingerprints within the radius.
 
     Two fingerprints within `radius` differ in at most one bit of one block. Over each block
-    a vantage-point tree, grown from about SAMPLE fingerprints, deals all fingerprints into shards of about
+    a vantage-point tree, grown from a sample that grows with the table up to what a task can be sent, deals all fingerprints into shards of about
     `most`, those near a boundary into the shards on both sides. Each shard goes on with a tree of its own
     and compares what is left. Only chains of links leave a task: fewer than its fingerprints.
     """
     blocks = blocks_for(radius)
     total = points.count()
-    every = max(1, total // SAMPLE)
-    picked = points.where(F.pmod(F.xxhash64("point"), F.lit(every)) == 0).limit(2 * SAMPLE)  # distinct points: near SAMPLE of them
+    wanted = max(SAMPLE, min(total // SAMPLED, MOST_SAMPLED))
+    picked = points.where(F.pmod(F.xxhash64("point"), F.lit(max(1, total // wanted))) == 0).limit(2 * wanted)  # distinct points: near `wanted` of them
     sample = np.sort(picked.select("point").toArrow()["point"].to_numpy()).view(np.uint64)
     sample = np.random.default_rng(0).permutation(sample)
     reach = radius // blocks
