@@ -231,7 +231,7 @@ ORACLE_SQL: dict[str, str] = {
        select *, case when t - lag(t) over (partition by camera order by t) <= 1800000000 then 0 else 1 end as fresh from m), s as (
        select *, sum(fresh) over (partition by camera order by t rows unbounded preceding) as sid from g)
        select camera, min(t) as start_ts, max(t) as end_ts, max(t) + 1800000000 as record_end, max(score) as max_score, count(*) as n_frames from s group by camera, sid
-       having max(t) + 1800000000 <= (select max(epoch_us(ts)) // 1000 * 1000 - 10000000 from events)""",
+       having max(t) + 1800000000 <= (select max(t) // 1000 * 1000 - 10000000 from m)""",
     "encoder_hook": """select doc_id, not contains(coalesce(text, ''), '#') as encoded, case when not contains(coalesce(text, ''), '#') then length(coalesce(text, '')) end as signs,
        case when not contains(coalesce(text, ''), '#') then length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) end as es from documents""",
     "detector_hook": """with e as (select vec_id, i - 1 as i, floor(abs(embedding[i]::double) * 100000)::bigint as x from embeddings, unnest(generate_series(1, len(embedding))) u(i)), t as (
