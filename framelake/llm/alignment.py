@@ -32,9 +32,9 @@ from framelake.llm.textarrays import blocks, counts_before
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of texts whose units are told apart together, and of a range of a long text; units that are encoded in one call.
-BLOCK_BYTES, CHUNK_BYTES, STEP = 3_000_000, 32_768, 16_384
+BLOCK_BYTES, CHUNK_BYTES, STEP = 2_000_000, 32_768, 8_192
 #: Units that a worker process remembers (some 100 bytes each); then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Neighbours that one step of the tree combines.
 FAN = 8
 #: Pairs of ids that a task looks up at once (17 bytes each), and that it counts before it sends them on.
