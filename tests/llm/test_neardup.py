@@ -88,3 +88,47 @@ def test_keys_of_many_texts_are_ordered_in_parts(spark):
     texts = spark.createDataFrame([(i, [7, *range(i, i + 15)]) for i in range(500)], "node long, keys array<long>")
     pairs = neardup.key_pairs(texts, chunk=50).collect()
     assert {(0, i) for i in range(1, 500)} <= {(r["a"], r["b"]) for r in pairs} and len(pairs) <= 500 * 3 * neardup.KEYS
+
+
+def crowded(n_groups, crowd, seed=5):
+    """Texts of groups with a passage each: two alike ones (0.82) before `crowd` longer ones, which are like nothing (under 0.8)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(4, 7)))
+    texts = []
+    for _ in range(n_groups):
+        passage = [word() for _ in range(184)]
+        texts += [" ".join(passage + [word() for _ in range(own)]) for own in [20, 20] + [40] * crowd]
+    return texts
+
+
+def test_a_crowd_of_unlike_texts_between_parts_no_pair(spark):
+    texts = crowded(4, 300)
+    sets = [shingles(t) for t in texts]
+    pairs = {(a, b) for g in range(0, len(texts), 302) for a in range(g, g + 302) for b in range(g, a) if likeness(sets[a], sets[b]) >= 0.8}
+    assert pairs == {(302 * g + 1, 302 * g) for g in range(4)}
+    kept = {r["doc_id"] for r in neardup.without_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == set(range(len(texts))) - {302 * g + 1 for g in range(4)}
+
+
+def test_rest_pairs_hold_every_alike_pair_and_cut_large_bins(spark):
+    rng = random.Random(3)
+    texts = crowded(3, 40) + ["a b c d e", "A b c d e f", "", " \n", "z"]
+    for i in (0, 5, 50):  # chains from alike to unlike
+        w = texts[i].split()
+        for _ in range(15):
+            w[rng.randrange(len(w))] = "other"
+            texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    wanted = {(min(p), max(p)) for p in alike(dict(enumerate(texts)))} | {(128, 129)}
+    some = neardup.shingle_sets(rows.toArrow()["text"].combine_chunks(), 5)
+    common = max(Counter(int(h) for _, _, sets in some for own in sets for h in own).items(), key=lambda x: x[1])[0]
+    sized = neardup.fingerprinted(rows, 5).withColumnRenamed("row", "node").cache()
+    none, one = spark.createDataFrame([], "node long, root long"), spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
+    for frequent in ([], [common]):  # the order is for speed only
+        known = (neardup.np.array(frequent, "int64").view("uint64"), neardup.np.full(len(frequent), 9))
+        prefixes = neardup.prefixed(rows, 5, 0.8, known).withColumnRenamed("row", "node").cache()
+        for size in (neardup.BIN, 7):
+            found = {(r["a"], r["b"]) for r in neardup.rest_pairs(prefixes, sized, none, 0.8, size).collect()}
+            assert wanted <= found and len(wanted) > 40
+        left = {(r["a"], r["b"]) for r in neardup.rest_pairs(prefixes, sized, one, 0.8).collect()}
+        assert left == found - {(0, 1)}
