@@ -27,6 +27,8 @@ SAMPLE, SAMPLE_OF, MOST_FREQUENT = 8_192, 64, 500_000
 PARITIES, WIDE = 512, 4_096
 #: Texts of a bin that are compared with as many others of it at a time.
 BIN = 4_096
+#: Texts of a bin that isn't parted by size.
+SMALL_BIN = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,7 +61,7 @@ def parities(own: np.ndarray, bits: int) -> np.ndarray:
 
 
 def fingerprinted(rows: DataFrame, size: int, hashes: int = HASHES) -> DataFrame:
-    """rows(row, text) as (row, fingerprints, keys, n, parities): SimHashes of the distinct shingles under independent hashes, their least_keys, number and parities."""
+    """rows(row, text) as (row, fingerprints, keys, n, parities, more): SimHashes of the distinct shingles under independent hashes, their least_keys, number and parities; more of these for large sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,10 +69,11 @@ def fingerprinted(rows: DataFrame, size: int, hashes: int = HASHES) -> DataFrame
                 prints = [[majority(mix(own.view(np.uint64) + np.uint64(k)) if k else own.view(np.uint64)) for k in range(hashes)] for own in sets]
                 keys = pa.array([least_keys(own) for own in sets], pa.list_(pa.int64()))
                 n, odd = pa.array([len(own) for own in sets], pa.int64()), pa.array([parities(own, PARITIES) for own in sets], pa.list_(pa.int64()))
-                columns = [batch.column(0).slice(first, end - first), pa.array(prints, pa.list_(pa.int64())), keys, n, odd]
-                yield pa.record_batch(columns, ["row", "fingerprints", "keys", "n", "parities"])
+                more = pa.array([parities(own, min(1 << (len(own) - 1).bit_length(), 2 * WIDE)) if len(own) > PARITIES else [] for own in sets], pa.list_(pa.int64()))
+                columns = [batch.column(0).slice(first, end - first), pa.array(prints, pa.list_(pa.int64())), keys, n, odd, more]
+                yield pa.record_batch(columns, ["row", "fingerprints", "keys", "n", "parities", "more"])
 
-    return rows.select("row", "text").mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fingerprints array<long>, keys array<long>, n long, parities array<long>")
+    return rows.select("row", "text").mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fingerprints array<long>, keys array<long>, n long, parities array<long>, more array<long>")
 
 
 def with_shingles(rows: DataFrame, size: int) -> DataFrame:
@@ -97,6 +100,14 @@ def may_be_alike(differ: Column, n: Column, m: Column, similarity: float) -> Col
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (differ * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6)
 
 
+def bits_apart(x: Column, y: Column) -> Column:
+    """Bits in which two arrays of parities differ; of one twice as wide the halves are laid over each other, null for other widths or none."""
+    half = lambda a, b: F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, 1, F.size(b)), F.slice(a, F.size(b) + 1, F.size(b)), lambda u, v: u.bitwiseXOR(v))).otherwise(a)
+    apart = F.aggregate(F.zip_with(half(x, y), half(y, x), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+    fit = (F.size(x) > 0) & (F.size(x) == F.size(y)) | (F.size(y) > 0) & (F.size(x) == 2 * F.size(y)) | (F.size(x) > 0) & (F.size(y) == 2 * F.size(x))
+    return F.when(fit, apart)
+
+
 def key_pairs(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(a, b) nodes to be compared, of texts(node, keys), that share a key: each with the least node that has the key, and with the two before it in the order of the next keys.
 
@@ -180,7 +191,7 @@ def prefixed(rows: DataFrame, size: int, similarity: float, frequent: tuple[np.n
 
 
 def rest_pairs(prefixes: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, size: int = BIN) -> DataFrame:
-    """(a, b) of prefixes(node, prefix), once a node, and texts(node, n, parities): every pair that can have the similarity and that roots(node, root) leave apart.
+    """(a, b) of prefixes(node, prefix), once a node, and texts(node, n, parities, more): every pair that can have the similarity and that roots(node, root) leave apart.
 
     A bin is a shingle that prefixes of several roots hold; of bins with the same nodes one is enough. All pairs of a bin are compared whose
     numbers of shingles allow the similarity; those stay whose parities do. Bins of more than `size` nodes are cut into parts,
@@ -193,20 +204,21 @@ def rest_pairs(prefixes: DataFrame, texts: DataFrame, roots: DataFrame, similari
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
     bins = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"), *marks).where("low <> high")
     bins = written(bins.groupBy("held", "mark0", "mark1").agg(F.min("shingle").alias("shingle")).select("shingle", "held"), "bins")
-    # texts of similar size are of the same class or of neighbouring ones
+    # texts of similar size are of the same class or of neighbouring ones; small bins have one
     width = math.log(1 / min(similarity, 0.99)) * (1 + 1e-9)
-    level = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(width))
+    level = F.when(F.col("held") > SMALL_BIN, F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(width))).otherwise(F.lit(0).cast("long"))
     words = [F.col("parities")[k].alias(f"p{k}") for k in range(PARITIES // 64)]
-    members = rooted.join(bins, "shingle").join(texts.select("node", "n", level.alias("level"), *words), "node")
+    members = rooted.join(bins, "shingle").join(texts.select("node", "n", "more", *words), "node").withColumn("level", level)
     members = written(members, "members")
     parts = F.ceil(F.col("held") / size)
     own, every = F.pmod(F.xxhash64("node"), parts), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
     a = members.select("*", own.alias("i"), every.alias("j")).alias("a")
-    b = members.select("*", F.explode(F.array("level", F.col("level") - 1)).alias("met"), own.alias("j")).select("*", every.alias("i")).alias("b")
+    b = members.select("*", F.explode(F.when(F.col("held") > SMALL_BIN, F.array("level", F.col("level") - 1)).otherwise(F.array("level"))).alias("met"), own.alias("j")).select("*", every.alias("i")).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("shingle", "i", "j")]
     once = (F.col("a.level") < F.col("b.level")) | (F.col("a.node") < F.col("b.node"))
     differ = sum((F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(PARITIES // 64)), F.lit(0))
     may = (F.col("a.root") != F.col("b.root")) & may_be_alike(differ, F.col("a.n"), F.col("b.n"), similarity)
+    may = may & F.coalesce(may_be_alike(bits_apart(F.col("a.more"), F.col("b.more")), F.col("a.n"), F.col("b.n"), similarity), F.lit(True))
     met = a.join(b, [*same, F.col("a.level") == F.col("b.met"), once & may])
     return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
@@ -241,8 +253,8 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, similarity: float =
     """
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
     prints = fingerprinted(docs.select(F.struct("doc_id", key.alias("text_key")).alias("row"), "text"), size)
-    prints = written(prints.select("row.*", "fingerprints", "keys", "n", "parities"), "fingerprints")
-    rows = prints.groupBy("text_key", "doc_id").agg(F.count("*").alias("copies"), F.first(F.struct("fingerprints", "keys", "n", "parities")).alias("own"))
+    prints = written(prints.select("row.*", "fingerprints", "keys", "n", "parities", "more"), "fingerprints")
+    rows = prints.groupBy("text_key", "doc_id").agg(F.count("*").alias("copies"), F.first(F.struct("fingerprints", "keys", "n", "parities", "more")).alias("own"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copies")).alias("least")
     texts = rows.groupBy("text_key").agg(F.first("own").alias("own"), least)
     texts = texts.select("text_key", F.xxhash64("text_key").alias("node"), "own.*", F.col("least.doc_id").alias("least"), (F.col("least.copies") > 1).alias("repeated"))

@@ -132,3 +132,22 @@ def test_rest_pairs_hold_every_alike_pair_and_cut_large_bins(spark):
             assert wanted <= found and len(wanted) > 40
         left = {(r["a"], r["b"]) for r in neardup.rest_pairs(prefixes, sized, one, 0.8).collect()}
         assert left == found - {(0, 1)}
+
+
+def test_wide_parities_keep_alike_long_texts_and_part_others(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_BIN", 3)
+    rng = random.Random(9)
+    texts = []
+    for n in (480, 700, 1000, 2040, 4090, 9000):  # at the borders of widths
+        base = [f"{n}w{i}" for i in range(n)]
+        grown = base + [f"x{rng.random()}" for _ in range(n // 6)]
+        edited = [w if i % 60 else "y" for i, w in enumerate(base)]
+        texts += [" ".join(w) for w in (base, grown, edited, base[: n // 3] + [f"z{rng.random()}" for _ in range(n // 2)])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    common = sorted(int(h) for _, _, sets in neardup.shingle_sets(neardup.pa.array([texts[-4]]), 5) for h in sets[0])[::2]
+    sized = neardup.fingerprinted(rows, 5).withColumnRenamed("row", "node")
+    known = (neardup.np.sort(neardup.np.array(common, "int64").view("uint64")), neardup.np.full(len(common), 9))
+    prefixes = neardup.prefixed(rows, 5, 0.8, known).withColumnRenamed("row", "node")
+    found = {(r["a"], r["b"]) for r in neardup.rest_pairs(prefixes, sized, spark.createDataFrame([], "node long, root long"), 0.8).collect()}
+    wanted = {(min(p), max(p)) for p in alike(dict(enumerate(texts)))}
+    assert len(wanted) >= 12 and wanted <= found and not {p for p in found if p[1] % 4 == 3}
