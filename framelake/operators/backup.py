@@ -73,29 +73,46 @@ SEGMENT, RUN = 4 * 2**20, 4096
 def reassemble_segments(chunks: DataFrame, segment: int = SEGMENT, compat: bool = False) -> DataFrame:
     """(archive_id, offset, data): the bytes of archives in segments of segment / 4 * 3 bytes, so that an archive may be of any size.
 
-    As in `reassemble`, only complete archives are decoded (compat: partial ones too, as they are). A slice's place is the sum of the lengths before it,
-    by runs of RUN chunks and sums of runs; slices are cut at the segments' borders, and each segment is joined and decoded alone.
+    As in `reassemble`, only complete archives are decoded (compat: partial ones too, as they are). Chunks meet in runs of RUN. A slice's place is the sum of the lengths before it,
+    in its run and of the runs before; slices are cut at the segments' borders, and each segment is joined and decoded alone. Slices are shuffled once, those of
+    archives of several runs again to join segments that reach over runs.
     A segment that is no base64 has null data.
     """
     if segment % 4:
         raise ValueError("a segment is a multiple of four signs")
-    good = _status(chunks, compat).where("_good").select("archive_id", "total")
-    rows = _latest(chunks).select("archive_id", "idx", F.col("last.slice").alias("slice")).join(good, "archive_id")
-    rows = rows if compat else rows.where((F.col("idx") >= 0) & (F.col("idx") < F.col("total")))
-    sizes = rows.select("archive_id", "idx", F.length("slice").cast("long").alias("_n"), F.floor(F.col("idx") / RUN).alias("_run"))
-    inside = F.sum("_n").over(Window.partitionBy("archive_id", "_run").orderBy("idx")) - F.col("_n")
-    runs = sizes.groupBy("archive_id", "_run").agg(F.sum("_n").alias("_all"))  # a row for RUN chunks
-    runs = runs.select("archive_id", "_run", (F.sum("_all").over(Window.partitionBy("archive_id").orderBy("_run")) - F.col("_all")).alias("_begin"))
-    places = sizes.withColumn("_in", inside).join(runs, ["archive_id", "_run"]).select("archive_id", "idx", (F.col("_in") + F.col("_begin")).alias("at"))
-    placed = rows.join(places, ["archive_id", "idx"]).where(F.length("slice") > 0)
-    numbers = F.sequence(F.floor(F.col("at") / segment), F.floor((F.col("at") + F.length("slice") - 1) / segment))
-    cut = placed.select("archive_id", "at", "slice", F.explode(numbers).alias("segment"))
-    begin = F.greatest(F.col("segment") * segment, F.col("at"))
-    end = F.least((F.col("segment") + 1) * segment, F.col("at") + F.length("slice"))
-    cut = cut.select("archive_id", "segment", begin.alias("begin"), F.substring(F.col("slice"), (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
-    whole = cut.groupBy("archive_id", "segment").agg(F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
-    return whole.select("archive_id", (F.col("segment") * (segment // 4 * 3)).alias("offset"), F.try_to_binary(text, F.lit("base64")).alias("data"))
+    run = F.coalesce(F.floor(F.col("idx") / RUN), F.lit(0).cast("long")).alias("_run")
+    moved = chunk_parse(chunks).where(F.col("archive_id").isNotNull()).select("archive_id", run, "idx", "read_order", "slice", "total")
+    moved = moved.repartition("archive_id", "_run")  # the one shuffle of slices; no use of `last` filters what comes before it, so that all read the same files
+    last = moved.groupBy("archive_id", "_run", "idx").agg(F.max(F.struct("read_order", "slice", "total")).alias("last"), F.max("idx").alias("_i"))
+    last = last.select("archive_id", "_run", F.col("_i").alias("idx"), F.col("last.slice").alias("slice"), F.col("last.read_order").alias("read_order"), F.col("last.total").alias("last_total"))
+    runs = last.groupBy("archive_id", "_run").agg(F.max(F.struct("read_order", "last_total")).alias("_end"), F.collect_list(F.struct("idx", F.length("slice").cast("long").alias("n"))).alias("_sizes"))
+    archive = Window.partitionBy("archive_id")
+    runs = runs.withColumn("total", F.max("_end").over(archive)["last_total"])
+    kept = F.col("_sizes") if compat else F.filter("_sizes", lambda x: (x["idx"] >= 0) & (x["idx"] < F.col("total")))
+    runs = runs.withColumn("_sizes", kept).select("archive_id", "_run", "total", F.size("_sizes").cast("long").alias("_n"), F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("_all"))
+    runs = runs.withColumns({"n_chunks": F.sum("_n").over(archive), "_begin": F.sum("_all").over(archive.orderBy("_run")) - F.col("_all"), "_runs": F.sum((F.col("_n") > 0).cast("int")).over(archive)})
+    good = _with_status(runs, compat).where(F.col("_good") & (F.col("_n") > 0)).select("archive_id", "_run", "total", "_begin", "_runs")
+
+    def parts(of: DataFrame) -> DataFrame:
+        """(archive_id, segment, begin, part): what each run holds of each segment."""
+        rows = last.select("archive_id", "_run", "idx", "slice").join(of, ["archive_id", "_run"])
+        rows = rows if compat else rows.where((F.col("idx") >= 0) & (F.col("idx") < F.col("total")))
+        n = F.length("slice").cast("long")
+        inside = F.sum(n).over(Window.partitionBy("archive_id", "_run").orderBy("idx")) - n
+        placed = rows.withColumn("at", F.col("_begin") + inside).where(F.length("slice") > 0)
+        numbers = F.sequence(F.floor(F.col("at") / segment), F.floor((F.col("at") + F.length("slice") - 1) / segment))
+        cut = placed.select("archive_id", "_run", "at", "slice", F.explode(numbers).alias("segment"))
+        begin = F.greatest(F.col("segment") * segment, F.col("at"))
+        end = F.least((F.col("segment") + 1) * segment, F.col("at") + F.length("slice"))
+        cut = cut.select("archive_id", "_run", "segment", begin.alias("begin"), F.substring(F.col("slice"), (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+        return joined(cut.groupBy("archive_id", "_run", "segment"))
+
+    def joined(groups) -> DataFrame:
+        return groups.agg(F.min("begin").alias("begin"), F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("_p")).withColumn("part", F.array_join(F.transform("_p", lambda p: p["part"]), "")).drop("_p")
+
+    whole = parts(good.where("_runs = 1")).select("archive_id", "segment", "part")
+    several = joined(parts(good.where("_runs > 1")).groupBy("archive_id", "segment")).select("archive_id", "segment", "part")
+    return whole.unionByName(several).select("archive_id", (F.col("segment") * (segment // 4 * 3)).alias("offset"), F.try_to_binary("part", F.lit("base64")).alias("data"))
 
 
 def reassemble(chunks: DataFrame, compat: bool = False) -> DataFrame:
