@@ -28,19 +28,21 @@ def sized(detections: DataFrame) -> DataFrame:
     return detections.withColumn("size", F.when(F.col("frame_area") > 0, size_class(F.col("bbox"), F.col("frame_area"))))
 
 
-def assemble_frames(detections: DataFrame, frames: DataFrame) -> DataFrame:
+#: What a frame's objects hold.
+FIELDS = ("label", "confidence", "bbox", "area", "color_hex", "color_name", "size")
+
+
+def assemble_frames(detections: DataFrame, frames: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """frames(id, ...) with labels, objects, counts, detection_confidence and tags of their detections.
 
     One shuffle on the frame. Objects keep detection order, confidence to 4 places, boxes to 2, areas to
     1. Frames without detections stay, with empty lists and confidence 0. A mean is cut to 9 places before
-    it is rounded to 4, so that the order of summation doesn't decide ties.
+    it is rounded to 4, so that the order of summation doesn't decide ties. fields: what objects hold (label, color_name and size at least); what is left out isn't shuffled.
     """
-    o = F.struct(
-        "det_idx", "label", F.round("confidence", 4).alias("confidence"), F.transform("bbox", lambda x: F.round(x, 2)).alias("bbox"),
-        F.round(box_area(F.col("bbox")), 1).alias("area"), "color_hex", "color_name", "size",
-    )
+    made = {"confidence": F.round("confidence", 4), "bbox": F.transform("bbox", lambda x: F.round(x, 2)), "area": F.round(box_area(F.col("bbox")), 1)}
+    o = F.struct("det_idx", *[made.get(f, F.col(f)).alias(f) for f in fields])
     grouped = detections.groupBy("frame_id").agg(F.array_sort(F.collect_list(o)).alias("_o"), F.avg("confidence").alias("_mean"))
-    objects = F.transform("_o", lambda x: F.struct(*[x[f].alias(f) for f in ("label", "confidence", "bbox", "area", "color_hex", "color_name", "size")]))
+    objects = F.transform("_o", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
     labels = F.transform("_o", lambda x: x["label"])
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(labels)), lambda k: F.struct(k, F.size(F.filter(labels, lambda x: x == k)).cast("long"))))
     rows = grouped.select(F.col("frame_id").alias("id"), labels.alias("labels"), objects.alias("objects"), counts.alias("counts"), F.round(F.round("_mean", 9), 4).alias("detection_confidence"))

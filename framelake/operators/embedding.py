@@ -74,23 +74,27 @@ def loaded(factory: Callable[[], Any]) -> Any:
     return _MODELS[key]
 
 
-def embed_column(df: DataFrame, text_col: str, out_col: str, encoder: Encoder = hash_embedding, batch: int = 32, factory: Callable[[], Encoder] | None = None) -> DataFrame:
-    """df with a vector for each text (null: the empty one's) by an encoder, or by one that a factory makes in each worker process, so that a model isn't sent with every task."""
+def embed_column(df: DataFrame, text_col: str, out_col: str, encoder: Encoder = hash_embedding, batch: int = 32, factory: Callable[[], Encoder] | None = None, packed: bool = False) -> DataFrame:
+    """df with a vector for each text (null: the empty one's) by an encoder, or by one that a factory makes in each worker process, so that a model isn't sent with every task.
+
+    packed: a vector is a binary value of its floats, which files hold and tasks read with less work.
+    """
     make = factory if factory is not None else lambda: encoder
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary" if packed else "array<float>")
     def vectors(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = loaded(make)
         for texts in columns:
-            yield pd.Series(safely(own, texts.fillna("").tolist(), batch), dtype=object)
+            found = safely(own, texts.fillna("").tolist(), batch)
+            yield pd.Series([v.tobytes() for v in found] if packed else found, dtype=object)
 
     return df.withColumn(out_col, vectors(F.col(text_col)))
 
 
-def embed_frames(frames: DataFrame, encoder: Encoder = hash_embedding, batch: int = 32, factory: Callable[[], Encoder] | None = None) -> DataFrame:
+def embed_frames(frames: DataFrame, encoder: Encoder = hash_embedding, batch: int = 32, factory: Callable[[], Encoder] | None = None, packed: bool = False) -> DataFrame:
     """frames with embedding and text_embedding from their tags (their id without any), by an encoder or a factory of one."""
     text = frames.withColumn("_text", embed_text(F.col("tags"), F.col("id")))
-    out = embed_column(text, "_text", "text_embedding", encoder, batch, factory)
+    out = embed_column(text, "_text", "text_embedding", encoder, batch, factory, packed)
     return out.withColumn("embedding", F.col("text_embedding")).drop("_text")
 
 
